@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import decontaminate, substring
 
 
 def queries() -> dict:
     return {
+        "op4_decontamination": decontaminate.query,
         "op10_substring_dedup": substring.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": decontaminate.SQL}
