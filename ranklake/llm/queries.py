@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring
+from . import decontaminate, near_dup, substring
 
 
 def queries() -> dict:
     return {
+        "op2_near_duplicates": near_dup.query,
         "op4_decontamination": decontaminate.query,
         "op10_substring_dedup": substring.query,
     }
