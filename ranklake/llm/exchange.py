@@ -27,8 +27,37 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def packed(records: np.ndarray, keys: np.ndarray, n: int) -> pa.RecordBatch | None:
-    """One binary row for each of n targets; a record's target follows from its 64-bit key."""
+def planes(values: np.ndarray) -> bytes:
+    """Differences of an integer column, byte by byte: near-sorted columns become runs of zeros for Spark's codec."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), -1).T).tobytes()
+
+
+def from_planes(data: np.ndarray, n: int, dtype: np.dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    steps = np.ascontiguousarray(data[: n * size].reshape(size, n).T).reshape(-1).view(dtype)
+    return np.cumsum(steps, dtype=dtype)
+
+
+def encode(records: np.ndarray) -> bytes:
+    """Columns one after another; all but unsigned 64-bit hashes as planes of differences."""
+    parts = [records[c].tobytes() if records.dtype[c] == np.uint64 else planes(records[c]) for c in records.dtype.names]
+    return b"".join(parts)
+
+
+def decode(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    n = len(data) // dtype.itemsize
+    out, at = np.empty(n, dtype), 0
+    for c in dtype.names:
+        size = dtype[c].itemsize * n
+        part = data[at : at + size]
+        out[c] = np.frombuffer(part.tobytes(), np.uint64) if dtype[c] == np.uint64 else from_planes(part, n, dtype[c])
+        at += size
+    return out
+
+
+def packed(records: np.ndarray, keys: np.ndarray, n: int, encoder: Callable[[np.ndarray], bytes] = encode) -> pa.RecordBatch | None:
+    """One binary row for each of n targets; a record's target follows from its 64-bit key. Records keep their order."""
     if not len(records):
         return None
     part = ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
@@ -37,7 +66,7 @@ def packed(records: np.ndarray, keys: np.ndarray, n: int) -> pa.RecordBatch | No
     ends = np.cumsum(np.bincount(part, minlength=n))
     used = np.flatnonzero(np.diff(np.concatenate([[0], ends])))
     starts = np.concatenate([[0], ends])[used]
-    blobs = [records[a:b].tobytes() for a, b in zip(starts, ends[used], strict=True)]
+    blobs = [encoder(records[a:b]) for a, b in zip(starts, ends[used], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "payload"])
 
 
@@ -47,18 +76,20 @@ def exchange(
     dtype: np.dtype,
     reducer: Callable[[np.ndarray], Iterator[pa.RecordBatch]],
     schema: str,
+    encoder: Callable[[np.ndarray], bytes] = encode,
+    decoder: Callable[[np.ndarray, np.dtype], np.ndarray] = decode,
 ) -> DataFrame:
     """mapper(batches, n) yields (records, keys); reducer gets all records of a target partition."""
     n = partitions(df.sparkSession)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records, keys in mapper(batches, n):
-            out = packed(records, keys, n)
+            out = packed(records, keys, n, encoder)
             if out is not None:
                 yield out
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(x.as_buffer(), dtype) for b in batches for x in b.column(1)]
+        blobs = [decoder(np.frombuffer(x.as_buffer(), np.uint8), dtype) for b in batches for x in b.column(1)]
         if blobs:
             records = np.concatenate(blobs)
             del blobs
@@ -77,6 +108,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/ranklake/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    del df
+    freed(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -95,3 +128,27 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     return order, np.flatnonzero(new)
+
+
+def squeezed(rows: DataFrame) -> DataFrame:
+    """(doc, text) with the text as zstd frames, for shuffles of whole texts; ``unsqueezed`` reads it back."""
+    import zstandard
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            texts = b.column("text").cast(pa.large_binary())
+            out = pa.array([press.compress(x.as_buffer()) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc"), out], names=["doc", "text"])
+
+    return rows.select("doc", "text").mapInArrow(squeeze, "doc long, text binary")
+
+
+def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    for b in batches:
+        texts = pa.array([press.decompress(x.as_buffer()) for x in b.column("text")], pa.large_binary()).cast(pa.large_string())
+        at = b.schema.get_field_index("text")
+        yield pa.RecordBatch.from_arrays([texts if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)

@@ -11,8 +11,9 @@ Plan:
    screen places that may repeat. Within a map task equal fingerprints are
    combined first, so a passage in a third of all rows sends one record a flush.
 2. Places that may repeat emit their edges, combined in the same way; the target
-   partition of a left node groups equal edges, whose 64-bit nodes and a separate
-   32-bit check hash must agree, and finds each edge's source.
+   partition of an edge's smallest short gram groups equal edges, whose two 64-bit
+   nodes must agree, and finds each edge's source. Edges that follow each other
+   and go to one partition travel as one run of nodes.
 3. Nodes with one edge in and one out do not branch. Runs of repeated edges that
    follow each other in their source are joined over such nodes to paths: first
    along the source, then through Spark joins by pointer doubling.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import arrow_rows, exchange, freed, groups, partitions, written
+from .exchange import arrow_rows, decode, encode, exchange, groups, partitions, squeezed, unsqueezed, written
 
 U64 = np.uint64
 SLICE = 4 << 20
@@ -42,7 +43,8 @@ FLUSH = 24 << 20
 NO_ID = -(1 << 63)
 
 _FINGER = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("known", "<i4")])
-_EDGE = np.dtype([("left", "<u8"), ("right", "<u8"), ("check", "<u4"), ("rid", "<u4"), ("doc", "<i8"), ("pos", "<i4"), ("known", "<i4")])
+_EDGE = np.dtype([("left", "<u8"), ("right", "<u8"), ("rid", "<u4"), ("doc", "<i8"), ("pos", "<i4"), ("known", "<i4"), ("home", "<u8")])
+_RUN = np.dtype([("doc", "<i8"), ("rid", "<u4"), ("pos", "<i4"), ("length", "<i4"), ("known", "<i4")])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -106,7 +108,12 @@ def screen(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 out["hash"], out["doc"], out["pos"] = h[at], doc[owner[at]], at - first[owner[at]]
                 yield out
 
-        yield from flushed(parts(), lambda x: combine_local(x, x["hash"].copy()))
+        def combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            records, keys = combine_local(records, records["hash"].copy())
+            order = np.lexsort((records["pos"], records["doc"]))
+            return records[order], keys[order]
+
+        yield from flushed(parts(), combine)
 
     def reducer(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         settled = records["known"] == 1
@@ -138,9 +145,9 @@ def spot_mask(spots: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """Joins the gathered lists of each document to its rows."""
+    """Joins the gathered lists of each document to its rows; texts travel compressed."""
     gathered = lists.groupBy("doc").agg(F.flatten(F.collect_list(column)).alias(column))
-    return docs.join(gathered, "doc", "left")
+    return squeezed(docs).join(gathered, "doc", "left")
 
 
 def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
@@ -153,7 +160,7 @@ def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
 
     def mapper(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         def parts() -> Iterator[np.ndarray]:
-            for part, doc, data, offsets in pieces(batches):
+            for part, doc, data, offsets in pieces(unsqueezed(batches)):
                 starts, ends, first = S.words(data, offsets)
                 if len(starts) < window:
                     continue
@@ -170,17 +177,19 @@ def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 if not len(at):
                     continue
                 nodes = S.grams(h, window - 1)
-                check = S.grams(h, window, seed=7)
+                home = S.sliding_min(S.grams(h, gram), reach)
                 owner = np.searchsorted(first, at, "right") - 1
                 out = np.zeros(len(at), _EDGE)
-                out["left"], out["right"], out["check"] = nodes[at], nodes[at + 1], check[at] >> U64(32)
+                out["left"], out["right"], out["home"] = nodes[at], nodes[at + 1], home[at]
                 out["doc"], out["pos"], out["rid"] = doc[owner], at - first[owner], rid[owner]
                 yield out
 
-        yield from flushed(parts(), lambda x: by_node(*combine_local(x, edge_key(x))))
+        yield from flushed(parts(), combine)
 
-    def by_node(records: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return records, np.where(records["known"] == 1, keys, records["left"])
+    def combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        records, _ = combine_local(records, edge_key(records))
+        records = records[np.lexsort((records["pos"], records["rid"], records["doc"]))]
+        return records, S.mix(records["home"])
 
     def reducer(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         settled = records["known"] == 1
@@ -209,11 +218,45 @@ def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
             yield edge_rows(np.zeros(len(out), U64), np.zeros(len(out), U64), out["doc"], out["rid"], out["pos"], length, np.zeros(len(out)))
 
     schema = "left long, right long, doc long, rid long, pos long, length long, n_docs long"
-    return exchange(marked, mapper, _EDGE, reducer, schema)
+    return exchange(marked, mapper, _EDGE, reducer, schema, encode_edges, decode_edges)
+
+
+def encode_edges(x: np.ndarray) -> bytes:
+    """Runs of edges (sorted by doc, rid, pos) as a header each and their nodes; settled edges need no nodes."""
+    new = np.ones(len(x), bool)
+    new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["rid"][1:] != x["rid"][:-1]) | (x["pos"][1:] != x["pos"][:-1] + 1) | (x["known"][1:] != x["known"][:-1])
+    begin = np.flatnonzero(new)
+    run = np.empty(len(begin), _RUN)
+    for c in ("doc", "rid", "pos", "known"):
+        run[c] = x[c][begin]
+    run["length"] = np.diff(np.append(begin, len(x)))
+    open_ = x["known"] != 1
+    last = np.append(begin[1:], len(x)) - 1
+    head = encode(run)
+    return np.array([len(run), len(head)], np.int64).tobytes() + head + x["left"][open_].tobytes() + x["right"][last[run["known"] != 1]].tobytes()
+
+
+def decode_edges(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    n, size = np.frombuffer(data[:16].tobytes(), np.int64)
+    run = decode(data[16 : 16 + size], _RUN)
+    length = run["length"].astype(np.int64)
+    begin = np.cumsum(length) - length
+    out = np.zeros(length.sum(), dtype)
+    for c in ("doc", "rid", "known"):
+        out[c] = np.repeat(run[c], length)
+    out["pos"] = np.repeat(run["pos"] - begin, length) + np.arange(len(out))
+    nodes = np.frombuffer(data[16 + size :].tobytes(), np.uint64)
+    open_ = out["known"] != 1
+    m = int(open_.sum())
+    out["left"][open_] = nodes[:m]
+    last = (begin + length - 1)[run["known"] != 1]
+    out["right"][:-1] = out["left"][1:]
+    out["right"][last] = nodes[m:]
+    return out
 
 
 def edge_key(x: np.ndarray) -> np.ndarray:
-    return S.mix(x["left"] * U64(3) + x["right"]) ^ x["check"].astype(U64)
+    return S.mix(x["left"] * U64(3) + x["right"])
 
 
 def edge_rows(left, right, doc, rid, pos, length, n_docs) -> pa.RecordBatch:
@@ -273,9 +316,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> tuple[Da
     rows = keyed(docs)
     spots = written(screen(rows, window, gram), "spots")
     found = written(edges(with_lists(rows, spots, "spots"), window, gram), "edges")
-    freed(spark)
     covered = found.where("n_docs = 0").select("doc", F.struct("rid", "pos", "length").alias("run"))
-    return rows.join(covered.groupBy("doc").agg(F.collect_list("run").alias("runs")), "doc", "left"), paths(found.where("n_docs > 0")), covered
+    marked = squeezed(rows).join(covered.groupBy("doc").agg(F.collect_list("run").alias("runs")), "doc", "left")
+    return marked, paths(found.where("n_docs > 0")), covered
 
 
 def kept_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, drop: np.ndarray) -> bytes:
@@ -286,7 +329,7 @@ def digests(marked: DataFrame, window: int) -> DataFrame:
     """Per row: n_words, n_removed, kept_text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, doc, data, offsets in pieces(batches):
+        for part, doc, data, offsets in pieces(unsqueezed(batches)):
             starts, ends, first = S.words(data, offsets)
             rid = row_ids(data, offsets, S.prefix(data))
             lists = part.column("runs")
