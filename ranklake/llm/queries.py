@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dup, substring
+from . import decontaminate, near_dup, pii, substring, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.query,
         "op2_near_duplicates": near_dup.query,
+        "op3_toxicity": toxicity.query,
         "op4_decontamination": decontaminate.query,
         "op10_substring_dedup": substring.query,
     }
