@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dup, pii, substring, toxicity
+from . import decontaminate, media, near_dup, packing, pii, substring, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_near_duplicates": near_dup.query,
         "op3_toxicity": toxicity.query,
         "op4_decontamination": decontaminate.query,
+        "op7_packing": packing.query,
+        "op9_media": media.query,
         "op10_substring_dedup": substring.query,
     }
 
