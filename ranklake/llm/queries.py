@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, near_dup, packing, pii, substring, toxicity
+from . import decontaminate, html_text, langid, media, near_dup, packing, pii, substring, toxicity
+
+
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -11,9 +17,12 @@ def queries() -> dict:
         "op2_near_duplicates": near_dup.query,
         "op3_toxicity": toxicity.query,
         "op4_decontamination": decontaminate.query,
+        "op5_language": langid.query,
         "op7_packing": packing.query,
+        "op8_html_text": html_text.query,
         "op9_media": media.query,
         "op10_substring_dedup": substring.query,
+        "pipeline": _pipeline,
     }
 
 
