@@ -34,6 +34,7 @@ BITS = 22
 TRAIN_ROWS = 16_000
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 1.5, 1.0, 2
+SLICE = 2 << 20
 _BREAKS = np.zeros(256, bool)
 _BREAKS[:128] = True
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -104,23 +105,52 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.n
     return model.column("feature").to_numpy(), model.column("weight").to_numpy()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, score) of every row."""
-    arrow_rows(docs.sparkSession)
+def _scorer(model: tuple[np.ndarray, np.ndarray]):
+    """A function from texts to scores, to be called on the executors."""
     at, weights = model
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         dense = np.zeros(1 << BITS)
         dense[at] = weights
+
+        def rate(texts: pa.Array) -> np.ndarray:
+            ids, owners = features(texts)
+            live = dense[ids] != 0
+            key = np.unique(owners[live] * (1 << BITS) + ids[live])
+            margin = np.bincount(key >> BITS, weights=dense[key & ((1 << BITS) - 1)], minlength=len(texts))
+            return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+
+        return rate
+
+    return make
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, score) of every row."""
+    arrow_rows(docs.sparkSession)
+    make = _scorer(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = make()
         for b in batches:
-            for part in S.slices(b, "text", 4 << 20):
-                ids, owners = features(part.column("text"))
-                live = dense[ids] != 0
-                key = np.unique(owners[live] * (1 << BITS) + ids[live])
-                margin = np.bincount(key >> BITS, weights=dense[key & ((1 << BITS) - 1)], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], names=["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rate, "doc_id long, score double")
+            for part in S.slices(b, "text", SLICE):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rate(part.column("text")))], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs with a score under the threshold, all columns as they are."""
+    arrow_rows(docs.sparkSession)
+    make = _scorer(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = make()
+        for b in batches:
+            for part in S.slices(b, "text", SLICE):
+                yield part.filter(pa.array(rate(part.column("text")) < threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def held_out(doc_id) -> "F.Column":
