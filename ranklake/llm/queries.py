@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, langid, media, near_dup, packing, pii, substring, toxicity
+from . import decontaminate, html_text, langid, media, near_dup, packing, pii, substring, suffix_array, toxicity
 
 
 def _pipeline(spark, sf_dir: str):
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.query,
         "op4_decontamination": decontaminate.query,
         "op5_language": langid.query,
+        "op6_suffix_array": suffix_array.query,
         "op7_packing": packing.query,
         "op8_html_text": html_text.query,
         "op9_media": media.query,
