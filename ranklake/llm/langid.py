@@ -67,8 +67,9 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
             logs = np.log((n + 0.5) / (n.sum() + 0.5 * len(n))).astype("<f4")
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([logs.tobytes()], pa.binary())], names=["lang", "logs"])
 
-    sample = labelled.where("text is not null and lang != ''").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).coalesce(1)
+    usable = labelled.where("text is not null and lang != ''").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = usable.join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("doc_id")
     found = sorted(sample.select("text", "lang").mapInArrow(fit, "lang string, logs binary").limit(MOST_LANGUAGES).collect())
     return [r.lang for r in found], np.array([np.frombuffer(r.logs, "<f4") for r in found]).reshape(len(found), 1 << BITS)
 

@@ -33,7 +33,7 @@ U64 = np.uint64
 BITS = 22
 TRAIN_ROWS = 16_000
 THRESHOLD = 0.3
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 1.5, 1.0, 2
+ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 3
 SLICE = 2 << 20
 _BREAKS = np.zeros(256, bool)
 _BREAKS[:128] = True
@@ -71,8 +71,8 @@ def by_document(ids: np.ndarray, owners: np.ndarray, n: int) -> list[np.ndarray]
     return np.split(key & ((1 << BITS) - 1), np.searchsorted(key, np.arange(1, n) << BITS))
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, weight) of the nonzero weights, from columns doc_id, text, toxic."""
+def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, weight) of the nonzero weights, from the bounded columns doc_id, text, toxic of ``training_rows``."""
     arrow_rows(labelled.sparkSession)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +99,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.n
         kept = w != 0
         yield pa.RecordBatch.from_arrays([pa.array(i[kept]), pa.array(w[kept])], names=["feature", "weight"])
 
-    sample = labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).coalesce(1)
+    sample = labelled.where("text is not null").select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "toxic")
     model = sample.select("text", "toxic").mapInArrow(fit, "feature long, weight double").toArrow()
     return model.column("feature").to_numpy(), model.column("weight").to_numpy()
 
@@ -157,9 +156,11 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The texts of at most ``rows`` labels that are not held out; only those few labels are broadcast."""
+    known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
