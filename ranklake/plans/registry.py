@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+MODULES = ("movement", "relations", "summaries", "samples", "scalars", "corpus", "retrieval", "estimators", "vectors", "judging", "upkeep")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
         _QUERIES[name] = f
         if sql is not None:
             _SQL[name] = sql
@@ -22,14 +29,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"{__package__}.{m}")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+    """By how much, and how often, re-ranking moves items, overall and for each cell."""
+    _load()
+    return _QUERIES["a10_movement"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    _load()
+    return dict(_SQL)
