@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_PACKED = "part int, payload binary"
+PACKED = "part int, payload binary"
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
@@ -39,23 +39,54 @@ def from_planes(data: np.ndarray, n: int, dtype: np.dtype) -> np.ndarray:
     return np.cumsum(steps, dtype=dtype)
 
 
+def hashes(values: np.ndarray, name: str) -> bytes:
+    if name != "hash":
+        return values.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
 def encode(records: np.ndarray) -> bytes:
-    """Columns one after another; all but unsigned 64-bit hashes as planes of differences."""
-    parts = [records[c].tobytes() if records.dtype[c] == np.uint64 else planes(records[c]) for c in records.dtype.names]
+    """Columns one after another; all but unsigned 64-bit hashes as planes of differences. A column named "hash" only
+    groups candidates: its upper six bytes travel."""
+    parts = [hashes(records[c], c) if records.dtype[c] == np.uint64 else planes(records[c]) for c in records.dtype.names]
     return b"".join(parts)
 
 
 def decode(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
-    n = len(data) // dtype.itemsize
-    out, at = np.empty(n, dtype), 0
+    short = "hash" in dtype.names
+    n = len(data) // (dtype.itemsize - 2 * short)
+    out, at = np.zeros(n, dtype), 0
     for c in dtype.names:
-        size = dtype[c].itemsize * n
+        size = (6 if c == "hash" else dtype[c].itemsize) * n
         part = data[at : at + size]
-        out[c] = np.frombuffer(part.tobytes(), np.uint64) if dtype[c] == np.uint64 else from_planes(part, n, dtype[c])
+        if c == "hash":
+            whole = np.zeros((n, 8), np.uint8)
+            whole[:, 2:] = part.reshape(n, 6)
+            out[c] = whole.view(np.uint64).ravel()
+        elif dtype[c] == np.uint64:
+            out[c] = np.frombuffer(part.tobytes(), np.uint64)
+        else:
+            out[c] = from_planes(part, n, dtype[c])
         at += size
     return out
 
 
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, and when a task ends its free memory goes back to the system: Python workers live on between tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not every C library has it
+            pass
+
+    return run
+
+
 def packed(records: np.ndarray, keys: np.ndarray, n: int, encoder: Callable[[np.ndarray], bytes] = encode) -> pa.RecordBatch | None:
     """One binary row for each of n targets; a record's target follows from its 64-bit key. Records keep their order."""
     if not len(records):
@@ -79,7 +110,10 @@ def exchange(
     encoder: Callable[[np.ndarray], bytes] = encode,
     decoder: Callable[[np.ndarray, np.dtype], np.ndarray] = decode,
 ) -> DataFrame:
-    """mapper(batches, n) yields (records, keys); reducer gets all records of a target partition."""
+    """mapper(batches, n) yields (records, keys); reducer gets all records of a target partition.
+
+    With the schema ``PACKED`` the reducer yields rows of ``packed`` itself, for ``gather`` to move on.
+    """
     n = partitions(df.sparkSession)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,6 +122,18 @@ def exchange(
             if out is not None:
                 yield out
 
+    return gather(df.mapInArrow(tidy(mapped), PACKED), dtype, reducer, schema, decoder)
+
+
+def gather(
+    parts: DataFrame,
+    dtype: np.dtype,
+    reducer: Callable[[np.ndarray], Iterator[pa.RecordBatch]],
+    schema: str,
+    decoder: Callable[[np.ndarray, np.dtype], np.ndarray] = decode,
+) -> DataFrame:
+    """Moves packed rows to their partitions; reducer gets all records of a partition."""
+
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [decoder(np.frombuffer(x.as_buffer(), np.uint8), dtype) for b in batches for x in b.column(1)]
         if blobs:
@@ -95,11 +141,14 @@ def exchange(
             del blobs
             yield from reducer(records)
 
-    return df.mapInArrow(mapped, _PACKED).repartitionById(n, "part").mapInArrow(reduced, schema)
+    return parts.repartitionById(partitions(parts.sparkSession), "part").mapInArrow(tidy(reduced), schema)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below the shared checkpoint folder and reads it back, which cuts lineage."""
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Writes df as Parquet below the shared checkpoint folder and reads it back, which cuts lineage.
+
+    With ``free`` the shuffles behind df, if nothing else refers to them, are dropped at once.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -109,15 +158,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
-    freed(spark)
+    if free:
+        freed(spark)
     return spark.read.schema(schema).parquet(path)
 
 
 def freed(spark: SparkSession) -> None:
-    """Asks the JVM to collect what is no longer referenced, so that finished shuffles' files go early."""
+    """Asks the JVM to collect what is no longer referenced, so that finished shuffles' files go early.
+
+    Python's references reach the JVM through a worker that looks about once a second.
+    """
     import gc
+    import time
 
     gc.collect()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -141,7 +196,7 @@ def squeezed(rows: DataFrame) -> DataFrame:
             out = pa.array([press.compress(x.as_buffer()) for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc"), out], names=["doc", "text"])
 
-    return rows.select("doc", "text").mapInArrow(squeeze, "doc long, text binary")
+    return rows.select("doc", "text").mapInArrow(tidy(squeeze), "doc long, text binary")
 
 
 def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

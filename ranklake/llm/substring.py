@@ -35,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import arrow_rows, decode, encode, exchange, groups, partitions, squeezed, unsqueezed, written
+from .exchange import PACKED, arrow_rows, decode, encode, exchange, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
 
 U64 = np.uint64
-SLICE = 4 << 20
-FLUSH = 24 << 20
+SLICE = 2 << 20
+FLUSH = 16 << 20
 NO_ID = -(1 << 63)
 
 _FINGER = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("known", "<i4")])
+_SPOT = np.dtype([("doc", "<i8"), ("pos", "<i4")])
+COVER = np.dtype([("doc", "<i8"), ("rid", "<u4"), ("pos", "<i4"), ("length", "<i4")])
 _EDGE = np.dtype([("left", "<u8"), ("right", "<u8"), ("rid", "<u4"), ("doc", "<i8"), ("pos", "<i4"), ("known", "<i4"), ("home", "<u8")])
 _RUN = np.dtype([("doc", "<i8"), ("rid", "<u4"), ("pos", "<i4"), ("length", "<i4"), ("known", "<i4")])
 
@@ -91,8 +93,9 @@ def combine_local(records: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np
 
 
 def screen(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc, spots): word places whose fingerprint starts in two or more documents; one row for each part of a document's places."""
+    """(doc, spots): word places whose fingerprint starts in two or more documents."""
     reach = window - gram + 1
+    n = partitions(docs.sparkSession)
 
     def mapper(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         def parts() -> Iterator[np.ndarray]:
@@ -125,15 +128,23 @@ def screen(docs: DataFrame, window: int, gram: int) -> DataFrame:
             counts = np.diff(np.append(starts, len(open_)))
             shared = np.minimum.reduceat(open_["doc"], starts) < np.maximum.reduceat(open_["doc"], starts)
             keep.append(open_[np.repeat(shared, counts) | (open_["known"] == 2)])
-        out = np.concatenate(keep)
-        order = np.argsort(out["doc"], kind="stable")
-        out = out[order]
-        cut = np.flatnonzero(np.diff(out["doc"])) + 1
-        begin = np.concatenate([[0], cut, [len(out)]]) if len(out) else np.zeros(1, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(out["pos"]))
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc"][begin[:-1]]), lists], names=["doc", "spots"])
+        found = np.concatenate(keep)
+        out = np.empty(len(found), _SPOT)
+        out["doc"], out["pos"] = found["doc"], found["pos"]
+        out = out[np.lexsort((out["pos"], out["doc"]))]
+        blobs = packed(out, S.mix(out["doc"].view(U64)), n)
+        if blobs is not None:
+            yield blobs
 
-    return exchange(docs, mapper, _FINGER, reducer, "doc long, spots array<int>")
+    return gather(exchange(docs, mapper, _FINGER, reducer, PACKED), _SPOT, spot_lists, "doc long, spots array<int>")
+
+
+def spot_lists(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each document with its places in order."""
+    records = records[np.lexsort((records["pos"], records["doc"]))]
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(records["doc"]) != 0]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(records)).astype(np.int32)), pa.array(records["pos"].copy()))
+    yield pa.RecordBatch.from_arrays([pa.array(records["doc"][begin]), lists], names=["doc", "spots"])
 
 
 def spot_mask(spots: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
@@ -144,19 +155,14 @@ def spot_mask(spots: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """Joins the gathered lists of each document to its rows; texts travel compressed."""
-    gathered = lists.groupBy("doc").agg(F.flatten(F.collect_list(column)).alias(column))
-    return squeezed(docs).join(gathered, "doc", "left")
-
-
 def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
     """Repeated edges and covered places.
 
-    Rows with ``n_docs`` > 0 are repeated edges with their source; rows with 0 say that a run of
-    ``length`` windows of document ``doc`` (with text ``rid``) from place ``pos`` is covered.
+    Rows with a left node are repeated edges with their source; rows with a part hold packed runs of
+    covered windows, for ``gather`` to bring to their documents.
     """
     reach = window - gram + 1
+    n = partitions(marked.sparkSession)
 
     def mapper(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         def parts() -> Iterator[np.ndarray]:
@@ -206,18 +212,24 @@ def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
             place = np.where(later, np.int64(1) << 40, open_["pos"])
             source = np.minimum.reduceat(place, starts)[repeated]
             lead = open_[starts[repeated]]
-            yield edge_rows(lead["left"], lead["right"], low[repeated], np.zeros(len(lead), np.uint32), source, np.ones(len(lead)), counts[repeated])
-        out = np.concatenate(covered)
-        out = out[np.lexsort((out["pos"], out["rid"], out["doc"]))]
-        if len(out):
-            new = np.ones(len(out), bool)
-            new[1:] = (out["doc"][1:] != out["doc"][:-1]) | (out["rid"][1:] != out["rid"][:-1]) | (out["pos"][1:] != out["pos"][:-1] + 1)
-            begin = np.flatnonzero(new)
-            length = np.diff(np.append(begin, len(out)))
-            out = out[begin]
-            yield edge_rows(np.zeros(len(out), U64), np.zeros(len(out), U64), out["doc"], out["rid"], out["pos"], length, np.zeros(len(out)))
-
-    schema = "left long, right long, doc long, rid long, pos long, length long, n_docs long"
+            cols = [lead["left"].copy().view(np.int64), lead["right"].copy().view(np.int64), low[repeated], source]
+            none = [pa.nulls(len(lead), pa.int32()), pa.nulls(len(lead), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *none], names=["left", "right", "doc", "pos", "part", "payload"])
+        x = np.concatenate(covered)
+        x = x[np.lexsort((x["pos"], x["rid"], x["doc"]))]
+        new = np.ones(len(x), bool)
+        new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["rid"][1:] != x["rid"][:-1]) | (x["pos"][1:] != x["pos"][:-1] + 1)
+        begin = np.flatnonzero(new)
+        runs = np.empty(len(begin), COVER)
+        for c in ("doc", "rid", "pos"):
+            runs[c] = x[c][begin]
+        runs["length"] = np.diff(np.append(begin, len(x)))
+        moved = packed(runs, S.mix(runs["doc"].view(U64)), n)
+        if moved is not None:
+            empty = [pa.nulls(moved.num_rows, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*empty, *moved.columns], names=["left", "right", "doc", "pos", "part", "payload"])
+
+    schema = "left long, right long, doc long, pos long, part int, payload binary"
     return exchange(marked, mapper, _EDGE, reducer, schema, encode_edges, decode_edges)
 
 
@@ -259,10 +271,22 @@ def edge_key(x: np.ndarray) -> np.ndarray:
     return S.mix(x["left"] * U64(3) + x["right"])
 
 
-def edge_rows(left, right, doc, rid, pos, length, n_docs) -> pa.RecordBatch:
-    names = ["left", "right", "doc", "rid", "pos", "length", "n_docs"]
-    cols = [left.view(np.int64), right.view(np.int64), doc, rid, pos, length, n_docs]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in cols], names=names)
+def run_lists(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each document with its covered runs (rid, pos, length), joined where they touch."""
+    x = records[np.lexsort((records["pos"], records["rid"], records["doc"]))]
+    if not len(x):
+        return
+    new = np.ones(len(x), bool)
+    new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["rid"][1:] != x["rid"][:-1]) | (x["pos"][1:] > x["pos"][:-1] + x["length"][:-1])
+    first = np.flatnonzero(new)
+    stop = np.maximum.reduceat(x["pos"].astype(np.int64) + x["length"], first)
+    x = x[first]
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(x["doc"]) != 0]))
+    run = pa.StructArray.from_arrays([pa.array(x["rid"].astype(np.int64)), pa.array(x["pos"].astype(np.int64)), pa.array(stop - x["pos"])], names=["rid", "pos", "length"])
+    yield pa.RecordBatch.from_arrays([pa.array(x["doc"][cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(x)).astype(np.int32)), run)], names=["doc", "runs"])
+
+
+RUNS = "doc long, runs array<struct<rid:long,pos:long,length:long>>"
 
 
 def paths(repeated: DataFrame) -> DataFrame:
@@ -294,8 +318,8 @@ def paths(repeated: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "pos", "length", "head", "tail", "inner"])
 
     n = partitions(spark)
-    runs_ = flagged.select("doc", "pos", "left", "right", "inner").repartition(n, "doc").mapInArrow(along, "doc long, pos long, length long, head long, tail long, inner boolean")
-    runs_ = written(runs_.withColumn("run", F.xxhash64("doc", "pos")), "runs")
+    runs_ = flagged.select("doc", "pos", "left", "right", "inner").repartition(n, "doc").mapInArrow(tidy(along), "doc long, pos long, length long, head long, tail long, inner boolean")
+    runs_ = written(runs_.withColumn("run", F.xxhash64("doc", "pos")), "runs", free=True)
     # a run whose first node does not branch goes on another run, which ends there
     before = runs_.where("inner").select(F.col("head").alias("tail"), F.col("run").alias("after"))
     link = before.join(runs_.select("tail", "run"), "tail").select(F.col("after").alias("run"), F.col("run").alias("root"), F.col("run").alias("low"))
@@ -309,16 +333,15 @@ def paths(repeated: DataFrame) -> DataFrame:
     return runs_.join(state.select("run", F.col("root").alias("path")), "run").select("path", "doc", "pos", "length")
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with removed word ranges, repeated paths, covered runs)."""
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(compressed texts with covered runs, repeated paths)."""
     spark = docs.sparkSession
     arrow_rows(spark)
     rows = keyed(docs)
-    spots = written(screen(rows, window, gram), "spots")
-    found = written(edges(with_lists(rows, spots, "spots"), window, gram), "edges")
-    covered = found.where("n_docs = 0").select("doc", F.struct("rid", "pos", "length").alias("run"))
-    marked = squeezed(rows).join(covered.groupBy("doc").agg(F.collect_list("run").alias("runs")), "doc", "left")
-    return marked, paths(found.where("n_docs > 0")), covered
+    spots = written(screen(rows, window, gram), "spots", free=True)
+    found = written(edges(squeezed(rows).join(spots, "doc"), window, gram), "edges", free=True)
+    covered = gather(found.where("part is not null").select("part", "payload"), COVER, run_lists, RUNS)
+    return squeezed(rows).join(covered, "doc", "left"), paths(found.where("left is not null"))
 
 
 def kept_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, drop: np.ndarray) -> bytes:
@@ -350,12 +373,12 @@ def digests(marked: DataFrame, window: int) -> DataFrame:
                 names=["doc", "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
-    return marked.mapInArrow(rows, "doc long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return marked.mapInArrow(tidy(rows), "doc long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: digest of every document after the removal, with the number of repeated paths whose source it holds."""
-    marked, found, _ = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    marked, found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     held = found.groupBy("doc").agg(F.countDistinct("path").alias("n_paths"))
     out = digests(marked, 13).drop("kept_text").join(held, "doc", "left")
     return out.select(F.expr(f"nullif(doc, {NO_ID})").alias("doc_id"), "n_words", "n_removed", "kept_sha256", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))

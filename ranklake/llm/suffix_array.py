@@ -34,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import PACKED, arrow_rows, decode, encode, exchange, gather, groups, packed, partitions, squeezed, unsqueezed, written
-from .substring import _FINGER, _SPOT, NO_ID, combine_local, keyed, row_ids, spot_lists, spot_mask
+from .exchange import PACKED, arrow_rows, decode, encode, exchange, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
+from .substring import _FINGER, _SPOT, COVER, NO_ID, RUNS, combine_local, keyed, row_ids, run_lists, spot_lists, spot_mask
 
 U64 = np.uint64
 LENGTH, GRAM = 50, 24
@@ -47,7 +48,6 @@ REACH = LENGTH - GRAM + 1
 SLICE, FLUSH, BLOCK = 256 << 10, 12 << 20, 1 << 20
 
 _STRETCH = np.dtype([("text", "<u8"), ("home", "<u8"), ("doc", "<i8"), ("rid", "<u4"), ("pos", "<i4"), ("length", "<i4"), ("known", "<i4"), ("at", "<i8")])
-_COVER = np.dtype([("doc", "<i8"), ("rid", "<u4"), ("pos", "<i4"), ("length", "<i4")])
 
 
 # ---- the suffix sort ---------------------------------------------------------
@@ -254,6 +254,7 @@ def _pack_stretches(records: np.ndarray, text: np.ndarray, n: int) -> Iterator[p
     order = np.lexsort((records["pos"], records["doc"], part))
     records, part = records[order], part[order]
     used, starts = np.unique(part, return_index=True)
+    press = zstandard.ZstdCompressor(level=3)
     blobs = []
     for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
         own = records[a:b]
@@ -262,12 +263,13 @@ def _pack_stretches(records: np.ndarray, text: np.ndarray, n: int) -> Iterator[p
             head[c] = own[c]
         open_ = own[own["known"] != 1]
         body = text[_ranges(open_["at"], open_["length"].astype(np.int64) + LENGTH - 1)].tobytes() if len(open_) else b""
-        blobs.append(np.array([len(own)], np.int64).tobytes() + encode(head) + body)
+        blobs.append(np.array([len(own)], np.int64).tobytes() + encode(head) + press.compress(body))
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "payload"])
 
 
 def _unpack_stretches(blobs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     heads, texts, shift = [], [], 0
+    press = zstandard.ZstdDecompressor()
     for b in blobs:
         n = int(np.frombuffer(b[:8].tobytes(), np.int64)[0])
         end = 8 + n * _HEAD.itemsize
@@ -278,13 +280,13 @@ def _unpack_stretches(blobs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         size = np.where(out["known"] != 1, out["length"].astype(np.int64) + LENGTH - 1, 0)
         out["at"] = shift + np.cumsum(size) - size
         heads.append(out)
-        texts.append(b[end:])
-        shift += len(b) - end
+        texts.append(np.frombuffer(press.decompress(b[end:].tobytes()), np.uint8))
+        shift += len(texts[-1])
     return np.concatenate(heads), np.concatenate(texts)
 
 
 def _covers(doc, rid, pos, length) -> np.ndarray:
-    out = np.empty(len(doc), _COVER)
+    out = np.empty(len(doc), COVER)
     out["doc"], out["rid"], out["pos"], out["length"] = doc, rid, pos, length
     return out
 
@@ -378,27 +380,16 @@ def covered(marked: DataFrame) -> DataFrame:
         if rows is not None:
             yield rows
 
-    def lists(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x = records[np.lexsort((records["pos"], records["rid"], records["doc"]))]
-        new = np.ones(len(x), bool)
-        new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["rid"][1:] != x["rid"][:-1]) | (x["pos"][1:] > x["pos"][:-1] + x["length"][:-1])
-        first = np.flatnonzero(new)
-        stop = np.maximum.reduceat(x["pos"].astype(np.int64) + x["length"], first)
-        x = x[first]
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(x["doc"]) != 0]))
-        run = pa.StructArray.from_arrays([pa.array(x["rid"].astype(np.int64)), pa.array(x["pos"].astype(np.int64)), pa.array(stop - x["pos"])], names=["rid", "pos", "length"])
-        yield pa.RecordBatch.from_arrays([pa.array(x["doc"][cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(x)).astype(np.int32)), run)], names=["doc", "runs"])
-
-    moved = marked.mapInArrow(mapped, PACKED).repartitionById(n, "part").mapInArrow(reduced, PACKED)
-    return gather(moved, _COVER, lists, "doc long, runs array<struct<rid:long,pos:long,length:long>>")
+    moved = marked.mapInArrow(tidy(mapped), PACKED).repartitionById(n, "part").mapInArrow(tidy(reduced), PACKED)
+    return gather(moved, COVER, run_lists, RUNS)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc, text, runs): compressed texts with their covered runs."""
     arrow_rows(docs.sparkSession)
     rows = keyed(docs)
-    spots = written(screen(rows), "spots")
-    runs = written(covered(squeezed(rows).join(spots, "doc")), "covered")
+    spots = written(screen(rows), "spots", free=True)
+    runs = written(covered(squeezed(rows).join(spots, "doc")), "covered", free=True)
     return squeezed(rows).join(runs, "doc", "left")
 
 
@@ -424,7 +415,7 @@ def digests(marked: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return marked.mapInArrow(rows, "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return marked.mapInArrow(tidy(rows), "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
