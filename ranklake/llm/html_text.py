@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import arrow_rows
+from .exchange import arrow_rows, tidy
 
 _PART = re.compile(
     r"<!--(?s:.*?)(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|button|iframe|object|canvas|head)\b[^>]*+>(?s:.*?)(?:</\1\s*>|\Z)"
@@ -308,7 +308,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x, node, pair) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(rows, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(tidy(rows), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import html_text
 from . import spans as S
-from .exchange import arrow_rows, written
+from .exchange import arrow_rows, tidy, written
 
 U64 = np.uint64
 BITS, TRAIN_ROWS, TEMPER, STRENGTH, MOST_LANGUAGES = 16, 4_000, 0.2, 5.0, 256
@@ -70,7 +70,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
     usable = labelled.where("text is not null and lang != ''").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = usable.join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("doc_id")
-    found = sorted(sample.select("text", "lang").mapInArrow(fit, "lang string, logs binary").limit(MOST_LANGUAGES).collect())
+    found = sorted(sample.select("text", "lang").mapInArrow(tidy(fit), "lang string, logs binary").limit(MOST_LANGUAGES).collect())
     return [r.lang for r in found], np.array([np.frombuffer(r.logs, "<f4") for r in found]).reshape(len(found), 1 << BITS)
 
 
@@ -99,7 +99,7 @@ def text_scores(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFr
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "suffix", "declared")), lists], names=["page_id", "url", "host", "suffix", "declared", "logs"])
 
     own = _address(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")))
-    return own.select("page_id", "url", "host", "suffix", "declared", "html").mapInArrow(rows, "page_id long, url string, host string, suffix string, declared string, logs array<double>")
+    return own.select("page_id", "url", "host", "suffix", "declared", "html").mapInArrow(tidy(rows), "page_id long, url string, host string, suffix string, declared string, logs array<double>")
 
 
 def _softmax(logs):

@@ -35,7 +35,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import arrow_rows
+from .exchange import arrow_rows, tidy
 
 BLOCK, PAD = 576, 255
 RATE, UP, DOWN = 8000, 2, 3
@@ -201,7 +201,7 @@ def describe(docs: DataFrame, media: bool = True, tensors: bool = True) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(out[c], t) for c, (_, t) in fields.items())], names=["doc_id", *fields])
 
     schema = "doc_id long, " + ", ".join(f"{c} {t}" for c, (t, _) in fields.items())
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(rows), schema)
 
 
 def fixed_shape(table: pa.Table) -> pa.Table:

@@ -8,11 +8,13 @@ sequences matches m items with m / (n1 + n2 - m) >= ``SIMILARITY``; the band fol
 from that bound, so it loses no such alignment. Classes are connected components.
 
 Scale: equal texts fall together first and only their smallest doc_id goes on. No
-bucket is expanded to all its pairs: its members are compared with a leader chosen
-by hash (another in each bucket), those that fail with a further leader, and after
-``ROUNDS`` rounds every pair of a bucket whose members still stand in different
-components is compared, so each pair that shares a bucket is linked, or within one
-component, or tested. Groups move through joins that Spark can split.
+bucket is expanded to all its pairs: its members are compared with its smallest
+document, those that fail with the next one left, and so on for ``ROUNDS`` rounds; the
+buckets of one group share their leaders, so few pairs are different. Pairs of a
+bucket that then still stand in different components are all looked at, and aligned
+if their ``BOTTOM`` smallest items allow the similarity (a pair at 0.8 shares fewer than
+``SHARED`` of them with a probability of about 1e-6). Groups move through joins that Spark
+can split.
 
 Words are runs of characters other than ASCII white space, in lower case for
 A-Z. A text of fewer than SHINGLE words is one item; a text without words equals
@@ -32,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import arrow_rows, freed, groups, written
+from .exchange import arrow_rows, groups, squeezed, tidy, unsqueezed, written
 from .substring import NO_ID, keyed, pieces
 
 U64 = np.uint64
-SHINGLE, SIMILARITY, SKETCHES, DEPTH, ROUNDS = 5, 0.8, 16, 3, 2
+SHINGLE, SIMILARITY, SKETCHES, DEPTH, ROUNDS = 5, 0.8, 16, 3, 3
+BOTTOM, SHARED = 64, 35
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TOP = U64(2**64 - 1)
@@ -95,39 +98,49 @@ def sketches(item: np.ndarray, place: np.ndarray, m: int = SKETCHES, depth: int
     return out
 
 
+def bottom(item: np.ndarray, place: np.ndarray, size: int = BOTTOM) -> pa.ListArray:
+    """The upper halves of each document's smallest items."""
+    parts = [item[a:b] if b - a <= size else np.partition(item[a:b], size - 1)[:size] for a, b in zip(place[:-1], place[1:], strict=True)]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    values = (np.concatenate(parts) >> U64(32)).astype(np.uint32).view(np.int32) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def signed(rows: DataFrame) -> DataFrame:
-    """(doc, digest, n, keys) of each row."""
+    """(doc, digest, n, keys, low) of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, doc, data, offsets in pieces(batches):
             item, place = items(data, offsets)
             keys = sketches(item, place)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), SKETCHES).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), part.column("digest"), pa.array(np.diff(place)), lists], names=["doc", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), part.column("digest"), pa.array(np.diff(place)), lists, bottom(item, place)], names=["doc", "digest", "n", "keys", "low"])
 
-    return rows.withColumn("digest", F.md5("text")).mapInArrow(sign, "doc long, digest string, n long, keys array<long>")
+    return rows.withColumn("digest", F.md5("text")).mapInArrow(tidy(sign), "doc long, digest string, n long, keys array<long>, low array<int>")
 
 
 def sequences(rows: DataFrame) -> DataFrame:
-    """(doc, seq): the packed 64-bit items of each row."""
+    """(doc, seq): the upper halves of each row's items, packed, from compressed texts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, doc, data, offsets in pieces(batches):
+        for part, doc, data, offsets in pieces(unsqueezed(batches)):
             item, place = items(data, offsets)
-            blobs = [item[a:b].tobytes() for a, b in zip(place[:-1], place[1:], strict=True)]
+            half = (item >> U64(32)).astype(np.uint32)
+            blobs = [half[a:b].tobytes() for a, b in zip(place[:-1], place[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(blobs, pa.binary())], names=["doc", "seq"])
 
-    return rows.mapInArrow(pack, "doc long, seq binary")
+    return rows.mapInArrow(tidy(pack), "doc long, seq binary")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
     """Similarity m / (n1 + n2 - m) for the longest common subsequence of m items within the band that the
-    threshold leaves; 0 as soon as the threshold is out of reach. Items of a sequence are distinct."""
+    threshold leaves; 0 as soon as the threshold is out of reach. Repeated items are labelled, so those of a
+    sequence are distinct (but for chance, where the first counts)."""
     total = len(a) + len(b)
     need = int(np.ceil(threshold / (1 + threshold) * total - 1e-9))
     if min(len(a), len(b)) < max(need, 1):
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    _, i, j = np.intersect1d(a, b, return_indices=True)
     near = np.abs(i - j) <= total - 2 * need
     i, j = i[near], j[near]
     if len(i) < need:
@@ -153,11 +166,11 @@ def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("seq_a"), batch.column("seq_b")
-            same = [aligned(np.frombuffer(a[i].as_buffer(), U64), np.frombuffer(b[i].as_buffer(), U64)) >= SIMILARITY for i in range(batch.num_rows)]
+            same = [aligned(np.frombuffer(a[i].as_buffer(), np.uint32), np.frombuffer(b[i].as_buffer(), np.uint32)) >= SIMILARITY for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "seq_a", "seq_b")
-    return joined.mapInArrow(check, "a long, b long")
+    return joined.mapInArrow(tidy(check), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -187,20 +200,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     rows = keyed(docs)
-    signs = written(signed(rows), "signs")
-    reps = signs.groupBy("digest").agg(F.min("doc").alias("rep"), F.min_by("keys", "doc").alias("keys"), F.min_by("n", "doc").alias("n"))
+    signs = written(signed(rows), "signs", free=True)
+    reps = signs.groupBy("digest").agg(F.min("doc").alias("rep"), F.min_by(F.struct("keys", "n", "low"), "doc").alias("s")).select("digest", "rep", "s.*")
+    reps = written(reps, "reps")
     spread = written(reps.where("n > 0").select("rep", "n", F.explode("keys").alias("key")), "buckets")
     bucketed = written(spread.join(spread.groupBy("key").count().where("count > 1").select("key"), "key").dropDuplicates(["key", "rep"]), "buckets")
     involved = bucketed.select(F.col("rep").alias("doc")).distinct()
-    seqs = written(sequences(rows.join(involved, "doc", "left_semi")).dropDuplicates(["doc"]), "sequences")
-    freed(spark)
+    seqs = written(sequences(squeezed(rows).join(involved, "doc", "left_semi")).dropDuplicates(["doc"]), "sequences", free=True)
 
     links, rest = None, bucketed
     for _ in range(ROUNDS):
-        order = F.struct(F.xxhash64("key", "rep").alias("h"), F.col("rep"), F.col("n"))
+        order = F.struct(F.col("rep"), F.col("n"))
         leaders = rest.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead.rep", "lead.n").toDF("key", "a", "na")
         pairs = rest.join(leaders, "key").where("rep != a").withColumnRenamed("rep", "b")
-        close = (F.least("n", "na") >= SIMILARITY * F.greatest("n", "na")) & F.lit(True)
+        close = F.least("n", "na") >= SIMILARITY * F.greatest("n", "na")
         tested = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(verified(tested, seqs), "verified")
         links = found if links is None else written(links.union(found).distinct(), "verified")
@@ -209,8 +222,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links)
     marked = written(_labelled(bucketed, "rep", labels), "buckets")
     mixed = marked.join(marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"), "key")
-    other = mixed.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    cross = mixed.join(other, "key").where((F.col("label") < F.col("lb")) & (F.least("n", "nb") >= SIMILARITY * F.greatest("n", "nb")))
+    mixed = mixed.join(reps.select("rep", "low"), "rep").select("key", "rep", "n", "label", "low")
+    other = mixed.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("low").alias("low_b"))
+    # documents of fewer items than BOTTOM hold them all, so that the bound below is exact for them
+    whole = F.least(F.size("low"), F.size("low_b"))
+    unseen = F.greatest(F.lit(0), F.greatest("n", "nb") - BOTTOM)
+    needed = F.when(whole < BOTTOM, F.ceil((F.col("n") + F.col("nb")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9) - unseen).otherwise(SHARED)
+    able = (F.least("n", "nb") >= SIMILARITY * F.greatest("n", "nb")) & (F.size(F.array_intersect("low", "low_b")) >= needed)
+    cross = mixed.join(other, "key").where((F.col("label") < F.col("lb")) & able)
     left = cross.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     more = written(verified(left, seqs), "verified")
     if not more.isEmpty():

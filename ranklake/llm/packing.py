@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import arrow_rows, written
+from .exchange import arrow_rows, tidy, written
 
-SEQUENCE, END, GROUP, ROUNDS, REMEMBERED = 4096, 1, 4000, 8, 300_000
+SEQUENCE, END, GROUP, ROUNDS, REMEMBERED = 4096, 1, 4000, 8, 400_000
 _LETTERS = "a-zµß-öø-ÿ"
 _PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-±´-¸»À-ÿ]")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}ªº]+|[0-9]|[^\\s0-9{_LETTERS}ªº]+")
@@ -53,22 +53,29 @@ class Words(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Adds the ids of new words. Each is one unit to the tokenizer, so a line of them is encoded at once."""
+    def learn(self, words: set[str], present: list[list[str] | None] = ()) -> None:
+        """Adds the ids of new words. Each is one unit to the tokenizer, so a line of them is encoded at once.
+
+        When too many are held, those of the present batch stay."""
         if len(self) > REMEMBERED:
+            kept = {w: self[w] for x in present if x for w in x if w in self}
             self.clear()
-        new = [w for w in words if w not in self]
-        if new:
-            line = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ids, owner = np.array(line.ids, "<u4"), np.array(line.word_ids)
-            ends = np.searchsorted(owner, np.arange(len(new)), "right")
-            for w, a, b in zip(new, np.append(0, ends[:-1]), ends, strict=True):
-                self[w] = ids[a:b].tobytes()
+            self.update(kept)
+        new = list(words)
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            line = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = np.array(line.ids, "<u4").tobytes(), np.array(line.word_ids)
+            ends = (4 * np.searchsorted(owner, np.arange(len(part)), "right")).tolist()
+            a = 0
+            for w, b in zip(part, ends, strict=True):
+                self[w] = ids[a:b]
+                a = b
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [None if _PLAIN.search(t) or "<|" in t else _WORD.findall(t.lower()) for t in texts]
-        self.learn(set().union(*(x for x in split if x)))
+        self.learn({w for x in split if x for w in x if w not in self}, split)
         return [self.whole(t) if x is None else b"".join(map(self.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
 
 
@@ -97,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.xxhash64("doc_id", "text"))
-    return rows.select("doc_id", "row", "text").mapInArrow(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return rows.select("doc_id", "row", "text").mapInArrow(tidy(cut), "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, size: int = SEQUENCE) -> int:
@@ -192,7 +199,7 @@ def pack(found: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> Data
         before = stats["bins"]
         items = released.select("doc_id", "row", "copy", "piece", "length")
     if not settled:
-        return found.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+        return found.select("row", "copy", "piece", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
@@ -206,7 +213,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENC
     found = pieces(docs, tokenizer_path, sequence)
     # rows that are wholly equal are told apart by a number
     found = found.withColumn("copy", F.row_number().over(Window.partitionBy("row", "piece").orderBy("start")).cast("long"))
-    found = written(found, "pieces")
+    found = written(found, "pieces", free=True)
     places = pack(found.select("doc_id", "row", "copy", "piece", "length"), sequence)
     return found.join(places, ["row", "copy", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import arrow_rows
+from .exchange import arrow_rows, tidy
 
 # The kinds in the order of the contract, and the patterns of the base spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -92,15 +92,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- the field -------------------------------------------------------------
 
-#: Tokens: runs of letters, of digits, or single other characters but white space.
-TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
+#: Tokens: runs of letters and digits, or single other characters but white space.
+TOKEN = re.compile(r"[^\W_]+|[^\s]")
 #: A stretch of text in which a segment may lie.
-STRETCH = re.compile(r"[0-9@]|(?:password|passwd|token|secret|api_?key)\b|\bAKIA", re.I)
+STRETCH = re.compile(r"[0-9@]|[(\[]at[)\]]|(?:password|passwd|token|secret|api_?key)\b|\bAKIA", re.I)
+_AT = re.compile(r"@|[(\[]at[)\]]", re.I)
 _CREDENTIAL = re.compile(r"(password|passwd|token|secret|api_?key)\W{0,4}$", re.I)
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}$")
 _HEX = re.compile(r"[0-9a-f]{16,64}$")
 _IP4 = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}$")
-_ADDRESS = re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[\w-]+)+$", re.I)
+_ADDRESS = re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]|dot\b) ?[\w-]+)+$", re.I)
 _CARD4 = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{2,7}$")
 _PHONE_SHAPE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}$")
 _NAMES = [f"{t}:{f}" for t in TYPES for f in ("bias", "shape", "check", "whole", "context", "tokens", "letters")]
@@ -213,7 +214,7 @@ def training_sentences(count: int, seed: int = 11) -> list[tuple[str, list[tuple
         return d if r.random() < 0.5 else r.choice(" -").join(d[i : i + 4] for i in range(0, 16, 4))
 
     makers = {
-        "email": lambda: f"{name()}.{name()}{r.choice(['@', ' (at) ', ' at ', ' [at] '])}{name()}{r.choice(['.', ' dot '])}{r.choice(['com', 'org', 'de'])}",
+        "email": lambda: f"{name()}.{name()}{r.choice(['@', ' (at) ', ' [at] '])}{name()}{r.choice(['.', ' dot '])}{r.choice(['com', 'org', 'de'])}",
         "ip": lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: f"+{r.choice(['1', '44', '49'])} ({number(3)}) {number(3)}-{number(4)}",
@@ -281,6 +282,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray
             if not nxt or high - low > 4000:
                 break
             high = nxt.end()
+        if _AT.search(text, low, high):
+            high = min(len(text), high + 24)
         while high < len(text) and not text[high].isspace():
             high += 1
         high = min(len(text), high)
@@ -343,12 +346,16 @@ def find(docs: DataFrame, *keep: str) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(base, kind), pa.array(spans, kind), pa.array(clean, pa.string())], names=[*keep, "base", "spans", "redacted"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(scan, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(tidy(scan), schema)
+
+
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: counts, digest and spans of every document."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import arrow_rows
+from .exchange import arrow_rows, tidy
 
 U64 = np.uint64
 BITS = 22
 TRAIN_ROWS = 16_000
 THRESHOLD = 0.3
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 2
 SLICE = 2 << 20
 _BREAKS = np.zeros(256, bool)
 _BREAKS[:128] = True
@@ -100,7 +100,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(i[kept]), pa.array(w[kept])], names=["feature", "weight"])
 
     sample = labelled.where("text is not null").select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "toxic")
-    model = sample.select("text", "toxic").mapInArrow(fit, "feature long, weight double").toArrow()
+    model = sample.select("text", "toxic").mapInArrow(tidy(fit), "feature long, weight double").toArrow()
     return model.column("feature").to_numpy(), model.column("weight").to_numpy()
 
 
@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             for part in S.slices(b, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rate(part.column("text")))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(rows), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
@@ -149,7 +149,7 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold:
             for part in S.slices(b, "text", SLICE):
                 yield part.filter(pa.array(rate(part.column("text")) < threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(tidy(rows), docs.schema)
 
 
 def held_out(doc_id) -> "F.Column":
