@@ -316,3 +316,19 @@ def reproduced(new: DataFrame, old: DataFrame, on: list[str]) -> DataFrame:
     """Deviation of re-run coefficients in published errors, and whether every sign holds."""
     both = new.select(*on, "coef").join(old.select(*on, F.col("coef").alias("old"), F.col("se").alias("old_se")), on)
     return both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("coef") - F.col("old")) / F.col("old_se")).alias("worst"), F.bool_and(F.signum("coef") == F.signum("old")).alias("signs_hold"))
+
+
+def category_audit(df: DataFrame, key: str, treatments: Sequence[str], controls: Sequence[str], high: float = 0.8, k: int = 5) -> list[dict]:
+    """For each treatment how well the controls predict it, how far that attenuates an effect, and what to do."""
+    out = []
+    for t in treatments:
+        r2 = cross_fit_r2(df, key, t, controls, k)
+        left = 1 - r2
+        out.append({"treatment": t, "r2_controls": r2, "left_over": left, "advice": "drop" if left < 0.02 else "move-to-controls" if r2 > high else "keep"})
+    return out
+
+
+def drop_refits(df: DataFrame, key: str, outcome: str, treatment: str, blocks: dict[str, Sequence[str]], controls: Sequence[str], k: int = 5) -> list[dict]:
+    """The estimate with all controls and without each named block."""
+    sets = {"all": list(controls)} | {f"without {n}": [c for c in controls if c not in b] for n, b in blocks.items()}
+    return [{"controls": n, **plr(df, key, outcome, treatment, c, k)} for n, c in sets.items()]

@@ -97,3 +97,28 @@ def panel(queries: DataFrame, styles: Sequence[str], levels: Sequence[float], se
 def first_user_turns(df: DataFrame, turns: str, roles: Sequence[str]) -> Column:
     """Text of the first turn of one of the roles in an array of (role, text)."""
     return F.get(F.filter(turns, lambda t: F.lower(t["role"]).isin(*roles)), F.lit(0))["text"]
+
+
+def export(items: DataFrame, annotations: DataFrame, policy: DataFrame, item: str = "item_id", source: str = "source_name") -> tuple[DataFrame, DataFrame]:
+    """(local, redistributable) label tables: the second only of sources whose policy row allows it. Policies are a list."""
+    whole = items.join(annotations, item)
+    allowed = whole.join(F.broadcast(policy.select(source, "redistributable")), source, "left").where(F.coalesce("redistributable", F.lit(False))).drop("redistributable")
+    return whole, allowed
+
+
+def batch_responses(requests: DataFrame, responses: DataFrame, digest: str = "prompt_sha256") -> DataFrame:
+    """Requests with their response and what is wrong: missing, unknown, repeated, or answered for another prompt."""
+    r = responses.groupBy("task_id").agg(F.count(F.lit(1)).alias("__n"), F.first("response").alias("response"), F.first(digest).alias("__d"))
+    q = requests.select("task_id", F.col(digest).alias("__q"), F.lit(True).alias("__asked"))
+    out = q.join(r, "task_id", "full_outer")
+    problem = F.when(F.col("__asked").isNull(), "unknown").when(F.col("__n").isNull(), "missing").when(F.col("__n") > 1, "repeated").when(~F.col("__q").eqNullSafe(F.col("__d")), "other-prompt")
+    return out.select("task_id", "response", problem.alias("problem"))
+
+
+def calibration_audit(prompts: DataFrame, text: str, key: str, required: Sequence[str] = ()) -> DataFrame:
+    """One row: prompts, repeated texts, keys with several texts, extreme lengths, and texts that lack a required pattern."""
+    digest = F.sha2(text, 256)
+    lacks = [F.count_if(~F.col(text).rlike(p)).alias(f"lacks_{i}") for i, p in enumerate(required)]
+    whole = prompts.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(digest).alias("n_texts"), F.min(F.char_length(text)).alias("shortest"), F.max(F.char_length(text)).alias("longest"), *lacks)
+    several = prompts.groupBy(key).agg(F.countDistinct(digest).alias("__n")).agg(F.count_if(F.col("__n") > 1).alias("n_keys_with_several"))
+    return whole.crossJoin(F.broadcast(several))

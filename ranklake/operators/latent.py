@@ -236,3 +236,37 @@ def permutation_control(df: DataFrame, key: str, x: str, y: str, n: int = 100, s
     null = a.join(b, ["replicate", "__n"]).groupBy("replicate").agg(safe_corr(F.col("__x"), F.col("__y")).alias("r"))
     true = rows.agg(safe_corr(F.col("__x"), F.col("__y")).alias("observed"))
     return null.crossJoin(F.broadcast(true)).agg(F.first("observed").alias("observed"), F.percentile("r", F.lit(0.95)).alias("null_95"), ((F.count_if(F.col("r") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+
+
+def judgment_diagnostics(df: DataFrame, left: str, right: str, winner: str, judge: str) -> DataFrame:
+    """For each judge: judgments, repeated pairs, share won by the left, and how often both orders of a pair agree."""
+    low, high = F.least(left, right), F.greatest(left, right)
+    rows = df.withColumns({"__a": low, "__b": high, "__first": (F.col(left) == low).cast("int"), "__low_won": (F.col(winner) == low).cast("double"), "__left_won": (F.col(winner) == F.col(left)).cast("double")})
+    pairs = rows.groupBy(judge, "__a", "__b").agg(F.countDistinct("__first").alias("__orders"), F.avg("__low_won").alias("__share"), F.count(F.lit(1)).alias("__n"), F.sum("__left_won").alias("__left"))
+    both = F.col("__orders") == 2
+    agree = F.avg(F.when(both, F.col("__share").isin(0.0, 1.0).cast("double")))
+    return pairs.groupBy(judge).agg(F.sum("__n").alias("n"), F.count_if(F.col("__n") > F.col("__orders")).alias("n_repeated"), (F.sum("__left") / F.sum("__n")).alias("left_share"), agree.alias("order_consistency"))
+
+
+def axis_cosines(axes: dict[str, Sequence[float]]) -> list[tuple[str, str, float]]:
+    """Cosine of each pair of axes."""
+    names = sorted(axes)
+    unit = {n: np.asarray(axes[n], float) / np.linalg.norm(axes[n]) for n in names}
+    return [(a, b, float(unit[a] @ unit[b])) for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
+def plane(a: Sequence[float], b: Sequence[float]) -> np.ndarray:
+    """An orthonormal basis of two directions, the first kept."""
+    x = np.asarray(a, float) / np.linalg.norm(a)
+    y = np.asarray(b, float) - (np.asarray(b, float) @ x) * x
+    return np.stack([x, y / np.linalg.norm(y)])
+
+
+def support_cells(df: DataFrame, x: str, y: str, bounds: tuple[float, float, float, float], n: int) -> DataFrame:
+    """Rows by cell of an n x n grid over the bounds, and their share: where targets have support."""
+    x0, x1, y0, y1 = bounds
+    cell = lambda c, lo, hi: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - lo) / (hi - lo) * n).cast("int")))
+    inside = df.where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
+    counts = inside.groupBy(cell(x, x0, x1).alias("column"), cell(y, y0, y1).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    total = inside.agg(F.count(F.lit(1)).alias("total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).drop("total")

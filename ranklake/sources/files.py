@@ -129,3 +129,15 @@ def component_of(path):
             regex = "^" + p.replace(".", r"\.").replace("**/", "\0").replace("*", "[^/]*").replace("\0", "(?:.*/)?") + "$"
             out = F.when(path.rlike(regex), name).otherwise(out)
     return out
+
+
+def read_questions(spark: SparkSession, path: str, probe: str) -> DataFrame:
+    """Questions of a payload {items: [...]} with unescaped titles; items without id, title or link are skipped."""
+    import html
+
+    owner = "struct<display_name:string,link:string>"
+    item = f"struct<question_id:bigint,title:string,link:string,tags:array<string>,creation_date:bigint,score:bigint,content_license:string,owner:{owner}>"
+    rows = spark.read.schema(f"items array<{item}>").option("multiLine", True).json(path).select(F.explode("items").alias("i")).select("i.*")
+    unescape = F.pandas_udf(lambda s: s.map(html.unescape, na_action="ignore"), "string")
+    kept = rows.where("question_id is not null and coalesce(title, '') != '' and coalesce(link, '') != ''")
+    return kept.withColumn("title", unescape("title")).withColumn("probe_ids", F.array(F.lit(probe)))
