@@ -46,37 +46,49 @@ def retrieve(queries: DataFrame, chunks: DataFrame, keys: list[str], vector: str
 
 
 def nearest(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """The k most similar items of each query, by blocks of the queries, exact.
+    """The k most similar items of each query, exact, with the queries in blocks.
 
-    Queries are a stated, bounded set; they are sent in blocks and every block keeps only the k best of each partition
-    before the final choice, so no pair table is ever shuffled.
+    A block of about ``block`` queries goes to the executors; every partition keeps its k best of each, and the final
+    choice sees those alone, so no table of pairs is ever shuffled. The block bounds what the driver holds.
     """
     import numpy as np
 
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.select(F.col(key).cast("long").alias("__k"), F.col(vector).alias("__q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__block"))
     found = None
-    ids = queries.select(key).orderBy(key).toArrow().column(0).to_pylist() if queries.limit(block + 1).count() <= block else None
-    if ids is None:
-        raise ValueError(f"more than {block} queries; split them")
-    rows = queries.orderBy(key).select(vector).toArrow().column(0).to_pylist()
-    q = np.array(rows, np.float64)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    for n in range(blocks):
+        part = dealt.where(F.col("__block") == n).orderBy("__k").select("__k", "__q").toArrow()
+        if not part.num_rows:
+            continue
+        ids = part.column(0).to_pylist()
+        q = np.array(part.column(1).to_pylist(), np.float64)
+        near = items.select(F.col(key).cast("long"), vector).mapInArrow(_best(ids, q, k), "query long, item long, similarity double")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], "query long, item long, similarity double, place int")
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "item")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _best(ids: list, queries, k: int):
+    """A map function from items to the k best of each batch for each query."""
+    import numpy as np
+
+    q = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
 
     def best(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            if not len(x) or not len(q):
+            if not b.num_rows:
                 continue
+            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
             s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
             take = np.argsort(-s, axis=1, kind="stable")[:, : min(k, s.shape[1])]
-            n = take.shape[1]
             keys = np.array(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keys[take.ravel()]), pa.array(np.take_along_axis(s, take, 1).ravel())], names=["query", "item", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take.shape[1])), pa.array(keys[take.ravel()]), pa.array(np.take_along_axis(s, take, 1).ravel())], names=["query", "item", "similarity"])
 
-    found = items.select(F.col(key).cast("long"), vector).mapInArrow(best, "query long, item long, similarity double")
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "item")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return best
 
 
 def chunk_text(text: str | None, size: int = 800, overlap: int = 200, least: int = 100) -> list[str]:

@@ -47,7 +47,7 @@ def retrieve(spark: SparkSession, d: str) -> DataFrame:
 )
 def nearest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return R.nearest(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", 5, 65_536).withColumn("similarity", F.round("similarity", 6))
+    return R.nearest(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("h35_h36_chunks")
