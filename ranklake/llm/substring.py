@@ -10,7 +10,7 @@ Plan:
 1. Winnowed fingerprints of short word grams (every window of k words holds one)
    screen places that may repeat. Within a map task equal fingerprints are
    combined first, so a passage in a third of all rows sends one record a flush.
-2. Places that may repeat emit their edges, combined in the same way; the target
+2. Windows whose smallest gram is such a place emit edges, combined in the same way; the target
    partition of an edge's smallest short gram groups equal edges, whose two 64-bit
    nodes must agree, and finds each edge's source. Edges that follow each other
    and go to one partition travel as one run of nodes.
@@ -147,12 +147,18 @@ def spot_lists(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(records["doc"][begin]), lists], names=["doc", "spots"])
 
 
-def spot_mask(spots: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
-    """Marks [spot - before, spot + after) within [0, n)."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, np.clip(spots - before, 0, n), 1)
-    np.add.at(edge, np.minimum(spots + after, n), -1)
-    return np.cumsum(edge[:n]) > 0
+def own_minimum(spots: pa.ListArray, first: np.ndarray, hashes: np.ndarray, low: np.ndarray, reach: int) -> np.ndarray:
+    """Windows (of ``reach`` hashes, minimum ``low``) whose minimum stands at one of the spots, given by document.
+
+    Equal windows have equal minima, so a window whose own minimum is in no other document is in none itself.
+    """
+    at = spots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at += np.repeat(first[:-1], spots.value_lengths().fill_null(0).to_numpy())
+    marked = np.full(len(hashes), 2**64 - 1, U64)
+    at = at[at < len(hashes)]
+    marked[at] = hashes[at]
+    near = S.sliding_min(marked, reach)
+    return (near == low) & (low != U64(2**64 - 1))
 
 
 def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
@@ -173,17 +179,15 @@ def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 sums = S.prefix(data)
                 h = S.mix(S.range_hash(sums, starts, ends) + (ends - starts).astype(U64))
                 rid = row_ids(data, offsets, sums)
-                spots = part.column("spots")
-                mask = np.zeros(len(starts), bool)
-                for i in range(part.num_rows):
-                    a, b = first[i], first[i + 1] - window + 1
-                    if b > a and spots[i].is_valid:
-                        mask[a:b] = spot_mask(spots[i].values.to_numpy(zero_copy_only=False), b - a, reach - 1, 1)
+                short = S.grams(h, gram)
+                home = S.sliding_min(short, reach)
+                mask = own_minimum(part.column("spots"), first, short, home, reach)
+                words_of = np.repeat(np.arange(len(doc)), np.diff(first))
+                mask &= words_of[: len(mask)] == words_of[window - 1 : window - 1 + len(mask)]
                 at = np.flatnonzero(mask)
                 if not len(at):
                     continue
                 nodes = S.grams(h, window - 1)
-                home = S.sliding_min(S.grams(h, gram), reach)
                 owner = np.searchsorted(first, at, "right") - 1
                 out = np.zeros(len(at), _EDGE)
                 out["left"], out["right"], out["home"] = nodes[at], nodes[at + 1], home[at]

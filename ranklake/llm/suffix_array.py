@@ -6,8 +6,9 @@ starts in a document with a smaller doc_id.
 Plan:
 1. Winnowed fingerprints of ``GRAM``-byte strings (every LENGTH bytes hold one) screen the
    places that may repeat; equal fingerprints are combined in their map task first.
-2. Stretches around such places are cut where the smallest gram of the LENGTH-byte
-   windows changes, and go to the partition of that gram: equal windows always meet.
+2. Windows whose smallest gram is such a place, and no others, can repeat. They form
+   stretches, cut where the smallest gram changes, that go to the partition of that
+   gram: equal windows always meet.
    Equal stretches are combined in the map task and again in the partition, so
    copies of one passage are sorted once.
 3. In each partition the different stretches form one string whose suffixes are sorted by
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import spans as S
 from .exchange import PACKED, arrow_rows, decode, encode, exchange, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
-from .substring import _FINGER, _SPOT, COVER, NO_ID, RUNS, combine_local, keyed, row_ids, run_lists, spot_lists, spot_mask
+from .substring import _FINGER, _SPOT, COVER, NO_ID, RUNS, combine_local, keyed, own_minimum, row_ids, run_lists, spot_lists
 
 U64 = np.uint64
 LENGTH, GRAM = 50, 24
@@ -208,19 +209,26 @@ def screen(docs: DataFrame) -> DataFrame:
     return gather(exchange(docs, mapper, _FINGER, reducer, PACKED), _SPOT, spot_lists, "doc long, spots array<int>")
 
 
+def _inside(offsets: np.ndarray, n: int) -> np.ndarray:
+    """Places whose LENGTH bytes lie in one text."""
+    edge = np.zeros(n + 1, np.int32)
+    size = np.diff(offsets)
+    some = size >= LENGTH
+    np.add.at(edge, offsets[:-1][some], 1)
+    np.add.at(edge, offsets[1:][some] - LENGTH + 1, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
 def _stretches(part: pa.RecordBatch, doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Runs of windows that may repeat and share their smallest gram; ``at`` is their place in ``data``."""
     if len(data) < LENGTH:
         return np.zeros(0, _STRETCH)
     sums = S.prefix(data)
-    low = S.sliding_min(_gram_hashes(sums, offsets), REACH)
-    mask = np.zeros(len(low), bool)
-    spots = part.column("spots")
-    flat, begin = spots.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(spots.value_lengths().fill_null(0).to_numpy())])
-    for i in range(part.num_rows):
-        a, b = offsets[i], offsets[i + 1] - LENGTH + 1
-        if b > a and begin[i + 1] > begin[i]:
-            mask[a:b] = spot_mask(flat[begin[i] : begin[i + 1]], b - a, REACH - 1, 1)
+    h = _gram_hashes(sums, offsets)
+    low = S.sliding_min(h, REACH)
+    mask = own_minimum(part.column("spots"), offsets, h, low, REACH)
+    # a window stays in its text
+    mask &= _inside(offsets, len(low))
     at = np.flatnonzero(mask)
     if not len(at):
         return np.zeros(0, _STRETCH)
