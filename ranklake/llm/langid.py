@@ -122,6 +122,8 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     base = sums().select(smooth(F.col("n"), F.array(*[F.lit(1.0 / n)] * n)).alias("p_all"))
     suffix = sums("suffix").crossJoin(F.broadcast(base)).select("suffix", smooth(F.col("n"), F.col("p_all")).alias("p_suffix"))
     host = sums("host", "suffix").join(suffix, "suffix").select("host", "suffix", smooth(F.col("n"), F.col("p_suffix")).alias("p_host"))
+    # a table of its own, so that a host with many pages can be split in the join
+    host = written(host, "hosts")
     # P(declared | language), smoothed towards P(declared)
     says = sums("declared").withColumn("m", F.aggregate("n", F.lit(0.0), lambda a, x: a + x))
     totals = says.agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(n)]).alias("t"), F.sum("m").alias("all"))
