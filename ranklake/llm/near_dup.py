@@ -10,11 +10,12 @@ from that bound, so it loses no such alignment. Classes are connected components
 Scale: equal texts fall together first and only their smallest doc_id goes on. No
 bucket is expanded to all its pairs: its members are compared with its smallest
 document, those that fail with the next one left, and so on for ``ROUNDS`` rounds; the
-buckets of one group share their leaders, so few pairs are different. Pairs of a
-bucket that then still stand in different components are all looked at, and aligned
-if their ``BOTTOM`` smallest items allow the similarity (a pair at 0.8 shares fewer than
-``SHARED`` of them with a probability of about 1e-6). Groups move through joins that Spark
-can split.
+buckets of one group share their leaders, so few pairs are different. Buckets whose
+members then still stand in different components are dealt into cells of at most about
+2 * ``CELL`` members; each cell counts shared items by an index and aligns the pairs
+across components whose count allows the similarity, until they are joined. So no task
+holds a whole large bucket, and only links leave it. Groups move through joins that
+Spark can split.
 
 Words are runs of characters other than ASCII white space, in lower case for
 A-Z. A text of fewer than SHINGLE words is one item; a text without words equals
@@ -39,7 +40,7 @@ from .substring import NO_ID, keyed, pieces
 
 U64 = np.uint64
 SHINGLE, SIMILARITY, SKETCHES, DEPTH, ROUNDS = 5, 0.8, 16, 3, 3
-BOTTOM, SHARED = 64, 35
+CELL = 400
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TOP = U64(2**64 - 1)
@@ -98,25 +99,17 @@ def sketches(item: np.ndarray, place: np.ndarray, m: int = SKETCHES, depth: int
     return out
 
 
-def bottom(item: np.ndarray, place: np.ndarray, size: int = BOTTOM) -> pa.ListArray:
-    """The upper halves of each document's smallest items."""
-    parts = [item[a:b] if b - a <= size else np.partition(item[a:b], size - 1)[:size] for a, b in zip(place[:-1], place[1:], strict=True)]
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    values = (np.concatenate(parts) >> U64(32)).astype(np.uint32).view(np.int32) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-
-
 def signed(rows: DataFrame) -> DataFrame:
-    """(doc, digest, n, keys, low) of each row."""
+    """(doc, digest, n, keys) of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, doc, data, offsets in pieces(batches):
             item, place = items(data, offsets)
             keys = sketches(item, place)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), SKETCHES).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), part.column("digest"), pa.array(np.diff(place)), lists, bottom(item, place)], names=["doc", "digest", "n", "keys", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), part.column("digest"), pa.array(np.diff(place)), lists], names=["doc", "digest", "n", "keys"])
 
-    return rows.withColumn("digest", F.md5("text")).mapInArrow(tidy(sign), "doc long, digest string, n long, keys array<long>, low array<int>")
+    return rows.withColumn("digest", F.md5("text")).mapInArrow(tidy(sign), "doc long, digest string, n long, keys array<long>")
 
 
 def sequences(rows: DataFrame) -> DataFrame:
@@ -173,6 +166,49 @@ def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     return joined.mapInArrow(tidy(check), "a long, b long")
 
 
+def _across(mixed: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(a, b): links that join the components (label) met in one bucket (key), for members (rep)."""
+    blocks = mixed.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    rows = mixed.join(written(blocks, "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label")
+    joined = rows.join(seqs.withColumnRenamed("doc", "rep"), "rep")
+
+    def cell(t: pa.Table) -> pa.Table:
+        rep, label, block = (t.column(c).to_numpy() for c in ("rep", "label", "block"))
+        seq = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("seq")]
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        size = np.array([len(x) for x in seq])
+        items = np.concatenate(seq)
+        order = np.argsort(items, kind="stable")
+        owner, items = np.repeat(np.arange(len(seq)), size)[order], items[order]
+        root = {int(x): int(x) for x in label}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for i in np.flatnonzero(block == low):
+            a, b = np.searchsorted(items, seq[i], "left"), np.searchsorted(items, seq[i], "right")
+            n = b - a
+            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(seq))
+            able = shared >= SIMILARITY / (1 + SIMILARITY) * (size[i] + size) - 1e-6
+            able &= (np.arange(len(seq)) > i) if low == high else (block == high)
+            for j in np.flatnonzero(able):
+                x, y = find(int(label[i])), find(int(label[j]))
+                if x != y and aligned(seq[i], seq[j]) >= SIMILARITY:
+                    root[max(x, y)] = min(x, y)
+                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        left, right = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return joined.groupBy("key", "low", "high").applyInArrow(cell, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component, by alternating large and small stars."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
@@ -201,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     arrow_rows(spark)
     rows = keyed(docs)
     signs = written(signed(rows), "signs", free=True)
-    reps = signs.groupBy("digest").agg(F.min("doc").alias("rep"), F.min_by(F.struct("keys", "n", "low"), "doc").alias("s")).select("digest", "rep", "s.*")
+    reps = signs.groupBy("digest").agg(F.min("doc").alias("rep"), F.min_by(F.struct("keys", "n"), "doc").alias("s")).select("digest", "rep", "s.*")
     reps = written(reps, "reps")
     spread = written(reps.where("n > 0").select("rep", "n", F.explode("keys").alias("key")), "buckets")
     bucketed = written(spread.join(spread.groupBy("key").count().where("count > 1").select("key"), "key").dropDuplicates(["key", "rep"]), "buckets")
@@ -215,23 +251,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = rest.join(leaders, "key").where("rep != a").withColumnRenamed("rep", "b")
         close = F.least("n", "na") >= SIMILARITY * F.greatest("n", "na")
         tested = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = written(verified(tested, seqs), "verified")
+        found = written(verified(tested, seqs), "verified", free=True)
         links = found if links is None else written(links.union(found).distinct(), "verified")
         done = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(found.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("ok")), ["x", "y"], "left")
         rest = written(done.where("ok is null").select("key", F.col("b").alias("rep"), "n"), "buckets")
     labels = components(links)
     marked = written(_labelled(bucketed, "rep", labels), "buckets")
     mixed = marked.join(marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"), "key")
-    mixed = mixed.join(reps.select("rep", "low"), "rep").select("key", "rep", "n", "label", "low")
-    other = mixed.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("low").alias("low_b"))
-    # documents of fewer items than BOTTOM hold them all, so that the bound below is exact for them
-    whole = F.least(F.size("low"), F.size("low_b"))
-    unseen = F.greatest(F.lit(0), F.greatest("n", "nb") - BOTTOM)
-    needed = F.when(whole < BOTTOM, F.ceil((F.col("n") + F.col("nb")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9) - unseen).otherwise(SHARED)
-    able = (F.least("n", "nb") >= SIMILARITY * F.greatest("n", "nb")) & (F.size(F.array_intersect("low", "low_b")) >= needed)
-    cross = mixed.join(other, "key").where((F.col("label") < F.col("lb")) & able)
-    left = cross.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    more = written(verified(left, seqs), "verified")
+    more = written(_across(mixed.select("key", "rep", "label"), seqs), "verified", free=True)
     if not more.isEmpty():
         labels = components(links.union(more).union(labels.toDF("a", "b")))
     links = links.union(more).distinct()
