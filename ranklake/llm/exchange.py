@@ -163,6 +163,15 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Deletes the folders of tables made by ``written`` that nothing will read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        if "/ranklake/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def freed(spark: SparkSession) -> None:
     """Asks the JVM to collect what is no longer referenced, so that finished shuffles' files go early.
 

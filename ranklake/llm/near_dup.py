@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import arrow_rows, groups, squeezed, tidy, unsqueezed, written
+from .exchange import arrow_rows, dropped, groups, squeezed, tidy, unsqueezed, written
 from .substring import NO_ID, keyed, pieces
 
 U64 = np.uint64
@@ -264,7 +264,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.union(more).distinct()
     n_links = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     per_rep = _labelled(reps.select("digest", "rep"), "rep", labels).join(n_links, "rep", "left")
-    return signs.select("doc", "digest").join(per_rep, "digest").select("doc", "rep", F.col("label").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = signs.select("doc", "digest").join(per_rep, "digest").select("doc", "rep", F.col("label").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # the result is a small table of its own; the working tables go, so that later work has their room
+    out = written(out, "classes", free=True)
+    dropped(spark, [signs, reps, spread, bucketed, seqs, rest, marked, more])
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
