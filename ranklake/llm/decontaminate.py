@@ -77,8 +77,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000)
     long_items, short_items = items.where(F.col("n") >= SPAN), items.where(F.col("n") < SPAN)
 
     marks = _fits(_fingerprints(long_items).select("mark").distinct(), broadcast_rows)
-    found = _fingerprints(docs, "doc_key").join(marks, "mark", "left_semi").groupBy("doc_key").agg(F.collect_set("start").alias("hit_starts"))
-    extended = _window_runs(docs.join(found, "doc_key"))
+    worded = docs.select("doc_key", word_list(F.col("text")).alias("words"))
+    found = _fingerprints(worded, "doc_key").join(marks, "mark", "left_semi").groupBy("doc_key").agg(F.collect_set("start").alias("hit_starts"))
+    # texts travel to the join, not their word arrays
+    extended = _window_runs(docs.join(found, "doc_key").select("doc_key", "hit_starts", word_list(F.col("text")).alias("words")))
     # a run goes on while the minimum stays the same
     nexts = F.transform("firsts", lambda i, k: F.struct(i.alias("start"), F.coalesce(F.get("firsts", k + 1), F.size("words") - SPAN + 1).alias("stop")))
     hit_runs = F.filter(nexts, lambda r: F.array_contains("hit_starts", r["start"]))
@@ -88,15 +90,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000)
     for row in short_items.select("n").distinct().orderBy("n").collect():  # at most SPAN - 1 lengths
         n = row["n"]
         same = short_items.where(F.col("n") == n).select("item", F.array_join("words", " ").alias("window")).distinct()
-        out.append(_windows(docs, _places(F.size("words"), n), n, "doc_key").join(_fits(same, broadcast_rows), "window").select("doc_key", "start", F.lit(n).alias("span"), "item"))
+        out.append(_windows(worded, _places(F.size("words"), n), n, "doc_key").join(_fits(same, broadcast_rows), "window").select("doc_key", "start", F.lit(n).alias("span"), "item"))
     return reduce(DataFrame.unionByName, out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Every row of docs with n_words, n_hit, item_ids (array), n_items and contaminated."""
     docs = docs.withColumn("doc_key", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
-    worded = docs.select("doc_key", word_list(F.col("text")).alias("words"))
-    per_doc = hits(worded, benchmark, broadcast_rows).groupBy("doc_key").agg(
+    per_doc = hits(docs.select("doc_key", "text"), benchmark, broadcast_rows).groupBy("doc_key").agg(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("span")).alias("stop")))).alias("spots"),
         F.array_sort(F.collect_set("item")).alias("item_ids"),
     )
