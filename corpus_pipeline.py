@@ -25,13 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each near-duplicate class."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    first = near_dup.near_duplicates(docs).where("doc = class_id").groupBy("doc").agg(F.count("*").alias("copies"))
+    """The document of the smallest (doc_id, text digest) of each near-duplicate class."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__key"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__digest")]
+    first = near_dup.near_duplicates(docs).where("doc = class_id and digest = class_digest").groupBy("doc", "digest").agg(F.count("*").alias("copies"))
     first = written(first, "first")
-    kept = docs.withColumn("__key", key).join(first.select(F.col("doc").alias("__key")), "__key", "left_semi")
+    kept = docs.select("*", *key).join(first.select(F.col("doc").alias("__key"), F.col("digest").alias("__digest")), ["__key", "__digest"], "left_semi")
     if not first.where("copies > 1").isEmpty():
-        kept = kept.dropDuplicates(["__key"])
+        kept = kept.dropDuplicates(["__key", "__digest"])
     return kept.select(*docs.columns)
 
 

@@ -19,8 +19,9 @@ Spark can split.
 
 Words are runs of characters other than ASCII white space, in lower case for
 A-Z. A text of fewer than SHINGLE words is one item; a text without words equals
-only texts that are the same. Null text counts as empty, null doc_ids as one
-document of the smallest id; an empty table gives no rows; other columns are
+only texts that are the same. Null text counts as empty; null doc_ids sort before
+all others; different texts of one doc_id, or of none, are documents of their own,
+told apart by their digests; an empty table gives no rows; other columns are
 ignored. A pair of similarity s shares a bucket with probability about
 1 - (1 - s ** 3) ** 16, 0.99998 at 0.8.
 """
@@ -232,17 +233,22 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc, rep, class_id, n_links): rep is the smallest doc with the same text; class_id the smallest of the component."""
+    """(doc, digest, rep, class_id, class_digest, n_links): rep is the smallest doc with the same text; (class_id,
+    class_digest) the smallest (doc, digest) of the component."""
     spark = docs.sparkSession
     arrow_rows(spark)
     rows = keyed(docs)
     signs = written(signed(rows), "signs", free=True)
-    reps = signs.groupBy("digest").agg(F.min("doc").alias("rep"), F.min_by(F.struct("keys", "n"), "doc").alias("s")).select("digest", "rep", "s.*")
-    reps = written(reps, "reps")
+    # a text's node is its smallest doc, or where some doc has different texts, a hash of its digest
+    mark = F.xxhash64("digest")
+    shared = not signs.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").isEmpty()
+    reps = signs.groupBy("digest").agg(F.min("doc").alias("doc"), F.min_by(F.struct("keys", "n"), "doc").alias("s"))
+    reps = written(reps.select("digest", "doc", (mark if shared else F.col("doc")).alias("rep"), "s.*"), "reps")
     spread = written(reps.where("n > 0").select("rep", "n", F.explode("keys").alias("key")), "buckets")
     bucketed = written(spread.join(spread.groupBy("key").count().where("count > 1").select("key"), "key").dropDuplicates(["key", "rep"]), "buckets")
     involved = bucketed.select(F.col("rep").alias("doc")).distinct()
-    seqs = written(sequences(squeezed(rows).join(involved, "doc", "left_semi")).dropDuplicates(["doc"]), "sequences", free=True)
+    texts = squeezed(rows.withColumn("doc", F.xxhash64(F.md5("text")))).dropDuplicates(["doc"]) if shared else squeezed(rows)
+    seqs = written(sequences(texts.join(involved, "doc", "left_semi")).dropDuplicates(["doc"]), "sequences", free=True)
 
     links, rest = None, bucketed
     for _ in range(ROUNDS):
@@ -263,8 +269,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links.union(more).union(labels.toDF("a", "b")))
     links = links.union(more).distinct()
     n_links = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    per_rep = _labelled(reps.select("digest", "rep"), "rep", labels).join(n_links, "rep", "left")
-    out = signs.select("doc", "digest").join(per_rep, "digest").select("doc", "rep", F.col("label").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = reps.select("digest", "doc", "rep")
+    members = labels.union(labels.select("label", "label").distinct()).toDF("rep", "label").join(own, "rep")
+    lead = members.groupBy("label").agg(F.min(F.struct("doc", "digest")).alias("lead"))
+    per_rep = own.join(members.join(lead, "label").select("rep", "lead"), "rep", "left").join(n_links, "rep", "left")
+    per_rep = per_rep.select("digest", F.col("doc").alias("rep"), F.coalesce("lead", F.struct("doc", "digest")).alias("lead"), "n_links")
+    out = signs.select("doc", "digest").join(per_rep, "digest")
+    out = out.select("doc", "digest", "rep", F.col("lead.doc").alias("class_id"), F.col("lead.digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # the result is a small table of its own; the working tables go, so that later work has their room
     out = written(out, "classes", free=True)
     dropped(spark, [signs, reps, spread, bucketed, seqs, rest, marked, more])
@@ -272,7 +283,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: each document's class, the representative of its exact text and the verified links of that text."""
+    """op2: each document's class (its smallest doc_id and that text's digest), the representative of its exact text and
+    the verified links of that text."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     null = lambda c: F.expr(f"nullif({c}, {NO_ID})").alias
-    return out.select(null("doc")("doc_id"), null("class_id")("class_id"), null("rep")("copy_of"), "n_links")
+    return out.select(null("doc")("doc_id"), null("class_id")("class_id"), "class_digest", null("rep")("copy_of"), "n_links")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -99,6 +100,25 @@ def test_near_duplicates_of_nothing(empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_texts_of_one_or_no_id_are_documents_of_their_own(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    words = vocabulary()
+    t = [prose(r, words, 120) for _ in range(7)]
+    near = lambda x, w: " ".join([*x.split()[:-1], w])
+    rows = [(None, t[0]), (None, t[0]), (None, t[1]), (None, t[2]), (5, near(t[2], "other")), (7, t[3]), (7, t[4]), (9, near(t[4], "nine")), (3, t[5]), (8, t[5]), (8, t[6]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    classes = [[t[0]], [t[1]], [t[2], rows[4][1]], [t[3]], [t[4], rows[7][1]], [t[5]], [t[6]], [""]]
+    texts = {hashlib.md5((x or "").encode()).hexdigest(): x or "" for _, x in rows}
+    got: dict = {}
+    for x in near_dup.near_duplicates(docs).collect():
+        got.setdefault((x.class_id, x.class_digest), set()).add(texts[x.digest])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes))
+    kept = sorted((x.doc_id or 0, x.text or "") for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == sorted([(0, t[0]), (0, t[1]), (0, t[2]), (7, t[3]), (7, t[4]), (3, t[5]), (8, t[6]), (0, "")])
+
+
 def test_large_family_is_one_class(spark):
     r = random.Random(1)
     words = vocabulary()
