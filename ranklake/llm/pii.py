@@ -10,8 +10,8 @@ closed to segments, so base spans stay.
 
 A segment may only start at a token that can begin an entity, and tokens of plain
 letters score zero outside segments, so the text falls into independent stretches
-around digits, "@" and credential words; each is decoded on its own, exactly, and
-memory does not grow with the text.
+around digits, "@" and credential words; each is decoded on its own, exactly and
+whole, so memory grows with the longest stretch, by a few numbers a token.
 
 Weights are trained here by the field's log-likelihood on sentences drawn from a
 fixed generator (``training_sentences``); the tables have no span labels.
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,7 +44,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: What the field can add, beside the four base kinds.
 TYPES = (*KINDS, "secret")
-MAX_TOKENS = 14
+MAX_TOKENS, MAX_CHARS = 14, 80
 _DIGITS = re.compile(r"[^0-9]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 
@@ -96,6 +96,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 TOKEN = re.compile(r"[^\W_]+|[^\s]")
 #: A stretch of text in which a segment may lie.
 STRETCH = re.compile(r"[0-9@]|[(\[]at[)\]]|(?:password|passwd|token|secret|api_?key)\b|\bAKIA", re.I)
+_SPACE = re.compile(r"\s")
 _AT = re.compile(r"@|[(\[]at[)\]]", re.I)
 _CREDENTIAL = re.compile(r"(password|passwd|token|secret|api_?key)\W{0,4}$", re.I)
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}$")
@@ -140,36 +141,41 @@ def span_features(text: str, start: int, end: int, kind: str) -> list[tuple[int,
     return [(_INDEX[f"{kind}:{name}"], v) for name, v in out]
 
 
-def candidates(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, int, list[tuple[int, float]]]]:
-    """(first token, last token + 1, type, features) of the segments that have features."""
-    out = []
+def candidates(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, list[tuple[int, float]]]]:
+    """(first token, last token + 1, type, features) of the segments that have features, by first token."""
     for i, (a, _) in enumerate(spans):
         c = text[a]
         starts_number = c.isdigit() or c == "+"
         for j in range(i, min(len(spans), i + MAX_TOKENS)):
             b = spans[j][1]
-            if b - a > 80:
+            if b - a > MAX_CHARS:
                 break
             for t, kind in enumerate(TYPES):
                 if (kind in ("ip", "card", "phone") and not starts_number) or (kind == "email" and not c.isalnum()):
                     continue
                 found = span_features(text, a, b, kind)
                 if found:
-                    out.append((i, j + 1, t, found))
-    return out
+                    yield i, j + 1, t, found
+
 
+def decode(n: int, segments: Iterable, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation of n tokens: dynamic programming over segments in order of their first token."""
+    best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
+    at = 0
+
+    def ahead(to: int) -> None:
+        nonlocal at
+        for at in range(at, to):  # a token outside segments
+            if best[at] >= best[at + 1]:
+                best[at + 1], back[at + 1] = best[at], None
+        at = to
 
-def decode(n: int, segments: list, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation of n tokens: dynamic programming over segment ends."""
-    by_end: dict[int, list] = {}
     for i, j, t, f in segments:
-        by_end.setdefault(j, []).append((i, t, sum(weights[k] * v for k, v in f)))
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, t, score in by_end.get(j, ()):
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, (i, t)
+        ahead(i)
+        score = best[i] + sum(weights[k] * v for k, v in f)
+        if score > best[j]:
+            best[j], back[j] = score, (i, t)
+    ahead(n)
     out, j = [], n
     while j > 0:
         if back[j]:
@@ -247,7 +253,7 @@ def trained(count: int = 300, rounds: int = 30, l2: float = 0.02) -> tuple[float
     data = []
     for text, spans in training_sentences(count):
         tokens = [m.span() for m in TOKEN.finditer(text)]
-        segments = candidates(text, tokens)
+        segments = list(candidates(text, tokens))
         truth = np.zeros(len(_NAMES))
         for i, j, t, f in segments:
             if (tokens[i][0], tokens[j - 1][1], TYPES[t]) in spans:
@@ -276,17 +282,20 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray
         low = max(done, m.start() - 40)
         while low > done and not text[low - 1].isspace():
             low -= 1
-        high = m.end()
+        # an address goes on for a segment's length after its sign; a stretch ends at white space
+        high = end = m.end()
+        reach = high + MAX_CHARS if _AT.fullmatch(m[0]) else high
         while True:
-            nxt = STRETCH.search(text, high, high + 40)
-            if not nxt or high - low > 4000:
+            if max(high, reach) >= end:
+                space = _SPACE.search(text, max(high, reach))
+                end = space.start() if space else len(text)
+            nxt = STRETCH.search(text, high, max(end, high + 40))
+            if not nxt:
                 break
             high = nxt.end()
-        if _AT.search(text, low, high):
-            high = min(len(text), high + 24)
-        while high < len(text) and not text[high].isspace():
-            high += 1
-        high = min(len(text), high)
+            if _AT.fullmatch(nxt[0]):
+                reach = high + MAX_CHARS
+        high = end
         done = high
         if any(a <= low and high <= b for a, b in closed):
             continue
@@ -302,8 +311,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray
                 open_spans[-1].append(t.span())
         for tokens in open_spans:
             if tokens:
-                segments = candidates(text, tokens)
-                for i, j, t in decode(len(tokens), segments, weights) if segments else ():
+                for i, j, t in decode(len(tokens), candidates(text, tokens), weights):
                     out.append((tokens[i][0], tokens[j - 1][1], TYPES[t]))
     return out
 

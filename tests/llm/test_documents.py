@@ -60,6 +60,27 @@ def test_held_out_sentences():
     assert hit / total > 0.9
 
 
+def test_dense_text_is_decoded_whole():
+    w = np.array(pii.trained())
+    for pad in range(24):
+        text = "a1 " * 1325 + "x" * pad + " call +1 (269) 555-3296 4524132264652876 " + "b2 " * 1400
+        kinds = {(k, text[a:b]) for a, b, k in pii.all_spans(text, w)[1]}
+        assert kinds == {("phone", "+1 (269) 555-3296"), ("card", "4524132264652876")}
+    r = random.Random(2)
+    table = " ".join(str(r.randint(1, 9999)) for _ in range(4000))
+    tokens = [m.span() for m in pii.TOKEN.finditer(table)]
+    whole = [(tokens[i][0], tokens[j - 1][1], pii.TYPES[t]) for i, j, t in pii.decode(len(tokens), pii.candidates(table, tokens), w)]
+    assert pii.added_spans(table, [], w) == whole
+
+
+@pytest.mark.parametrize("address", ["jo (at) international-consulting-group dot com", "jo.ann [at] anotherverylongnameofahostandcompanyonitsown dot org"])
+def test_long_written_addresses(address):
+    w = np.array(pii.trained())
+    for after in ("", " and +1 (269) 555-3296 4524132264652876 so"):
+        spans = pii.all_spans(f"write {address}{after}", w)[1]
+        assert (6, 6 + len(address), "email") in spans and len(spans) == (3 if after else 1)
+
+
 def test_pii_table(spark, docs, empty, corpus):
     out = pii.find(docs, "doc_id", "label")
     assert out.count() == len(corpus) and pii.find(empty, "doc_id").count() == 0
