@@ -32,11 +32,20 @@ def balanced(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t10_w17_hash_order", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY sha256('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) AS place FROM lineitem WHERE l_orderkey % 3 = 0")
 def permuted(spark: SparkSession, d: str) -> DataFrame:
+    return _permuted(table(spark, d, "lineitem").where("l_orderkey % 3 = 0"))
+
+
+@query("t10_hash_order_all", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY sha256('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) AS place FROM lineitem")
+def permuted_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every line's place; ``t10_w17_hash_order`` has a third of the orders."""
+    return _permuted(table(spark, d, "lineitem"))
+
+
+def _permuted(lines: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = table(spark, d, "lineitem").select(*keys).where("l_orderkey % 3 = 0")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(S.hash_order(42, *keys))))
+    return lines.select(*keys).withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(S.hash_order(42, *keys))))
 
 
 @query(

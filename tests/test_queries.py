@@ -30,3 +30,12 @@ def test_queries_without_sql_run(spark, sf, name):
 
 def test_entry_has_stable_columns(spark, sf):
     assert registry.flagship(spark, sf).columns == ["l_returnflag", "l_linestatus", "n", "median_abs", "mean_abs", "share_1", "share_3"]
+
+
+def test_every_line_gets_a_place(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    rows = QUERIES["t10_hash_order_all"](spark, sf).collect()
+    places: dict = {}
+    for r in rows:
+        places.setdefault(r.l_orderkey, []).append(r.place)
+    assert len(rows) == lines.count() and all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
