@@ -15,6 +15,9 @@ from ..functions import arrays as A
 from ..functions.measures import safe_corr
 from .ranks import average_rank
 
+#: Items up to which a Bradley-Terry step uses a matrix.
+DENSE = 512
+
 
 def centroid(df: DataFrame, groups: list[str], vector: str, out: str = "centroid") -> DataFrame:
     """Mean vector of each group: one partial sum a dimension, no vectors gathered."""
@@ -133,6 +136,33 @@ def comparisons(df: DataFrame, cell: list[str], item: str, level: str, distant:
     return pairs.withColumn("swapped", F.lit(False)).unionByName(turned)
 
 
+def _step(i: np.ndarray, j: np.ndarray, v: np.ndarray, g: np.ndarray, penalty: float) -> np.ndarray:
+    """Newton's step for pairs (i, j) of curvature v; beyond ``DENSE`` items by conjugate gradients, without a matrix."""
+    n = len(g)
+    if n <= DENSE:
+        h = penalty * np.eye(n)
+        np.add.at(h, (i, i), v)
+        np.add.at(h, (j, j), v)
+        np.add.at(h, (i, j), -v)
+        np.add.at(h, (j, i), -v)
+        return np.linalg.solve(h, g)
+    scale = 1 / (np.bincount(i, v, n) + np.bincount(j, v, n) + penalty)
+    x, r = np.zeros(n), g.copy()
+    d = z = scale * r
+    rz, end = r @ z, 1e-24 * max(g @ (scale * g), 1e-300)
+    for _ in range(2 * n):
+        if rz <= end:
+            break
+        flow = v * (d[i] - d[j])
+        h = np.bincount(i, flow, n) - np.bincount(j, flow, n) + penalty * d
+        a = rz / (d @ h)
+        x, r = x + a * d, r - a * h
+        z = scale * r
+        rz, last = r @ z, rz
+        d = z + rz / last * d
+    return x
+
+
 def bradley_terry(df: DataFrame, slices: list[str], left: str, right: str, score: str, penalty: float = 0.1, rounds: int = 200) -> DataFrame:
     """(slices, item, strength): ridge-penalised strengths of each slice, mean 0; score is 1, 0.5 or 0 for the left.
 
@@ -152,13 +182,7 @@ def bradley_terry(df: DataFrame, slices: list[str], left: str, right: str, score
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-(b[i] - b[j])))
             g = np.bincount(i, w - n * p, len(b)) - np.bincount(j, w - n * p, len(b)) - penalty * b
-            h = np.zeros((len(b), len(b)))
-            v = n * p * (1 - p)
-            np.add.at(h, (i, i), v)
-            np.add.at(h, (j, j), v)
-            np.add.at(h, (i, j), -v)
-            np.add.at(h, (j, i), -v)
-            step = np.linalg.solve(h + penalty * np.eye(len(b)), g)
+            step = _step(i, j, n * p * (1 - p), g, penalty)
             b += step
             if np.abs(step).max() < 1e-10:
                 break

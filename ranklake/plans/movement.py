@@ -248,3 +248,30 @@ def order_pairs(spark: SparkSession, d: str) -> DataFrame:
     shared = shared.groupBy("l_suppkey", "label_a", "label_b").agg(F.count("*").alias("s"))
     out = labels.join(shared, ["l_suppkey", "label_a", "label_b"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
     return out.withColumn("jaccard", F.round(F.col("s") / (F.col("n_a") + F.col("n_b") - F.col("s")), 6)).drop("s")
+
+
+@query(
+    "r13_order_pairs_k",
+    """WITH v AS (SELECT l_suppkey, l_returnflag || l_linestatus AS label, l_orderkey, min(l_linenumber) AS line FROM lineitem GROUP BY ALL),
+ s AS (SELECT k, l_suppkey, label, list(l_orderkey) AS items FROM v JOIN (SELECT unnest(range(1, (SELECT max(l_linenumber) + 1 FROM lineitem))) AS k) ON line <= k GROUP BY ALL),
+ p AS (SELECT a.k, a.l_suppkey, a.label AS label_a, b.label AS label_b, len(a.items) AS n_a, len(b.items) AS n_b, len(list_intersect(a.items, b.items)) AS n_both FROM s a JOIN s b ON a.k = b.k AND a.l_suppkey = b.l_suppkey AND a.label < b.label)
+SELECT *, round(n_both::DOUBLE / (n_a + n_b - n_both), 6) AS jaccard, round(n_both::DOUBLE / k, 6) AS overlap_at_k FROM p""",
+)
+def order_pairs_k(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of labels at every K, an item counting from its first line on; ``r13_order_pairs`` is K = 2."""
+    lines = table(spark, d, "lineitem")
+    v = lines.groupBy("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("label"), "l_orderkey").agg(F.min("l_linenumber").alias("line"))
+    ks = lines.agg(F.explode(F.sequence(F.lit(1), F.max("l_linenumber"))).alias("k"))
+
+    def up_to_k(rows: DataFrame, *by: str) -> DataFrame:
+        counts = rows.groupBy(*by, "line").agg(F.count("*").alias("n"))
+        return counts.join(F.broadcast(ks), F.col("line") <= F.col("k")).groupBy("k", *by).agg(F.sum("n").alias("n"))
+
+    sizes = up_to_k(v, "l_suppkey", "label")
+    side = lambda s: sizes.select("k", "l_suppkey", F.col("label").alias(f"label_{s}"), F.col("n").alias(f"n_{s}"))
+    labels = side("a").join(side("b"), ["k", "l_suppkey"]).where("label_a < label_b")
+    half = lambda s: v.select("l_suppkey", "l_orderkey", F.col("label").alias(f"label_{s}"), F.col("line").alias(f"line_{s}"))
+    shared = half("a").join(half("b"), ["l_suppkey", "l_orderkey"]).where("label_a < label_b").withColumn("line", F.greatest("line_a", "line_b"))
+    shared = up_to_k(shared, "l_suppkey", "label_a", "label_b").withColumnRenamed("n", "n_both")
+    out = labels.join(shared, ["k", "l_suppkey", "label_a", "label_b"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
+    return out.withColumns({"jaccard": F.round(F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both")), 6), "overlap_at_k": F.round(F.col("n_both") / F.col("k"), 6)})

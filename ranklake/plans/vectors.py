@@ -136,9 +136,9 @@ def exemplars(spark: SparkSession, d: str) -> DataFrame:
 @query("e13_e14_bradley_terry")
 def strengths(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers compared by the quantities of neighbouring lines of an order, for each flag."""
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_returnflag", "l_orderkey", "l_linenumber", (F.col("l_suppkey") % 12).alias("item"), "l_quantity")
-    a, b = lines.where("l_linenumber = 1"), lines.where("l_linenumber = 2")
-    pairs = a.alias("a").join(b.alias("b"), ["l_orderkey", "l_returnflag"]).where("a.item != b.item").select("l_returnflag", F.col("a.item").alias("left_id"), F.col("b.item").alias("right_id"), F.when(F.col("a.l_quantity") > F.col("b.l_quantity"), 1.0).when(F.col("a.l_quantity") < F.col("b.l_quantity"), 0.0).otherwise(0.5).alias("score"))
+    a = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("item"), "l_quantity")
+    b = a.withColumn("l_linenumber", F.col("l_linenumber") - 1)
+    pairs = a.alias("a").join(b.alias("b"), ["l_orderkey", "l_returnflag", "l_linenumber"]).where("a.item != b.item").select("l_returnflag", F.col("a.item").alias("left_id"), F.col("b.item").alias("right_id"), F.when(F.col("a.l_quantity") > F.col("b.l_quantity"), 1.0).when(F.col("a.l_quantity") < F.col("b.l_quantity"), 0.0).otherwise(0.5).alias("score"))
     out = L.calibrated(L.bradley_terry(pairs, ["l_returnflag"], "left_id", "right_id", "score"), ["l_returnflag"], "strength")
     return out.select("l_returnflag", "item", F.round("strength", 6).alias("strength"), F.round("position", 6).alias("position"))
 

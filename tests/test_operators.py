@@ -190,6 +190,14 @@ def test_bradley_terry_orders_items(spark):
     assert out["a"] > out["b"] > out["c"] and sum(out.values()) == pytest.approx(0, abs=1e-9)
 
 
+def test_newton_step_without_a_matrix(monkeypatch):
+    r = np.random.default_rng(3)
+    i, j, v, g = r.integers(0, 90, 800), r.integers(0, 90, 800), r.random(800), r.normal(size=90)
+    dense = La._step(i, j, v, g, 0.1)
+    monkeypatch.setattr(La, "DENSE", 10)
+    assert La._step(i, j, v, g, 0.1) == pytest.approx(dense, abs=1e-8)
+
+
 def test_ordinal_fit_recovers_direction():
     r = np.random.default_rng(5)
     x = r.normal(size=(400, 2))
