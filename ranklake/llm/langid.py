@@ -76,7 +76,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
 
 def _address(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    declared = F.lower(F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 4096), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    first = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b([^>]*)", 1)
+    declared = F.lower(F.regexp_extract(first, r"(?i)\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     return pages.withColumn("host", host).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1)).withColumn("declared", declared)
 
 

@@ -73,6 +73,13 @@ def test_language_evidence(spark, sf):
     assert [r.lang for r in langid.identify(df, nothing).collect()] == [None] * 3
 
 
+def test_declared_language_after_a_long_comment(spark, sf):
+    fitted = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    page = "<!-- " + "licence " * 2000 + "-->\n" * 3 + "<!DOCTYPE html>" + " " * 5000 + "<HTML class=a lang='fr-CA'><p>le et la</p>"
+    df = spark.createDataFrame([(1, "http://a.de/x", page), (2, "http://a.de/y", "<html>" + "x" * 9000 + "<html lang=de>")], "page_id long, url string, html string")
+    assert {r.page_id: r.declared for r in langid.identify(df, fitted).collect()} == {1: "fr", 2: ""}
+
+
 def test_wave_round_trip():
     for n in (0, 1, 575, 576, 577, 5000):
         data = media.payload(bytes(range(256)) * (n // 256) + bytes(n % 256))
