@@ -13,8 +13,9 @@ block becomes one space, a line break counts as white space, blocks are trimmed,
 empty ones go, and the rest join by a newline.
 
 Defined cases: null and empty html give "" and 0; unclosed and crossed tags close as
-browsers close paragraphs and list items; an unclosed comment or script runs to the
-end; plain text without tags is one block; every row gives one row, repeated rows
+browsers close paragraphs and list items; an unclosed comment, script, style or
+textarea runs to the end; of other skipped elements without an end only the tag goes,
+a head without an end closes before its first foreign tag or text; plain text without tags is one block; every row gives one row, repeated rows
 too; other columns are ignored. Work and memory grow linearly with one page.
 """
 
@@ -33,14 +34,21 @@ from pyspark.sql import functions as F
 
 from .exchange import arrow_rows, tidy
 
+_RAW = r"<!--(?s:.*?)(?:-->|\Z)|<(script|style|textarea)\b[^>]*+>(?s:.*?)(?:</\1\s*>|\Z)"
+_SKIPPED = frozenset("noscript template svg select button iframe object canvas".split())
+#: Skipped elements that lie within themselves.
+_NESTED = frozenset("template svg object".split())
 _PART = re.compile(
-    r"<!--(?s:.*?)(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|button|iframe|object|canvas|head)\b[^>]*+>(?s:.*?)(?:</\1\s*>|\Z)"
+    rf"{_RAW}|<({'|'.join(sorted(_SKIPPED))}|head)\b[^>]*+>"
     r"""|<(/?)([a-zA-Z][^\s>/]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s>/]*+)([^>]*+)>|<[!?][^>]*+>|[^<]++|<""",
     re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements that begin a block of their own.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_MARK = re.compile(rf"{_RAW}|<(/?)({'|'.join(sorted(_SKIPPED | BLOCKS - {'html'}))}|head|body)(?=[\s/>])[^>]*+>", re.I)
+#: What may stand in a head.
+_HEAD = re.compile(r"(?:\s++|<!--(?s:.*?)-->|<(title|style|script|noscript|template)\b[^>]*+>(?s:.*?)</\1\s*>|<(?:meta|link|base)\b[^>]*+>)*+", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role that speak for a group.
@@ -83,6 +91,37 @@ def _features(tag: str, attributes: str) -> list[int]:
     return out
 
 
+def _ends(source: str) -> dict[int, int]:
+    """Where each skipped element that has an end begins and ends, in one pass."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {x: [] for x in _SKIPPED}
+    head = None
+    for m in _MARK.finditer(source):
+        if not m[3]:
+            continue
+        closing, tag = m[2], m[3].lower()
+        if tag == "head":
+            if not closing:
+                head = head or m
+            elif head:
+                out[head.start()], head = m.end(), None
+        elif tag not in _SKIPPED:
+            if head and not closing and (tag == "body" or not any(opened.values())):
+                out[head.start()], head = _HEAD.match(source, head.end()).end(), None
+        elif closing:
+            if opened[tag]:
+                out[opened[tag].pop()] = m.end()
+        elif tag == "svg" and m[0].endswith("/>"):
+            out[m.start()] = m.end()
+        else:
+            if tag not in _NESTED:
+                opened[tag].clear()
+            opened[tag].append(m.start())
+    if head:
+        out[head.start()] = _HEAD.match(source, head.end()).end()
+    return out
+
+
 def parse(source: str) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int]] = []  # open block elements
@@ -111,17 +150,22 @@ def parse(source: str) -> Tree:
                 add(parent, f, text)
             run, linked = [], 0
 
-    for m in _PART.finditer(source):
-        s = m[0]
+    at, ends = 0, None
+    while m := _PART.match(source, at):
+        s, at = m[0], m.end()
+        if m[2]:
+            ends = _ends(source) if ends is None else ends
+            at = ends.get(m.start(), at)
+            continue
         if s[0] != "<" or s == "<":
             run.append(s)
             if in_link:
                 linked += len(s.strip())
             continue
-        tag = m[3] or m[6]
+        tag = m[4] or m[7]
         if not tag:
             continue
-        closing, tag, attributes = m[2] or m[5], tag.lower(), m[4] or m[7] or ""
+        closing, tag, attributes = m[3] or m[6], tag.lower(), m[5] or m[8] or ""
         if tag == "a":
             in_link = max(0, in_link + (-1 if closing else 1))
         elif tag == "br":

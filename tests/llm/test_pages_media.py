@@ -32,6 +32,38 @@ def test_odd_pages(model, page):
     assert isinstance(html_text.main_text(page, *model), str)
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>T</title><body><article><p>One.</p></article>", ["One."]),
+        ("<head><meta name=a><title>T</title><style>p{}</style><p>One.<p>Two.", ["One.", "Two."]),
+        ("<head><title>T</title>One <b>two</b>.<p>Three.", ["One two.", "Three."]),
+        ("<head><title>T</title>One.", ["One."]),
+        ("<head><noscript><div>no</div></noscript><title>T</title></head><p>One.", ["One."]),
+        ("<head><script>'<body>'</script><title>T</title></head><p>One.", ["One."]),
+        ("<p>One.</p><svg width=1 /><p>Two.</p>", ["One.", "Two."]),
+        ("<svg><svg><text>a</text></svg><text>b</text></svg><p>One.</p>", ["One."]),
+        ("<p>One.</p><button>Go<p>Two.</p><button>Menu</button><p>Three.</p>", ["One.", "Go", "Two.", "Three."]),
+        ("<p>One.</p><select><option>a</select><select><p>Two.</p>", ["One.", "Two."]),
+        ("<iframe src=x><p>One.</p>", ["One."]),
+        ("<button><script>'<button>'</script>x</button><p>One.", ["One."]),
+        ("<p>One.</p><script><p>Two.</p>", ["One."]),
+    ],
+)
+def test_skipped_elements_end(page, texts):
+    assert [x for x in html_text.parse(page).text if x is not None] == texts
+
+
+def test_page_with_open_head(model):
+    page = "<html><head><title>T</title>{}<body><nav><a href='/a'>a</a></nav><article><h1>Head</h1><p>Some words, here.</p><p>Second part.</p></article>"
+    assert html_text.main_text(page.format(""), *model) == html_text.main_text(page.format("</head>"), *model) == "Head\nSome words, here.\nSecond part."
+    import time
+
+    start = time.time()
+    html_text.parse("<head><button><svg><object>x" * 40_000)
+    assert time.time() - start < 20
+
+
 def test_messages_equal_enumeration(model):
     from itertools import product
 
