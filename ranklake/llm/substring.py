@@ -327,13 +327,19 @@ def paths(repeated: DataFrame) -> DataFrame:
     # a run whose first node does not branch goes on another run, which ends there
     before = runs_.where("inner").select(F.col("head").alias("tail"), F.col("run").alias("after"))
     link = before.join(runs_.select("tail", "run"), "tail").select(F.col("after").alias("run"), F.col("run").alias("root"), F.col("run").alias("low"))
-    state = runs_.join(link, "run", "left").select("run", F.coalesce("root", "run").alias("root"), F.least("run", F.coalesce("low", "run")).alias("low"))
+    # open: the first run of the path is not reached yet; on a cycle it never is, and there low is the smallest run seen
+    state = runs_.join(link, "run", "left").select("run", F.coalesce("root", "run").alias("root"), F.least("run", F.coalesce("low", "run")).alias("low"), F.col("root").isNotNull().alias("open"))
+    last = None
     while True:
         state = written(state, "paths")
-        there = state.select(F.col("run").alias("root"), F.col("root").alias("next"), F.col("low").alias("low_next"))
-        if state.join(there, "root").where("next != root and low_next != low").isEmpty():
+        there = state.select(F.col("run").alias("root"), F.col("root").alias("next"), F.col("low").alias("low_next"), F.col("open").alias("open_next"))
+        # each round settles some run of every unfinished chain, so an equal count leaves cycles alone
+        left = state.join(there, "root").agg(F.count_if("open").alias("n"), F.count_if(F.col("open") & (F.col("low_next") < F.col("low"))).alias("falling")).first()
+        if left.n == 0 or (left.n == last and left.falling == 0):
             break
-        state = state.join(there, "root").select("run", F.col("next").alias("root"), F.least("low", "low_next").alias("low"))
+        last = left.n
+        state = state.join(there, "root").select("run", F.col("next").alias("root"), F.least("low", "low_next").alias("low"), (F.col("open") & F.col("open_next")).alias("open"))
+    state = state.withColumn("root", F.when(F.col("open"), F.col("low")).otherwise(F.col("root")))
     return runs_.join(state.select("run", F.col("root").alias("path")), "run").select("path", "doc", "pos", "length")
 
 

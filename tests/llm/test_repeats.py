@@ -103,3 +103,16 @@ def test_hot_passage_is_removed_everywhere(spark):
     marked, _ = substring.remove_repeats(df)
     got = {r.doc: r.n_removed for r in substring.digests(marked, 13).collect()}
     assert all(got[i] == (60 if i % 3 == 0 and i else 0) for i in range(600))
+
+
+def test_paths_of_chains_and_cycles(spark):
+    # runs of one edge each, in documents of their own: chains of 3, 7 and 40 runs, cycles of 2, 3 and 6
+    rows, at = [], 0
+    for size, ring in ((3, False), (7, False), (40, False), (2, True), (3, True), (6, True)):
+        for k in range(size):
+            rows.append((at + k, at + (0 if ring and k == size - 1 else k + 1), at + k, 0))
+        at += 100
+    got: dict = {}
+    for r in substring.paths(spark.createDataFrame(rows, "left long, right long, doc long, pos long")).collect():
+        got.setdefault(r.path, set()).add(r.doc)
+    assert sorted(sorted(x) for x in got.values()) == [list(range(100 * i, 100 * i + n)) for i, n in enumerate((3, 7, 40, 2, 3, 6))]
