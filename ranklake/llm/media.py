@@ -156,6 +156,15 @@ def patches(mel: np.ndarray, spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
+def tensors_digest(tensors: list[dict]) -> str:
+    """SHA-256 of each tensor's span and its values, in order."""
+    whole = hashlib.sha256()
+    for t in tensors:
+        whole.update(np.array([t["start_s"], t["end_s"]], "<f8").tobytes())
+        whole.update(np.array(t["mel"], "<f4").tobytes())
+    return whole.hexdigest()
+
+
 def feature_text(mel: np.ndarray, spans: list[tuple[int, int]]) -> str:
     means = ",".join(f"{v:.2f}" for v in mel.mean(axis=0))
     spans_crc = zlib.crc32(np.array(spans, "<i8").tobytes())
@@ -182,6 +191,7 @@ def describe(docs: DataFrame, media: bool = True, tensors: bool = True) -> DataF
         fields["media"] = ("binary", pa.binary())
     if tensors:
         fields["tensors"] = ("array<struct<start_s:double,end_s:double,mel:array<float>>>", _TENSOR)
+        fields["n_tensors"], fields["tensors_sha256"] = ("long", pa.int64()), ("string", pa.string())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,7 +207,10 @@ def describe(docs: DataFrame, media: bool = True, tensors: bool = True) -> DataF
                 if media:
                     out["media"].append(stored)
                 if tensors:
-                    out["tensors"].append(patches(mel, spans))
+                    found = patches(mel, spans)
+                    out["tensors"].append(found)
+                    out["n_tensors"].append(len(found))
+                    out["tensors_sha256"].append(tensors_digest(found))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(out[c], t) for c, (_, t) in fields.items())], names=["doc_id", *fields])
 
     schema = "doc_id long, " + ", ".join(f"{c} {t}" for c, (t, _) in fields.items())
@@ -216,5 +229,5 @@ def fixed_shape(table: pa.Table) -> pa.Table:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: digests and the feature string of every document's stored stream."""
-    return describe(spark.read.parquet(f"{sf_dir}/documents.parquet"), media=False, tensors=False)
+    """op9: digests and the feature string of every document's stored stream, and a digest of its tensors and spans."""
+    return describe(spark.read.parquet(f"{sf_dir}/documents.parquet"), media=False, tensors=True).drop("tensors")

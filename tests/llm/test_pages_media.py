@@ -146,3 +146,12 @@ def test_media_table(spark, docs, empty, corpus):
     flat = media.fixed_shape(rows.toArrow())
     assert flat.schema.field("mel").type.shape == [media.MELS, media.PATCH]
     assert media.describe(empty).count() == 0
+
+
+def test_query_builds_the_tensors(spark, sf):
+    got = {r.doc_id: r for r in media.query(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(5).collect()
+    for d in docs:
+        tensors = media.patches(*media.analysed(media.payload((d.text or "").encode())))
+        whole = b"".join(np.array([t["start_s"], t["end_s"]], "<f8").tobytes() + np.array(t["mel"], "<f4").tobytes() for t in tensors)
+        assert (got[d.doc_id].n_tensors, got[d.doc_id].tensors_sha256) == (len(tensors), hashlib.sha256(whole).hexdigest())
