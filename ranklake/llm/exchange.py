@@ -10,19 +10,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKED = "part int, payload binary"
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, and so the text a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -144,23 +141,53 @@ def gather(
     return parts.repartitionById(partitions(parts.sparkSession), "part").mapInArrow(tidy(reduced), schema)
 
 
-def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+#: Settings of the queries that run here: shuffle files go when their query ends, and Arrow batches are small, as a
+#: worker holds a batch, what it becomes and what the JVM sends after it.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """_SETTINGS hold within it; the session's own come back."""
+    before = {name: spark.conf.get(name, None) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    return _own_folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ranklake-"))
+
+
+_own_folders: dict[str, str] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet below the shared checkpoint folder and reads it back, which cuts lineage.
 
-    With ``free`` the shuffles behind df, if nothing else refers to them, are dropped at once.
+    The shuffles behind df have done their work then, and their files go at once.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/ranklake/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    if free:
-        freed(spark)
-    return spark.read.schema(schema).parquet(path)
+    path = f"{shared_folder(spark)}/ranklake/{name}-{uuid.uuid4().hex}"
+    with bounded(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, tables: list[DataFrame]) -> None:
@@ -172,17 +199,19 @@ def dropped(spark: SparkSession, tables: list[DataFrame]) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def freed(spark: SparkSession) -> None:
-    """Asks the JVM to collect what is no longer referenced, so that finished shuffles' files go early.
+#: Bytes up to which a counted table is broadcast.
+BROADCAST_BYTES = 128 << 20
+
+
+def small(df: DataFrame, row_bytes: Column | int = 64, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table, written or cheap to read, is within ``most`` bytes: its rows and their bytes are added up."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes).cast("long"))).first()[0]
+    return (size or 0) <= most
 
-    Python's references reach the JVM through a worker that looks about once a second.
-    """
-    import gc
-    import time
 
-    gc.collect()
-    time.sleep(1.2)
-    spark.sparkContext._jvm.System.gc()
+def sized(df: DataFrame, row_bytes: Column | int = 64, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is ``small``; otherwise Spark chooses, and splits skewed joins."""
+    return F.broadcast(df) if small(df, row_bytes, most) else df
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +223,8 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def squeezed(rows: DataFrame) -> DataFrame:
-    """(doc, text) with the text as zstd frames, for shuffles of whole texts; ``unsqueezed`` reads it back."""
+def squeezed(rows: DataFrame, *keep: str) -> DataFrame:
+    """(doc, keep, text) with the text as zstd frames, for shuffles of whole texts; ``unsqueezed`` reads it back."""
     import zstandard
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +232,10 @@ def squeezed(rows: DataFrame) -> DataFrame:
         for b in batches:
             texts = b.column("text").cast(pa.large_binary())
             out = pa.array([press.compress(x.as_buffer()) for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc"), out], names=["doc", "text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc", *keep)), out], names=["doc", *keep, "text"])
 
-    return rows.select("doc", "text").mapInArrow(tidy(squeeze), "doc long, text binary")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("doc", *keep).schema) + ", text binary"
+    return rows.select("doc", *keep, "text").mapInArrow(tidy(squeeze), schema)
 
 
 def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

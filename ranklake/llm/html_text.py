@@ -32,7 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import arrow_rows, tidy
+from . import spans as S
+from .exchange import tidy
+
+SLICE = 4 << 20
 
 _RAW = r"<!--(?s:.*?)(?:-->|\Z)|<(script|style|textarea)\b[^>]*+>(?s:.*?)(?:</\1\s*>|\Z)"
 _SKIPPED = frozenset("noscript template svg select button iframe object canvas".split())
@@ -150,9 +153,14 @@ def parse(source: str) -> Tree:
                 add(parent, f, text)
             run, linked = [], 0
 
+    # what follows the last ">" holds no whole tag: searching it for one at every "<" would be quadratic
+    last = source.rfind(">") + 1
+    source, tail = source[:last], source[last:]
     at, ends = 0, None
     while m := _PART.match(source, at):
         s, at = m[0], m.end()
+        if at == last and (s.startswith("<!--") and not s.endswith("-->") or m[1] and not re.search(rf"</{m[1]}\s*>$", s, re.I)):
+            tail = ""  # an open comment or script goes on
         if m[2]:
             ends = _ends(source) if ends is None else ends
             at = ends.get(m.start(), at)
@@ -184,6 +192,9 @@ def parse(source: str) -> Tree:
                 stack.pop()
             if tag not in _VOID:
                 stack.append((tag, add(stack[-1][1] if stack else (0 if tree.parent else -1), _features(tag, attributes), None)))
+    tail = tail.split("<!--", 1)[0]
+    run.append(tail)
+    linked += len(tail.strip()) if in_link else 0
     flush()
     return tree
 
@@ -344,11 +355,10 @@ def main_text(source: str | None, node: np.ndarray, pair: np.ndarray) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    arrow_rows(pages.sparkSession, 500)
     node, pair = (np.array(x) for x in trained())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in S.slices(batch, "html", SLICE)):
             texts = [main_text(x, node, pair) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from . import html_text
 from . import spans as S
-from .exchange import arrow_rows, tidy, written
+from .exchange import tidy, written
 
 U64 = np.uint64
-BITS, TRAIN_ROWS, TEMPER, STRENGTH, MOST_LANGUAGES = 16, 4_000, 0.2, 5.0, 256
+BITS, TRAIN_ROWS, TEMPER, STRENGTH = 16, 4_000, 0.2, 5.0
+SLICE = 4 << 20
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +53,6 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """The languages, and log-probabilities (language, trigram), from columns doc_id, text, lang."""
-    arrow_rows(labelled.sparkSession)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -70,26 +70,26 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
     usable = labelled.where("text is not null and lang != ''").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = usable.join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("doc_id")
-    found = sorted(sample.select("text", "lang").mapInArrow(tidy(fit), "lang string, logs binary").limit(MOST_LANGUAGES).collect())
+    found = sorted(sample.select("text", "lang").mapInArrow(tidy(fit), "lang string, logs binary").collect())  # a row for each language of the bounded sample
     return [r.lang for r in found], np.array([np.frombuffer(r.logs, "<f4") for r in found]).reshape(len(found), 1 << BITS)
 
 
 def _address(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    first = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b([^>]*)", 1)
-    declared = F.lower(F.regexp_extract(first, r"(?i)\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?-->", "")
+    first = F.regexp_extract(plain, r"(?i)<html\b([^>]*)", 1)
+    declared = F.lower(F.regexp_extract(first, r"(?i)(?<![\w:-])lang\s*=\s*[\"']?([A-Za-z]+)", 1))
     return pages.withColumn("host", host).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1)).withColumn("declared", declared)
 
 
 def text_scores(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """page_id, url, host, suffix, declared and logs: the tempered log-likelihood of each language."""
     languages, logs = model
-    arrow_rows(pages.sparkSession, 500)
     node, pair = (np.array(x) for x in html_text.trained())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(logs.T.astype(np.float64))
-        for b in batches:
+        for b in (part for batch in batches for part in S.slices(batch, "html", SLICE)):
             texts = pa.array([html_text.main_text(x, node, pair) for x in b.column("html").to_pylist()], pa.large_string())
             ids, owner = trigrams(texts)
             out = np.zeros((b.num_rows, len(languages)))

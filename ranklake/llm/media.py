@@ -4,7 +4,8 @@ The bytes of a text are the payload of a mono 8-bit PCM WAVE stream; the stream
 what a media column stores, and all features come from the samples read back from
 it. ``describe`` adds for each row:
 
-- ``media``: the stored stream, and its payload's and own digests;
+- the media column is a table of streams; features come from the table as it is read back;
+- digests of the payload, of its last bytes and of the stored stream;
 - polyphase resampling by ``UP`` / ``DOWN`` with a windowed sine filter, as one product of
   overlapping input blocks with a banded matrix;
 - overlapped log-mel frames (``FRAME`` samples, ``HOP`` apart);
@@ -18,7 +19,8 @@ Each row is computed alone and in double precision, and features are rounded, so
 equal texts give equal values wherever they stand. Defined cases: null text is
 empty; an empty payload is padded to one block like any other; a text of any length
 is processed whole; repeated rows give repeated rows; other columns are ignored.
-Memory is bounded by the longest single text.
+A worker holds one Arrow batch, of 64 MB by Spark's default, and the results of
+about ``SLICE`` bytes of text, or of one longer text.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import arrow_rows, tidy
+from . import spans as S
+from .exchange import tidy, written
 
 BLOCK, PAD = 576, 255
 RATE, UP, DOWN = 8000, 2, 3
@@ -44,6 +47,7 @@ FRAME, HOP, MELS, PATCH = 256, 128, 16, 32
 FLOOR = -10.0
 OPEN_DB, CLOSE_DB = 1.0, -1.0
 _STEP = 48
+SLICE = 1 << 20
 
 
 def payload(text: bytes) -> bytes:
@@ -183,29 +187,35 @@ _FIELDS = {
 _TENSOR = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", pa.list_(pa.float32()))]))
 
 
-def describe(docs: DataFrame, media: bool = True, tensors: bool = True) -> DataFrame:
-    """doc_id and the digests of every row, with the stored stream and its tensors if asked for."""
-    arrow_rows(docs.sparkSession, 200 if media or tensors else 1000)
+def stored(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): the media column of every row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in S.slices(batch, "text", SLICE)):
+            raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("text").cast(pa.large_binary())]
+            media = pa.array([to_wave(payload(x)) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(rows), "doc_id long, n_bytes long, media binary")
+
+
+def described(media: DataFrame, tensors: bool = True) -> DataFrame:
+    """doc_id and the digests of every row of ``stored``, from the samples read back, with the tensors if asked for."""
     fields = dict(_FIELDS)
-    if media:
-        fields["media"] = ("binary", pa.binary())
     if tensors:
         fields["tensors"] = ("array<struct<start_s:double,end_s:double,mel:array<float>>>", _TENSOR)
         fields["n_tensors"], fields["tensors_sha256"] = ("long", pa.int64()), ("string", pa.string())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in S.slices(batch, "media", SLICE)):
             out: dict[str, list] = {c: [] for c in fields}
-            for text in b.column("text").cast(pa.large_binary()):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                stored = to_wave(payload(raw))
-                _, back = from_wave(stored)
+            for n, x in zip(b.column("n_bytes").to_pylist(), b.column("media"), strict=True):
+                stream = x.as_buffer().to_pybytes()
+                _, back = from_wave(stream)
                 mel, spans = analysed(back)
-                values = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_text(mel, spans)]
+                values = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature_text(mel, spans)]
                 for c, v in zip(_FIELDS, values, strict=True):
                     out[c].append(v)
-                if media:
-                    out["media"].append(stored)
                 if tensors:
                     found = patches(mel, spans)
                     out["tensors"].append(found)
@@ -214,7 +224,12 @@ def describe(docs: DataFrame, media: bool = True, tensors: bool = True) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(out[c], t) for c, (_, t) in fields.items())], names=["doc_id", *fields])
 
     schema = "doc_id long, " + ", ".join(f"{c} {t}" for c, (t, _) in fields.items())
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(rows), schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(rows), schema)
+
+
+def describe(docs: DataFrame, tensors: bool = True) -> DataFrame:
+    """``described`` of the rows' media column, which is written to a table in the shared folder and read back."""
+    return described(written(stored(docs), "media"), tensors)
 
 
 def fixed_shape(table: pa.Table) -> pa.Table:
@@ -229,5 +244,6 @@ def fixed_shape(table: pa.Table) -> pa.Table:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: digests and the feature string of every document's stored stream, and a digest of its tensors and spans."""
-    return describe(spark.read.parquet(f"{sf_dir}/documents.parquet"), media=False, tensors=True).drop("tensors")
+    """op9: digests and the feature string of every document's stored stream, the number of its tensors and a digest of
+    their values and time spans."""
+    return describe(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tensors")

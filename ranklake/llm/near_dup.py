@@ -8,14 +8,14 @@ sequences matches m items with m / (n1 + n2 - m) >= ``SIMILARITY``; the band fol
 from that bound, so it loses no such alignment. Classes are connected components.
 
 Scale: equal texts fall together first and only their smallest doc_id goes on. No
-bucket is expanded to all its pairs: its members are compared with its smallest
-document, those that fail with the next one left, and so on for ``ROUNDS`` rounds; the
+bucket is expanded to all its pairs: its members are compared with its first
+text, those that fail with the next one left, and so on for ``ROUNDS`` rounds; the
 buckets of one group share their leaders, so few pairs are different. Buckets whose
 members then still stand in different components are dealt into cells of at most about
-2 * ``CELL`` members; each cell counts shared items by an index and aligns the pairs
+2 * ``CELL`` members or 2 * ``CELL_ITEMS`` items; each cell counts shared items by an index and aligns the pairs
 across components whose count allows the similarity, until they are joined. So no task
-holds a whole large bucket, and only links leave it. Groups move through joins that
-Spark can split.
+holds a whole large bucket, and only links leave it. Small tables of keys are broadcast after
+a count of their bytes, else Spark joins and can split; only texts that share a bucket move.
 
 Words are runs of characters other than ASCII white space, in lower case for
 A-Z. A text of fewer than SHINGLE words is one item; a text without words equals
@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import arrow_rows, dropped, groups, squeezed, tidy, unsqueezed, written
+from .exchange import dropped, groups, sized, small, squeezed, tidy, unsqueezed, written
 from .substring import NO_ID, keyed, pieces
 
 U64 = np.uint64
 SHINGLE, SIMILARITY, SKETCHES, DEPTH, ROUNDS = 5, 0.8, 16, 3, 3
-CELL = 400
+CELL, CELL_ITEMS = 1000, 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TOP = U64(2**64 - 1)
@@ -110,7 +110,7 @@ def signed(rows: DataFrame) -> DataFrame:
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), SKETCHES).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(doc), part.column("digest"), pa.array(np.diff(place)), lists], names=["doc", "digest", "n", "keys"])
 
-    return rows.withColumn("digest", F.md5("text")).mapInArrow(tidy(sign), "doc long, digest string, n long, keys array<long>")
+    return rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))).mapInArrow(tidy(sign), "doc long, digest binary, n long, keys array<long>")
 
 
 def sequences(rows: DataFrame) -> DataFrame:
@@ -169,8 +169,9 @@ def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def _across(mixed: DataFrame, seqs: DataFrame) -> DataFrame:
     """(a, b): links that join the components (label) met in one bucket (key), for members (rep)."""
-    blocks = mixed.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-    rows = mixed.join(written(blocks, "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    enough = F.greatest(F.count("*") / CELL, F.sum("n") / CELL_ITEMS)
+    blocks = written(mixed.groupBy("key").agg(F.ceil(enough).cast("int").alias("blocks")), "blocks")
+    rows = mixed.join(sized(blocks, 48), "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label")
     joined = rows.join(seqs.withColumnRenamed("doc", "rep"), "rep")
@@ -236,35 +237,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc, digest, rep, class_id, class_digest, n_links): rep is the smallest doc with the same text; (class_id,
     class_digest) the smallest (doc, digest) of the component."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     rows = keyed(docs)
-    signs = written(signed(rows), "signs", free=True)
-    # a text's node is its smallest doc, or where some doc has different texts, a hash of its digest
-    mark = F.xxhash64("digest")
-    shared = not signs.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").isEmpty()
+    signs = written(signed(rows), "signs")
+    # a node for each different text, numbered when the table is written
     reps = signs.groupBy("digest").agg(F.min("doc").alias("doc"), F.min_by(F.struct("keys", "n"), "doc").alias("s"))
-    reps = written(reps.select("digest", "doc", (mark if shared else F.col("doc")).alias("rep"), "s.*"), "reps")
-    spread = written(reps.where("n > 0").select("rep", "n", F.explode("keys").alias("key")), "buckets")
-    bucketed = written(spread.join(spread.groupBy("key").count().where("count > 1").select("key"), "key").dropDuplicates(["key", "rep"]), "buckets")
-    involved = bucketed.select(F.col("rep").alias("doc")).distinct()
-    texts = squeezed(rows.withColumn("doc", F.xxhash64(F.md5("text")))).dropDuplicates(["doc"]) if shared else squeezed(rows)
-    seqs = written(sequences(texts.join(involved, "doc", "left_semi")).dropDuplicates(["doc"]), "sequences", free=True)
-
-    links, rest = None, bucketed
+    reps = written(reps.select("digest", "doc", F.monotonically_increasing_id().alias("rep"), "s.*"), "reps")
+    spread = reps.where("n > 0").select("rep", "n", F.explode("keys").alias("key"))
+    met = written(spread.groupBy("key").count().where("count > 1").select("key"), "keys")
+    bucketed = written(spread.join(sized(met, 48), "key").dropDuplicates(["key", "rep"]), "buckets")
+    involved = written(reps.select("digest", "doc", "rep").join(bucketed.select("rep").distinct(), "rep", "left_semi"), "involved")
+    own = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    if small(involved, 96):  # only involved texts move
+        moved = own.join(F.broadcast(involved), ["digest", "doc"]).select(F.col("rep").alias("doc"), "text")
+        texts = squeezed(moved).dropDuplicates(["doc"])
+    else:
+        texts = squeezed(own, "digest").join(involved, ["digest", "doc"]).select(F.col("rep").alias("doc"), "text").dropDuplicates(["doc"])
+    seqs = written(sequences(texts), "sequences")
+
+    links, rest, used = None, bucketed, [bucketed]
     for _ in range(ROUNDS):
         order = F.struct(F.col("rep"), F.col("n"))
         leaders = rest.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead.rep", "lead.n").toDF("key", "a", "na")
-        pairs = rest.join(leaders, "key").where("rep != a").withColumnRenamed("rep", "b")
+        pairs = rest.join(sized(written(leaders, "leaders"), 64), "key").where("rep != a").withColumnRenamed("rep", "b")
         close = F.least("n", "na") >= SIMILARITY * F.greatest("n", "na")
         tested = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = written(verified(tested, seqs), "verified", free=True)
+        found = written(verified(tested, seqs), "verified")
         links = found if links is None else written(links.union(found).distinct(), "verified")
-        done = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(found.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("ok")), ["x", "y"], "left")
+        ok = sized(found.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("ok")), 64)
+        done = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(ok, ["x", "y"], "left")
         rest = written(done.where("ok is null").select("key", F.col("b").alias("rep"), "n"), "buckets")
+        used.append(rest)
     labels = components(links)
     marked = written(_labelled(bucketed, "rep", labels), "buckets")
-    mixed = marked.join(marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"), "key")
-    more = written(_across(mixed.select("key", "rep", "label"), seqs), "verified", free=True)
+    split = written(marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"), "keys")
+    more = written(_across(marked.join(sized(split, 48), "key").select("key", "rep", "n", "label"), seqs), "verified")
     if not more.isEmpty():
         labels = components(links.union(more).union(labels.toDF("a", "b")))
     links = links.union(more).distinct()
@@ -276,15 +282,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     per_rep = per_rep.select("digest", F.col("doc").alias("rep"), F.coalesce("lead", F.struct("doc", "digest")).alias("lead"), "n_links")
     out = signs.select("doc", "digest").join(per_rep, "digest")
     out = out.select("doc", "digest", "rep", F.col("lead.doc").alias("class_id"), F.col("lead.digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    # the result is a small table of its own; the working tables go, so that later work has their room
-    out = written(out, "classes", free=True)
-    dropped(spark, [signs, reps, spread, bucketed, seqs, rest, marked, more])
+    # the result is a small table of its own; the working tables go
+    out = written(out, "classes")
+    dropped(spark, [signs, reps, seqs, marked, more, *used])
     return out
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs that lead their class, all columns as they are. Of rows with one doc_id and one text that lead,
+    the one of the smallest digest of all its columns stays."""
+    classes = near_duplicates(docs)
+    leads = F.col("doc").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
+    others = written(classes.where(~leads).select("doc", "digest").distinct(), "others")
+    repeated = written(classes.where(leads).groupBy("doc", "digest").count().where("count > 1").select("doc", "digest"), "repeated")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("digest"))
+    out = own.join(sized(others, 64), ["doc", "digest"], "left_anti")
+    if not repeated.isEmpty():
+        again = out.join(repeated, ["doc", "digest"], "left_semi").groupBy("doc", "digest").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+        out = out.join(repeated, ["doc", "digest"], "left_anti").select("row").unionAll(again.select("row"))
+    return out.select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: each document's class (its smallest doc_id and that text's digest), the representative of its exact text and
     the verified links of that text."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     null = lambda c: F.expr(f"nullif({c}, {NO_ID})").alias
-    return out.select(null("doc")("doc_id"), null("class_id")("class_id"), "class_digest", null("rep")("copy_of"), "n_links")
+    return out.select(null("doc")("doc_id"), null("class_id")("class_id"), F.lower(F.hex("class_digest")).alias("class_digest"), null("rep")("copy_of"), "n_links")

@@ -15,12 +15,13 @@ texts with characters outside a plain set, or with special-token brackets, go to
 tokenizer whole. Both ways give the same ids.
 
 Defined cases: null and empty texts are one END token; null and repeated doc_ids are
-separate documents; equal lengths are ordered by their key, so the packing is
-the same for the same rows; an empty table gives no rows; other columns are ignored.
+separate documents; equal lengths are ordered by their row's number, so the packing is
+the same for the same files; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,12 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import arrow_rows, tidy, written
+from . import spans as S
+from .exchange import tidy, written
 
 SEQUENCE, END, GROUP, ROUNDS, REMEMBERED = 4096, 1, 4000, 8, 400_000
+SLICE = 2 << 20
 _LETTERS = "a-zµß-öø-ÿ"
 _PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-±´-¸»À-ÿ]")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}ªº]+|[0-9]|[^\\s0-9{_LETTERS}ªº]+")
+# The public tokenizer's rules that _PLAIN and _WORD stand for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ADDED = {"<|startoftext|>", "<|endoftext|>"}
 
 
 class Words(dict):
@@ -49,6 +56,10 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        # words are split here only as this file's own rules split them; with other rules every text goes in whole
+        rules = json.loads(self.tokenizer.to_str())
+        split = rules["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern") if rules["pre_tokenizer"] else None
+        self.splits = rules["normalizer"] == _NORMALIZER and split == {"Regex": _SPLIT} and {x["content"] for x in rules["added_tokens"]} <= _ADDED
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,7 +85,7 @@ class Words(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [None if _PLAIN.search(t) or "<|" in t else _WORD.findall(t.lower()) for t in texts]
+        split = [None if not self.splits or _PLAIN.search(t) or "<|" in t else _WORD.findall(t.lower()) for t in texts]
         self.learn({w for x in split if x for w in x if w not in self}, split)
         return [self.whole(t) if x is None else b"".join(map(self.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
 
@@ -83,15 +94,14 @@ _workers: dict[str, Words] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """(doc_id, row, piece, start, length, ids_crc32): row tells rows with one doc_id apart."""
-    arrow_rows(docs.sparkSession, 500)
+    """(doc_id, row, piece, start, length, ids_crc32): row tells all rows apart."""
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _workers.get(tokenizer_path)
         if words is None:
             words = _workers[tokenizer_path] = Words(tokenizer_path)
-        for b in batches:
+        for b in (part for batch in batches for part in S.slices(batch, "text", SLICE)):
             out = []
             encoded = words.encode([x or "" for x in b.column("text").to_pylist()])
             for doc, row, ids in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), encoded, strict=True):
@@ -103,15 +113,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.xxhash64("doc_id", "text"))
+    # a number of its own for each row, fixed when the pieces are written
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id())
     return rows.select("doc_id", "row", "text").mapInArrow(tidy(cut), "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(lengths: np.ndarray, size: int = SEQUENCE) -> int:
-    """The best bound of two families of dual-feasible functions."""
+def lower_bound(lengths: np.ndarray, size: int = SEQUENCE, counts: np.ndarray | None = None) -> int:
+    """The best bound of two families of dual-feasible functions; counts says how often each length stands for one."""
     if not len(lengths):
         return 0
-    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    count = np.zeros(size + 1, np.int64)
+    np.add.at(count, lengths, 1 if counts is None else counts)
     x = np.arange(size + 1, dtype=np.int64)
     number, total = np.cumsum(count), np.cumsum(count * x)
     # lengths under a count as 0, those over size - a as whole bins, others as they are
@@ -153,7 +165,7 @@ def best_fit(lengths: list[int], size: int = SEQUENCE) -> tuple[list[int], list[
     return where, offset, fill
 
 
-_PLACED = "doc_id long, row long, copy long, piece int, length long, part long, bin long, offset long, open boolean"
+_PLACED = "row long, piece int, length long, part long, bin long, offset long, open boolean"
 
 
 def _packed(items: DataFrame, size: int, keep: float) -> DataFrame:
@@ -161,8 +173,8 @@ def _packed(items: DataFrame, size: int, keep: float) -> DataFrame:
 
     def pack(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        key = [t.column(c).to_numpy(zero_copy_only=False) for c in ("piece", "copy", "row", "length")]
-        order = np.lexsort((*key[:3], -key[3]))
+        key = [t.column(c).to_numpy(zero_copy_only=False) for c in ("piece", "row", "length")]
+        order = np.lexsort((*key[:2], -key[2]))
         t = t.take(pa.array(order))
         lengths = t.column("length").to_numpy()
         where, offset, fill = best_fit(lengths.tolist(), size)
@@ -172,13 +184,13 @@ def _packed(items: DataFrame, size: int, keep: float) -> DataFrame:
         if gap > 0:
             release[np.argsort(fill, kind="stable")[: 4 * gap + 4]] = True
         where = np.array(where)
-        return pa.table({c: t.column(c) for c in ("doc_id", "row", "copy", "piece", "length", "part")} | {"bin": where, "offset": np.array(offset, np.int64), "open": release[where]})
+        return pa.table({c: t.column(c) for c in ("row", "piece", "length", "part")} | {"bin": where, "offset": np.array(offset, np.int64), "open": release[where]})
 
     return items.groupBy("part").applyInArrow(pack, _PLACED)
 
 
 def pack(found: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
-    """found (doc_id, row, copy, piece, length) with sequence_id and offset."""
+    """(row, piece, sequence_id, offset) of found (row, piece, length)."""
     settled = []
     items, before = found, None
     for turn in range(ROUNDS):
@@ -186,8 +198,8 @@ def pack(found: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> Data
         if not n:
             break
         parts = max(1, -(-n // group))
-        dealt = items.withColumn("part", F.pmod(F.xxhash64("row", "copy", "piece", F.lit(turn)), F.lit(parts)))
-        placed = _packed(dealt.select("doc_id", "row", "copy", "piece", "length", "part"), sequence, 0.98).withColumn("sequence_id", F.lit(turn << 56) + F.col("part") * F.lit(1 << 20) + F.col("bin"))
+        dealt = items.withColumn("part", F.pmod(F.xxhash64("row", "piece", F.lit(turn)), F.lit(parts)))
+        placed = _packed(dealt.select("row", "piece", "length", "part"), sequence, 0.98).withColumn("sequence_id", F.lit(turn << 56) + F.col("part") * F.lit(1 << 20) + F.col("bin"))
         placed = written(placed, "packed")
         released = placed.where("open")
         stats = released.agg(F.countDistinct("sequence_id").alias("bins"), F.sum("length").alias("length"), F.count_if(F.col("bin") >= 0).alias("n")).first()
@@ -197,25 +209,27 @@ def pack(found: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> Data
         if last:
             break
         before = stats["bins"]
-        items = released.select("doc_id", "row", "copy", "piece", "length")
+        items = released.select("row", "piece", "length")
     if not settled:
-        return found.select("row", "copy", "piece", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return found.select("row", "piece", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.select("row", "copy", "piece", "sequence_id", "offset")
+    return out.select("row", "piece", "sequence_id", "offset")
+
+
+def least_sequences(found: DataFrame, sequence: int = SEQUENCE) -> int:
+    """The certified bound: no packing of the pieces has fewer sequences. At most ``sequence`` counts reach the driver."""
+    counts = found.groupBy("length").count().collect()
+    return lower_bound(np.array([r["length"] for r in counts], np.int64), sequence, np.array([r["count"] for r in counts], np.int64)) if counts else 0
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """One row for each piece with its place."""
-    from pyspark.sql import Window
-
-    found = pieces(docs, tokenizer_path, sequence)
-    # rows that are wholly equal are told apart by a number
-    found = found.withColumn("copy", F.row_number().over(Window.partitionBy("row", "piece").orderBy("start")).cast("long"))
-    found = written(found, "pieces", free=True)
-    places = pack(found.select("doc_id", "row", "copy", "piece", "length"), sequence)
-    return found.join(places, ["row", "copy", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """One row for each piece with its place, and in least_sequences the certified bound of the whole packing."""
+    found = written(pieces(docs, tokenizer_path, sequence), "pieces")
+    places = pack(found.select("row", "piece", "length"), sequence)
+    out = found.join(places, ["row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.withColumn("least_sequences", F.lit(least_sequences(found, sequence)).cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -43,14 +43,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes and the n + 1 offsets of a string column; null is empty."""
+    """The bytes and the n + 1 offsets of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    column = column.cast(pa.large_string())
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_binary())
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

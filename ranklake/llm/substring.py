@@ -10,14 +10,21 @@ Plan:
 1. Winnowed fingerprints of short word grams (every window of k words holds one)
    screen places that may repeat. Within a map task equal fingerprints are
    combined first, so a passage in a third of all rows sends one record a flush.
-2. Windows whose smallest gram is such a place emit edges, combined in the same way; the target
-   partition of an edge's smallest short gram groups equal edges, whose two 64-bit
-   nodes must agree, and finds each edge's source. Edges that follow each other
-   and go to one partition travel as one run of nodes.
+2. Windows whose smallest gram is such a place emit edges, combined in the same way: an
+   occurrence that has a smaller one in its own map task is settled and names that
+   one as its source. The target partition of an edge's smallest short gram groups the
+   others by both 64-bit nodes, and their source is the smallest of the group. Edges
+   that follow each other and go to one partition travel as one run of nodes.
 3. Nodes with one edge in and one out do not branch. Runs of repeated edges that
    follow each other in their source are joined over such nodes to paths: first
    along the source, then through Spark joins by pointer doubling.
-4. Spans are mapped back to the documents.
+4. Spans, with the coordinates of their sources, go to their documents, and each source
+   is asked for its words' digest if its words lie on a path, or in a span of its own
+   document that leads to one. A span goes only if the 128-bit digest of its words
+   equals its source's; spans refuted so (collisions of hashes) stay.
+
+Rows are known by doc_id and a 64-bit hash of the text, so that rows of one doc_id, or
+of none, are rows of their own; a hot id is spread by its texts.
 
 Defined cases: a null text has no words; a null doc_id sorts before all others;
 rows with one doc_id never cover each other; texts under k words stay whole; an
@@ -35,35 +42,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import PACKED, arrow_rows, decode, encode, exchange, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
+from .exchange import PACKED, decode, encode, exchange, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
 
 U64 = np.uint64
 SLICE = 2 << 20
 FLUSH = 16 << 20
 NO_ID = -(1 << 63)
 
-_FINGER = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("known", "<i4")])
-_SPOT = np.dtype([("doc", "<i8"), ("pos", "<i4")])
-COVER = np.dtype([("doc", "<i8"), ("rid", "<u4"), ("pos", "<i4"), ("length", "<i4")])
-_EDGE = np.dtype([("left", "<u8"), ("right", "<u8"), ("rid", "<u4"), ("doc", "<i8"), ("pos", "<i4"), ("known", "<i4"), ("home", "<u8")])
-_RUN = np.dtype([("doc", "<i8"), ("rid", "<u4"), ("pos", "<i4"), ("length", "<i4"), ("known", "<i4")])
+_FINGER = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("known", "<i4")])
+_SPOT = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4")])
+_FROM = [("sdoc", "<i8"), ("srid", "<i8"), ("spos", "<i4")]
+#: kind 1: an occurrence in the source's own document, which stays.
+_COVER = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("length", "<i4"), *_FROM, ("kind", "<i4")])
+_EDGE = np.dtype([("left", "<u8"), ("right", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("known", "<i4"), ("home", "<u8"), *_FROM])
+_RUN = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("length", "<i4"), ("known", "<i4"), *_FROM])
+#: What a row is asked as a source (path is -1), or a run of a path that lies in it.
+_ASKED = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("length", "<i4"), ("path", "<i8")])
+_PROOF = np.dtype([*_FROM, ("length", "<i4"), ("own", "<i4"), ("high", "<u8"), ("low", "<u8")])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """The operator's own view of a document table."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("rid"), text.alias("text"))
+
+
+def column(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for part in S.slices(batch, "text", SLICE):
+        for part in S.slices(batch, "text", most):
             data, offsets = S.text_buffers(part.column("text"))
-            yield part, part.column("doc").to_numpy(zero_copy_only=False).astype(np.int64), data, offsets
+            yield part, column(part, "doc"), data, offsets
 
 
-def row_ids(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Tells rows with one doc_id and different texts apart."""
-    return (S.mix(S.range_hash(sums, offsets[:-1], offsets[1:]) + np.diff(offsets).astype(U64)) >> U64(32)).astype(np.uint32)
+def row_key(records: np.ndarray) -> np.ndarray:
+    """Deals rows out by id and text."""
+    return S.mix(records["doc"].view(U64) + S.mix(records["rid"].view(U64)))
 
 
 def flushed(parts: Iterator[np.ndarray], combine) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -79,72 +96,103 @@ def flushed(parts: Iterator[np.ndarray], combine) -> Iterator[tuple[np.ndarray,
         yield combine(np.concatenate(held))
 
 
-def combine_local(records: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def combine_local(records: np.ndarray, keys: np.ndarray, grouped: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of equal keys only the records of the smallest document go to the key's partition. The others are settled
-    (known = 1: repeated in a smaller document) and pass through any partition; known = 2 says that such exist."""
-    order, starts = groups(keys)
+    (known = 1: repeated in a smaller document) and pass through any partition; known = 2 says that such exist.
+    Records with fields for a source get the group's first record of the smallest document."""
+    order, starts = grouped or groups(keys)
     records, keys = records[order], keys[order]
     counts = np.diff(np.append(starts, len(records)))
-    later = records["doc"] > np.repeat(np.minimum.reduceat(records["doc"], starts), counts)
+    low = np.repeat(np.minimum.reduceat(records["doc"], starts), counts)
+    later = records["doc"] > low
     shared = np.repeat(np.logical_or.reduceat(later, starts), counts)
     records["known"] = np.where(later, 1, np.where(shared, 2, 0))
+    if "sdoc" in records.dtype.names:
+        least = np.flatnonzero(~later)
+        lead = np.repeat(least[np.searchsorted(least, starts)], counts)[later]
+        for c in ("doc", "rid", "pos"):
+            records[f"s{c}"][later] = records[c][lead]
     spread = S.mix(np.arange(len(records), dtype=U64) + keys[:1])
     return records, np.where(later, spread, keys)
 
 
+def shared_spots(records: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Packed places of the fingerprints that start in two or more documents."""
+    settled = records["known"] == 1
+    keep = [records[settled]]
+    if not settled.all():
+        open_ = records[~settled]
+        order, starts = groups(open_["hash"])
+        open_ = open_[order]
+        counts = np.diff(np.append(starts, len(open_)))
+        shared = np.minimum.reduceat(open_["doc"], starts) < np.maximum.reduceat(open_["doc"], starts)
+        keep.append(open_[np.repeat(shared, counts) | (open_["known"] == 2)])
+    found = np.concatenate(keep)
+    out = np.empty(len(found), _SPOT)
+    for c in _SPOT.names:
+        out[c] = found[c]
+    out = out[np.lexsort((out["pos"], out["rid"], out["doc"]))]
+    blobs = packed(out, row_key(out), n)
+    if blobs is not None:
+        yield blobs
+
+
+def spots_of(docs: DataFrame, mapper) -> DataFrame:
+    """(doc, rid, spots) of the shared fingerprints that mapper yields."""
+    n = partitions(docs.sparkSession)
+
+    def combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        records, keys = combine_local(records, records["hash"].copy())
+        order = np.lexsort((records["pos"], records["rid"], records["doc"]))
+        return records[order], keys[order]
+
+    found = exchange(docs, lambda batches, n: flushed(mapper(batches), combine), _FINGER, lambda x: shared_spots(x, n), PACKED)
+    return gather(found, _SPOT, spot_lists, "doc long, rid long, spots array<int>")
+
+
 def screen(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc, spots): word places whose fingerprint starts in two or more documents."""
+    """(doc, rid, spots): word places whose fingerprint starts in two or more documents."""
     reach = window - gram + 1
-    n = partitions(docs.sparkSession)
 
-    def mapper(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        def parts() -> Iterator[np.ndarray]:
-            for _, doc, data, offsets in pieces(batches):
-                starts, ends, first = S.words(data, offsets)
-                if len(starts) < window:
-                    continue
-                owner = np.repeat(np.arange(len(doc)), np.diff(first))
-                h = S.grams(S.word_hashes(data, starts, ends), gram)
-                valid = owner[: len(h)] == owner[gram - 1 :]
-                at = S.winnow(h, valid, reach)
-                out = np.zeros(len(at), _FINGER)
-                out["hash"], out["doc"], out["pos"] = h[at], doc[owner[at]], at - first[owner[at]]
-                yield out
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for part, doc, data, offsets in pieces(batches):
+            starts, ends, first = S.words(data, offsets)
+            if len(starts) < window:
+                continue
+            owner = np.repeat(np.arange(len(doc)), np.diff(first))
+            h = S.grams(S.word_hashes(data, starts, ends), gram)
+            valid = owner[: len(h)] == owner[gram - 1 :]
+            at = S.winnow(h, valid, reach)
+            out = np.zeros(len(at), _FINGER)
+            out["hash"], out["doc"], out["rid"], out["pos"] = h[at], doc[owner[at]], column(part, "rid")[owner[at]], at - first[owner[at]]
+            yield out
 
-        def combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            records, keys = combine_local(records, records["hash"].copy())
-            order = np.lexsort((records["pos"], records["doc"]))
-            return records[order], keys[order]
+    return spots_of(docs, mapper)
 
-        yield from flushed(parts(), combine)
 
-    def reducer(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-        settled = records["known"] == 1
-        keep = [records[settled]]
-        if not settled.all():
-            open_ = records[~settled]
-            order, starts = groups(open_["hash"])
-            open_ = open_[order]
-            counts = np.diff(np.append(starts, len(open_)))
-            shared = np.minimum.reduceat(open_["doc"], starts) < np.maximum.reduceat(open_["doc"], starts)
-            keep.append(open_[np.repeat(shared, counts) | (open_["known"] == 2)])
-        found = np.concatenate(keep)
-        out = np.empty(len(found), _SPOT)
-        out["doc"], out["pos"] = found["doc"], found["pos"]
-        out = out[np.lexsort((out["pos"], out["doc"]))]
-        blobs = packed(out, S.mix(out["doc"].view(U64)), n)
-        if blobs is not None:
-            yield blobs
+def distinct(records: np.ndarray) -> np.ndarray:
+    """The different records, in order of their fields."""
+    names = records.dtype.names
+    records = records[np.lexsort([records[c] for c in reversed(names)])]
+    new = np.ones(len(records), bool)
+    if len(records):
+        new[1:] = np.any([records[c][1:] != records[c][:-1] for c in names], axis=0)
+    return records[new]
 
-    return gather(exchange(docs, mapper, _FINGER, reducer, PACKED), _SPOT, spot_lists, "doc long, spots array<int>")
+
+def row_starts(records: np.ndarray) -> np.ndarray:
+    """Where each row's records begin, in records sorted by row."""
+    new = np.ones(len(records), bool)
+    new[1:] = (records["doc"][1:] != records["doc"][:-1]) | (records["rid"][1:] != records["rid"][:-1])
+    return np.flatnonzero(new)
 
 
 def spot_lists(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each document with its places in order."""
-    records = records[np.lexsort((records["pos"], records["doc"]))]
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(records["doc"]) != 0]))
+    records = distinct(records)
+    begin = row_starts(records)
     lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(records)).astype(np.int32)), pa.array(records["pos"].copy()))
-    yield pa.RecordBatch.from_arrays([pa.array(records["doc"][begin]), lists], names=["doc", "spots"])
+    yield pa.RecordBatch.from_arrays([pa.array(records["doc"][begin]), pa.array(records["rid"][begin]), lists], names=["doc", "rid", "spots"])
 
 
 def own_minimum(spots: pa.ListArray, first: np.ndarray, hashes: np.ndarray, low: np.ndarray, reach: int) -> np.ndarray:
@@ -161,6 +209,26 @@ def own_minimum(spots: pa.ListArray, first: np.ndarray, hashes: np.ndarray, low:
     return (near == low) & (low != U64(2**64 - 1))
 
 
+def pair_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``groups``, of pairs."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    return order, np.flatnonzero(new)
+
+
+def follows(x: np.ndarray, *same: str) -> np.ndarray:
+    """Whether a record goes on the one before it: next place, next place of the source."""
+    on = np.zeros(len(x), bool)
+    on[1:] = x["pos"][1:] == x["pos"][:-1] + 1
+    for c in ("doc", "rid", "sdoc", "srid", *same):
+        on[1:] &= x[c][1:] == x[c][:-1]
+    return on
+
+
+EDGES = "left long, right long, doc long, rid long, pos long, part int, payload binary"
+
+
 def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
     """Repeated edges and covered places.
 
@@ -176,9 +244,7 @@ def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 starts, ends, first = S.words(data, offsets)
                 if len(starts) < window:
                     continue
-                sums = S.prefix(data)
-                h = S.mix(S.range_hash(sums, starts, ends) + (ends - starts).astype(U64))
-                rid = row_ids(data, offsets, sums)
+                h = S.word_hashes(data, starts, ends)
                 short = S.grams(h, gram)
                 home = S.sliding_min(short, reach)
                 mask = own_minimum(part.column("spots"), first, short, home, reach)
@@ -191,60 +257,74 @@ def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 owner = np.searchsorted(first, at, "right") - 1
                 out = np.zeros(len(at), _EDGE)
                 out["left"], out["right"], out["home"] = nodes[at], nodes[at + 1], home[at]
-                out["doc"], out["pos"], out["rid"] = doc[owner], at - first[owner], rid[owner]
+                out["doc"], out["pos"], out["rid"] = doc[owner], at - first[owner], column(part, "rid")[owner]
                 yield out
 
         yield from flushed(parts(), combine)
 
     def combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        records, _ = combine_local(records, edge_key(records))
+        records, _ = combine_local(records, records["left"], pair_groups(records["left"], records["right"]))
         records = records[np.lexsort((records["pos"], records["rid"], records["doc"]))]
-        return records, S.mix(records["home"])
+        # settled ones need no partition of their edge: they are dealt out by their rows, whole runs together
+        return records, np.where(records["known"] == 1, row_key(records), S.mix(records["home"]))
 
     def reducer(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         settled = records["known"] == 1
-        covered = [records[settled]]
+        covered, alike = [records[settled]], []
         if not settled.all():
             open_ = records[~settled]
-            order, starts = groups(edge_key(open_))
+            open_ = open_[np.lexsort((open_["pos"], open_["rid"], open_["doc"]))]
+            order, starts = pair_groups(open_["left"], open_["right"])
             open_ = open_[order]
             counts = np.diff(np.append(starts, len(open_)))
-            low = np.minimum.reduceat(open_["doc"], starts)
-            later = open_["doc"] > np.repeat(low, counts)
-            repeated = np.logical_or.reduceat(later | (open_["known"] == 2), starts)
+            lead = open_[starts]  # the smallest, as both sorts are stable
+            for c in ("doc", "rid", "pos"):
+                open_[f"s{c}"] = np.repeat(lead[c], counts)
+            later = open_["doc"] > open_["sdoc"]
             covered.append(open_[later])
-            place = np.where(later, np.int64(1) << 40, open_["pos"])
-            source = np.minimum.reduceat(place, starts)[repeated]
-            lead = open_[starts[repeated]]
-            cols = [lead["left"].copy().view(np.int64), lead["right"].copy().view(np.int64), low[repeated], source]
+            lone = np.ones(len(open_), bool)
+            lone[starts] = False
+            alike.append(open_[lone & ~later & (open_["known"] == 2)])
+            lead = lead[np.logical_or.reduceat(later | (open_["known"] == 2), starts)]
+            cols = [lead["left"].copy().view(np.int64), lead["right"].copy().view(np.int64), lead["doc"], lead["rid"], lead["pos"].astype(np.int64)]
             none = [pa.nulls(len(lead), pa.int32()), pa.nulls(len(lead), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *none], names=["left", "right", "doc", "pos", "part", "payload"])
-        x = np.concatenate(covered)
-        x = x[np.lexsort((x["pos"], x["rid"], x["doc"]))]
-        new = np.ones(len(x), bool)
-        new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["rid"][1:] != x["rid"][:-1]) | (x["pos"][1:] != x["pos"][:-1] + 1)
-        begin = np.flatnonzero(new)
-        runs = np.empty(len(begin), COVER)
-        for c in ("doc", "rid", "pos"):
-            runs[c] = x[c][begin]
-        runs["length"] = np.diff(np.append(begin, len(x)))
-        moved = packed(runs, S.mix(runs["doc"].view(U64)), n)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *none], names=["left", "right", "doc", "rid", "pos", "part", "payload"])
+        x = np.concatenate([*covered, *alike])
+        kind = np.arange(len(x)) >= sum(map(len, covered))
+        runs = cover_runs(x, np.ones(len(x), np.int32), kind)
+        moved = packed(runs, row_key(runs), n)
         if moved is not None:
-            empty = [pa.nulls(moved.num_rows, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*empty, *moved.columns], names=["left", "right", "doc", "pos", "part", "payload"])
+            empty = [pa.nulls(moved.num_rows, pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([*empty, *moved.columns], names=["left", "right", "doc", "rid", "pos", "part", "payload"])
 
-    schema = "left long, right long, doc long, pos long, part int, payload binary"
-    return exchange(marked, mapper, _EDGE, reducer, schema, encode_edges, decode_edges)
+    return exchange(marked, mapper, _EDGE, reducer, EDGES, encode_edges, decode_edges)
 
 
-def encode_edges(x: np.ndarray) -> bytes:
-    """Runs of edges (sorted by doc, rid, pos) as a header each and their nodes; settled edges need no nodes."""
+def cover_runs(x: np.ndarray, length: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Runs of covered windows, joined where both they and their sources go on."""
+    order = np.lexsort((x["pos"], x["rid"], x["doc"]))
+    x, length, kind = x[order], length[order].astype(np.int64), kind[order]
     new = np.ones(len(x), bool)
-    new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["rid"][1:] != x["rid"][:-1]) | (x["pos"][1:] != x["pos"][:-1] + 1) | (x["known"][1:] != x["known"][:-1])
+    same = kind[1:] == kind[:-1]
+    for c in ("doc", "rid", "sdoc", "srid"):
+        same &= x[c][1:] == x[c][:-1]
+    new[1:] = ~(same & (x["pos"][1:] == x["pos"][:-1] + length[:-1]) & (x["spos"][1:] == x["spos"][:-1] + length[:-1]))
     begin = np.flatnonzero(new)
+    runs = np.zeros(len(begin), _COVER)
+    for c in ("doc", "rid", "pos", "sdoc", "srid", "spos"):
+        runs[c] = x[c][begin]
+    runs["kind"] = kind[begin]
+    runs["length"] = np.add.reduceat(length, begin) if len(begin) else 0
+    return runs
+
+
+def encode_edges(x: np.ndarray) -> bytes:
+    """Runs of edges (sorted by doc, rid, pos) as a header each and their nodes; settled edges need no nodes."""
+    begin = np.flatnonzero(~(follows(x, "known") & ((x["spos"] - np.roll(x["spos"], 1) == 1) | (x["known"] != 1))))
     run = np.empty(len(begin), _RUN)
-    for c in ("doc", "rid", "pos", "known"):
-        run[c] = x[c][begin]
+    for c in _RUN.names:
+        if c != "length":
+            run[c] = x[c][begin]
     run["length"] = np.diff(np.append(begin, len(x)))
     open_ = x["known"] != 1
     last = np.append(begin[1:], len(x)) - 1
@@ -258,9 +338,11 @@ def decode_edges(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
     length = run["length"].astype(np.int64)
     begin = np.cumsum(length) - length
     out = np.zeros(length.sum(), dtype)
-    for c in ("doc", "rid", "known"):
+    step = np.arange(len(out)) - np.repeat(begin, length)
+    for c in ("doc", "rid", "known", "sdoc", "srid"):
         out[c] = np.repeat(run[c], length)
-    out["pos"] = np.repeat(run["pos"] - begin, length) + np.arange(len(out))
+    for c in ("pos", "spos"):
+        out[c] = np.repeat(run[c], length) + step
     nodes = np.frombuffer(data[16 + size :].tobytes(), np.uint64)
     open_ = out["known"] != 1
     m = int(open_.sum())
@@ -271,33 +353,28 @@ def decode_edges(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def edge_key(x: np.ndarray) -> np.ndarray:
-    return S.mix(x["left"] * U64(3) + x["right"])
+def _lists(x: np.ndarray, names: list[str], column: str) -> pa.RecordBatch:
+    """One row for each (doc, rid) with a list of the other fields."""
+    cut = row_starts(x)
+    item = pa.StructArray.from_arrays([pa.array(x[c].astype(np.int64)) for c in names], names=names)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(x)).astype(np.int32)), item)
+    return pa.RecordBatch.from_arrays([pa.array(x["doc"][cut]), pa.array(x["rid"][cut]), lists], names=["doc", "rid", column])
 
 
 def run_lists(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document with its covered runs (rid, pos, length), joined where they touch."""
-    x = records[np.lexsort((records["pos"], records["rid"], records["doc"]))]
-    if not len(x):
-        return
-    new = np.ones(len(x), bool)
-    new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["rid"][1:] != x["rid"][:-1]) | (x["pos"][1:] > x["pos"][:-1] + x["length"][:-1])
-    first = np.flatnonzero(new)
-    stop = np.maximum.reduceat(x["pos"].astype(np.int64) + x["length"], first)
-    x = x[first]
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(x["doc"]) != 0]))
-    run = pa.StructArray.from_arrays([pa.array(x["rid"].astype(np.int64)), pa.array(x["pos"].astype(np.int64)), pa.array(stop - x["pos"])], names=["rid", "pos", "length"])
-    yield pa.RecordBatch.from_arrays([pa.array(x["doc"][cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(x)).astype(np.int32)), run)], names=["doc", "runs"])
+    """One row for each document with its covered runs and their sources."""
+    if len(records):
+        yield _lists(cover_runs(records, records["length"], records["kind"]), ["pos", "length", "sdoc", "srid", "spos", "kind"], "runs")
 
 
-RUNS = "doc long, runs array<struct<rid:long,pos:long,length:long>>"
+RUNS = "doc long, rid long, runs array<struct<pos:long,length:long,sdoc:long,srid:long,spos:long,kind:long>>"
 
 
 def paths(repeated: DataFrame) -> DataFrame:
-    """Compacts repeated edges (left, right, doc, pos) to maximal nonbranching paths.
+    """Compacts repeated edges (left, right, doc, rid, pos) to maximal nonbranching paths.
 
     Returns one row for each run of a path that lies along one source: path (the number of its first
-    run), doc, pos, length. A cycle of nonbranching nodes is cut at its smallest run.
+    run), doc, rid, pos, length. A cycle of nonbranching nodes is cut at its smallest run.
     """
     spark = repeated.sparkSession
     n_out = repeated.groupBy(F.col("left").alias("node")).agg(F.count("*").alias("n_out"))
@@ -311,19 +388,20 @@ def paths(repeated: DataFrame) -> DataFrame:
         if not tables:
             return
         t = pa.concat_tables(tables)
-        doc, pos, left, right = (t.column(c).to_numpy() for c in ("doc", "pos", "left", "right"))
+        doc, rid, pos, left, right = (t.column(c).to_numpy() for c in ("doc", "rid", "pos", "left", "right"))
         inner = t.column("inner").fill_null(False).to_numpy(zero_copy_only=False)
-        order = np.lexsort((pos, doc))
-        doc, pos, left, right, inner = doc[order], pos[order], left[order], right[order], inner[order]
-        goes_on = (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1) & (left[1:] == right[:-1]) & inner[1:]
+        order = np.lexsort((pos, rid, doc))
+        doc, rid, pos, left, right, inner = doc[order], rid[order], pos[order], left[order], right[order], inner[order]
+        goes_on = (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (pos[1:] == pos[:-1] + 1) & (left[1:] == right[:-1]) & inner[1:]
         begin = np.flatnonzero(np.concatenate([[True], ~goes_on]))
         end = np.append(begin[1:], len(doc)) - 1
-        cols = [doc[begin], pos[begin], end - begin + 1, left[begin], right[end], inner[begin]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "pos", "length", "head", "tail", "inner"])
+        cols = [doc[begin], rid[begin], pos[begin], end - begin + 1, left[begin], right[end], inner[begin]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "rid", "pos", "length", "head", "tail", "inner"])
 
     n = partitions(spark)
-    runs_ = flagged.select("doc", "pos", "left", "right", "inner").repartition(n, "doc").mapInArrow(tidy(along), "doc long, pos long, length long, head long, tail long, inner boolean")
-    runs_ = written(runs_.withColumn("run", F.xxhash64("doc", "pos")), "runs", free=True)
+    dealt = flagged.select("doc", "rid", "pos", "left", "right", "inner").repartition(n, "doc", "rid")
+    runs_ = dealt.mapInArrow(tidy(along), "doc long, rid long, pos long, length long, head long, tail long, inner boolean")
+    runs_ = written(runs_.withColumn("run", F.monotonically_increasing_id()), "runs")
     # a run whose first node does not branch goes on another run, which ends there
     before = runs_.where("inner").select(F.col("head").alias("tail"), F.col("run").alias("after"))
     link = before.join(runs_.select("tail", "run"), "tail").select(F.col("after").alias("run"), F.col("run").alias("root"), F.col("run").alias("low"))
@@ -333,62 +411,175 @@ def paths(repeated: DataFrame) -> DataFrame:
     while True:
         state = written(state, "paths")
         there = state.select(F.col("run").alias("root"), F.col("root").alias("next"), F.col("low").alias("low_next"), F.col("open").alias("open_next"))
-        # each round settles some run of every unfinished chain, so an equal count leaves cycles alone
+        # each round settles some run of every unfinished chain, so an equal count leaves cycles alone, and those are
+        # done when no run sees a smaller one ahead
         left = state.join(there, "root").agg(F.count_if("open").alias("n"), F.count_if(F.col("open") & (F.col("low_next") < F.col("low"))).alias("falling")).first()
         if left.n == 0 or (left.n == last and left.falling == 0):
             break
         last = left.n
         state = state.join(there, "root").select("run", F.col("next").alias("root"), F.least("low", "low_next").alias("low"), (F.col("open") & F.col("open_next")).alias("open"))
     state = state.withColumn("root", F.when(F.col("open"), F.col("low")).otherwise(F.col("root")))
-    return runs_.join(state.select("run", F.col("root").alias("path")), "run").select("path", "doc", "pos", "length")
+    return written(runs_.join(state.select("run", F.col("root").alias("path")), "run").select("path", "doc", "rid", "pos", "length"), "paths")
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(compressed texts with covered runs, repeated paths)."""
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    rows = keyed(docs)
-    spots = written(screen(rows, window, gram), "spots", free=True)
-    found = written(edges(squeezed(rows).join(spots, "doc"), window, gram), "edges", free=True)
-    covered = gather(found.where("part is not null").select("part", "payload"), COVER, run_lists, RUNS)
-    return squeezed(rows).join(covered, "doc", "left"), paths(found.where("left is not null"))
+def asked(covered: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, rid, wants): what each row is asked as a source, and the path runs that lie in it."""
+
+    def mapper(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def parts() -> Iterator[np.ndarray]:
+            for b in batches:
+                flat = b.column("runs").flatten()
+                out = np.zeros(len(flat), _ASKED)
+                for c, field in (("doc", "sdoc"), ("rid", "srid"), ("pos", "spos"), ("length", "length"), ("path", "path")):
+                    out[c] = flat.field(field).to_numpy(zero_copy_only=False)
+                yield out
+
+        def combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            records = distinct(records)
+            return records, row_key(records)
+
+        yield from flushed(parts(), combine)
+
+    def reducer(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _lists(distinct(records), ["pos", "length", "path"], "wants")
+
+    spans = covered.select(F.transform("runs", lambda r: F.struct(r["sdoc"], r["srid"], r["spos"], r["length"], F.lit(-1).cast("long").alias("path"))).alias("runs"))
+    lies = found.select(F.array(F.struct(F.col("doc").alias("sdoc"), F.col("rid").alias("srid"), F.col("pos").alias("spos"), "length", "path")).alias("runs"))
+    return exchange(spans.unionAll(lies), mapper, _ASKED, reducer, "doc long, rid long, wants array<struct<pos:long,length:long,path:long>>")
+
+
+class Words:
+    """The words of one text, for joined slices."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends = data, starts, ends
+        gap = (starts[1:] - ends[:-1] != 1) | (data[ends[:-1]] != 32) if len(starts) > 1 else np.zeros(0, bool)
+        self.odd = np.concatenate([[0], np.cumsum(gap)])
 
+    def joined(self, a: int, b: int) -> bytes:
+        """Words a .. b - 1, joined by one space."""
+        if a >= b:
+            return b""
+        if self.odd[b - 1] == self.odd[a]:
+            return self.data[self.starts[a] : self.ends[b - 1]].tobytes()
+        return b" ".join(self.data[x:y].tobytes() for x, y in zip(self.starts[a:b], self.ends[a:b], strict=True))
 
-def kept_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, drop: np.ndarray) -> bytes:
-    return b" ".join(data[a:b].tobytes() for a, b in zip(starts[~drop], ends[~drop], strict=True))
 
+def _arrays(item, *names: str) -> list[np.ndarray]:
+    if not item.is_valid:
+        return [np.zeros(0, np.int64)] * len(names)
+    return [item.values.field(c).to_numpy(zero_copy_only=False) for c in names]
 
-def digests(marked: DataFrame, window: int) -> DataFrame:
-    """Per row: n_words, n_removed, kept_text."""
+
+OUT = "doc long, n_words long, n_removed long, n_paths long, kept_text string, kept_sha256 string, part int, payload binary"
+
+
+def checked(marked: DataFrame, window: int, keep_text: bool) -> DataFrame:
+    """Per row of marked (doc, rid, text, runs, wants) its result, and packed rows with the digests of spans and sources.
+
+    A run with a proof (its source's digest) is left out if its words have another one.
+    """
+    n = partitions(marked.sparkSession)
+    proven = "proof" in marked.schema["runs"].dataType.elementType.names
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        proofs: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = distinct(np.array(proofs, _PROOF))
+            moved = packed(x, proof_key(x), n)
+            proofs.clear()
+            if moved is not None:
+                none = [pa.nulls(moved.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())]
+                yield pa.RecordBatch.from_arrays([*none, *moved.columns], names=[*names, "part", "payload"])
+
+        names = ["doc", "n_words", "n_removed", "n_paths", "kept_text", "kept_sha256"]
         for part, doc, data, offsets in pieces(unsqueezed(batches)):
             starts, ends, first = S.words(data, offsets)
-            rid = row_ids(data, offsets, S.prefix(data))
-            lists = part.column("runs")
-            out = []
+            rid = column(part, "rid")
+            out: list[tuple] = []
             for i in range(part.num_rows):
                 a, b = first[i], first[i + 1]
+                words = Words(data, starts[a:b], ends[a:b])
                 drop = np.zeros(b - a, bool)
-                if lists[i].is_valid:
-                    v = lists[i].values
-                    own = v.field("rid").to_numpy() == rid[i]
-                    for p, n in zip(v.field("pos").to_numpy()[own], v.field("length").to_numpy()[own], strict=True):
-                        drop[p : p + n + window - 1] = True
-                kept = kept_words(data, starts[a:b], ends[a:b], drop)
-                out.append((b - a, int(drop.sum()), kept, hashlib.sha256(kept).hexdigest()))
-            n_words, removed, kept, sha = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha)],
-                names=["doc", "n_words", "n_removed", "kept_text", "kept_sha256"],
-            )
-
-    return marked.mapInArrow(tidy(rows), "doc long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+                run = part.column("runs")[i]
+                pos, length, sdoc, srid, spos, kind = _arrays(run, "pos", "length", "sdoc", "srid", "spos", "kind")
+                proof = run.values.field("proof") if proven and run.is_valid else None
+                on = np.zeros(b - a, bool)
+                for k in range(len(pos)):
+                    own = hashlib.md5(words.joined(pos[k], pos[k] + length[k] + window - 1)).digest()
+                    if proof is not None and proof[k].is_valid and proof[k].as_py() != own:
+                        continue
+                    if not kind[k]:
+                        drop[pos[k] : pos[k] + length[k] + window - 1] = True
+                    on[pos[k] : pos[k] + length[k]] = True
+                    proofs.append((sdoc[k], srid[k], spos[k], length[k], 0, int.from_bytes(own[:8]), int.from_bytes(own[8:])))
+                at, size, path = _arrays(part.column("wants")[i], "pos", "length", "path")
+                for k in np.flatnonzero(path >= 0):
+                    on[at[k] : at[k] + size[k]] = True
+                for k in np.flatnonzero(path < 0):
+                    if on[at[k] : at[k] + size[k]].all():
+                        own = hashlib.md5(words.joined(at[k], at[k] + size[k] + window - 1)).digest()
+                        proofs.append((doc[i], rid[i], at[k], size[k], 1, int.from_bytes(own[:8]), int.from_bytes(own[8:])))
+                s, e = S.runs(~drop)
+                kept = b" ".join(words.joined(x, y) for x, y in zip(s, e, strict=True))
+                out.append((b - a, int(drop.sum()), len(np.unique(path[path >= 0])), kept.decode() if keep_text else None, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            empty = [pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), *empty], names=[*names, "part", "payload"])
+            if len(proofs) >= 100_000:
+                yield from flush()
+        if proofs:
+            yield from flush()
+
+    return marked.mapInArrow(tidy(rows), OUT)
+
+
+def proof_key(x: np.ndarray) -> np.ndarray:
+    h = S.mix(x["sdoc"].view(U64) + S.mix(x["srid"].view(U64)))
+    return S.mix(h + x["spos"].astype(U64) * U64(31) + x["length"].astype(U64))
+
+
+def refuted(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sources some of whose spans have other words, with the source's digest; empty where the source gave none."""
+    x = distinct(records)
+    new = np.ones(len(x), bool)
+    new[1:] = np.any([x[c][1:] != x[c][:-1] for c in ("sdoc", "srid", "spos", "length")], axis=0)
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(x)))
+    last = x[starts + counts - 1]  # the source's own, if it is there
+    same = (x["high"] == np.repeat(last["high"], counts)) & (x["low"] == np.repeat(last["low"], counts))
+    bad = ~np.logical_and.reduceat(same, starts) | (last["own"] == 0)
+    last = last[bad]
+    proof = [int(h).to_bytes(8) + int(v).to_bytes(8) if own else b"" for h, v, own in zip(last["high"], last["low"], last["own"], strict=True)]
+    cols = [pa.array(last[c].astype(np.int64)) for c in ("sdoc", "srid", "spos", "length")]
+    yield pa.RecordBatch.from_arrays([*cols, pa.array(proof, pa.binary())], names=["sdoc", "srid", "spos", "length", "proof"])
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc, n_words, n_removed, n_paths, kept_text, kept_sha256) of every row, and the repeated paths by their runs."""
+    rows = keyed(docs)
+    spots = written(screen(rows, window, gram), "spots")
+    found = written(edges(squeezed(rows, "rid").join(spots, ["doc", "rid"]), window, gram), "edges")
+    compacted = paths(found.where("left is not null"))
+    covered = written(gather(found.where("part is not null").select("part", "payload"), _COVER, run_lists, RUNS), "covered")
+    wants = written(asked(covered, compacted), "wants")
+
+    def result(runs: DataFrame) -> DataFrame:
+        marked = squeezed(rows, "rid").join(runs, ["doc", "rid"], "left").join(wants, ["doc", "rid"], "left")
+        return written(checked(marked, window, keep_text), "kept")
+
+    out = result(covered)
+    bad = written(gather(out.where("part is not null").select("part", "payload"), _PROOF, refuted, "sdoc long, srid long, spos long, length long, proof binary"), "refuted")
+    if not bad.isEmpty():  # hashes that collided: once more, with the digests of the sources concerned
+        one = covered.select("doc", "rid", F.explode("runs").alias("r")).select("doc", "rid", "r.*").join(bad, ["sdoc", "srid", "spos", "length"], "left")
+        runs = one.groupBy("doc", "rid").agg(F.collect_list(F.struct("pos", "length", "sdoc", "srid", "spos", "kind", "proof")).alias("runs"))
+        out = result(runs)
+    return out.where("part is null").drop("part", "payload"), compacted
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: digest of every document after the removal, with the number of repeated paths whose source it holds."""
-    marked, found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    held = found.groupBy("doc").agg(F.countDistinct("path").alias("n_paths"))
-    out = digests(marked, 13).drop("kept_text").join(held, "doc", "left")
-    return out.select(F.expr(f"nullif(doc, {NO_ID})").alias("doc_id"), "n_words", "n_removed", "kept_sha256", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
+    out, _ = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)
+    return out.select(F.expr(f"nullif(doc, {NO_ID})").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "n_paths")

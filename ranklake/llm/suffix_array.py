@@ -40,15 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import PACKED, arrow_rows, decode, encode, exchange, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
-from .substring import _FINGER, _SPOT, COVER, NO_ID, RUNS, combine_local, keyed, own_minimum, row_ids, run_lists, spot_lists
+from .exchange import PACKED, decode, encode, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
+from .substring import _FINGER, NO_ID, column, combine_local, keyed, own_minimum, pieces, row_key, row_starts, spots_of
 
 U64 = np.uint64
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1
 SLICE, FLUSH, BLOCK = 256 << 10, 12 << 20, 1 << 20
 
-_STRETCH = np.dtype([("text", "<u8"), ("home", "<u8"), ("doc", "<i8"), ("rid", "<u4"), ("pos", "<i4"), ("length", "<i4"), ("known", "<i4"), ("at", "<i8")])
+_STRETCH = np.dtype([("text", "<u8"), ("home", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("length", "<i4"), ("known", "<i4"), ("at", "<i8")])
+COVER = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("length", "<i4")])
+RUNS = "doc long, rid long, runs array<struct<pos:long,length:long>>"
 
 
 # ---- the suffix sort ---------------------------------------------------------
@@ -133,10 +135,7 @@ def window_classes(text: np.ndarray, windows: np.ndarray, length: int = LENGTH)
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for part in S.slices(batch, "text", SLICE):
-            data, offsets = S.text_buffers(part.column("text"))
-            yield part, part.column("doc").to_numpy(zero_copy_only=False).astype(np.int64), data, offsets
+    return pieces(batches, SLICE)
 
 
 def _gram_hashes(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -158,13 +157,11 @@ def _gram_hashes(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def screen(docs: DataFrame) -> DataFrame:
-    """(doc, spots): byte places whose fingerprint starts in two or more documents."""
-    n = partitions(docs.sparkSession)
+    """(doc, rid, spots): byte places whose fingerprint starts in two or more documents."""
     top = U64(2**64 - 1)
 
-    def mapper(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held, size = [], 0
-        for _, doc, data, offsets in _sliced(batches):
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for part, doc, data, offsets in _sliced(batches):
             if len(data) < LENGTH:
                 continue
             h = _gram_hashes(S.prefix(data), offsets)
@@ -174,39 +171,10 @@ def screen(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero((~S.sliding_min(~pad, REACH) == h) & (h != top))
             owner = np.searchsorted(offsets, at, "right") - 1
             out = np.zeros(len(at), _FINGER)
-            out["hash"], out["doc"], out["pos"] = S.mix(h[at]), doc[owner], at - offsets[owner]
-            held.append(out)
-            size += out.nbytes
-            if size >= FLUSH:
-                yield combine(np.concatenate(held))
-                held, size = [], 0
-        if held:
-            yield combine(np.concatenate(held))
+            out["hash"], out["doc"], out["rid"], out["pos"] = S.mix(h[at]), doc[owner], column(part, "rid")[owner], at - offsets[owner]
+            yield out
 
-    def combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        records, keys = combine_local(records, records["hash"].copy())
-        order = np.lexsort((records["pos"], records["doc"]))
-        return records[order], keys[order]
-
-    def reducer(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-        settled = records["known"] == 1
-        keep = [records[settled]]
-        if not settled.all():
-            open_ = records[~settled]
-            order, starts = groups(open_["hash"])
-            open_ = open_[order]
-            counts = np.diff(np.append(starts, len(open_)))
-            shared = np.minimum.reduceat(open_["doc"], starts) < np.maximum.reduceat(open_["doc"], starts)
-            keep.append(open_[np.repeat(shared, counts) | (open_["known"] == 2)])
-        found = np.concatenate(keep)
-        out = np.empty(len(found), _SPOT)
-        out["doc"], out["pos"] = found["doc"], found["pos"]
-        out = out[np.lexsort((out["pos"], out["doc"]))]
-        blobs = packed(out, S.mix(out["doc"].view(U64)), n)
-        if blobs is not None:
-            yield blobs
-
-    return gather(exchange(docs, mapper, _FINGER, reducer, PACKED), _SPOT, spot_lists, "doc long, spots array<int>")
+    return spots_of(docs, mapper)
 
 
 def _inside(offsets: np.ndarray, n: int) -> np.ndarray:
@@ -242,7 +210,7 @@ def _stretches(part: pa.RecordBatch, doc: np.ndarray, data: np.ndarray, offsets:
     out["at"] = at[first]
     out["home"] = home[first]
     out["text"] = S.mix(S.range_hash(sums, out["at"], out["at"] + out["length"] + LENGTH - 1) + out["length"].astype(U64))
-    out["doc"], out["rid"], out["pos"] = doc[owner[first]], row_ids(data, offsets, sums)[owner[first]], at[first] - offsets[owner[first]]
+    out["doc"], out["rid"], out["pos"] = doc[owner[first]], column(part, "rid")[owner[first]], at[first] - offsets[owner[first]]
     return out
 
 
@@ -252,6 +220,39 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _differ(text: np.ndarray, at: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which byte ranges at ``at`` are not those at ``other``, about SLICE bytes at a time."""
+    out = np.zeros(len(at), bool)
+    total = np.cumsum(size)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 4 * SLICE, "right")))
+        unlike = text[_ranges(at[a:b], size[a:b])] != text[_ranges(other[a:b], size[a:b])]
+        out[a:b] = np.logical_or.reduceat(unlike, np.cumsum(size[a:b]) - size[a:b])
+        a = b
+    return out
+
+
+def settle_hashes(records: np.ndarray, text: np.ndarray) -> None:
+    """Makes records of one ``text`` hash have the same bytes: those unlike the first of their group get hashes of
+    their bytes."""
+    while len(records):
+        order, starts = groups(records["text"])
+        x = records[order]
+        counts = np.diff(np.append(starts, len(x)))
+        first = np.repeat(starts, counts)
+        again = np.flatnonzero(np.arange(len(x)) != first)
+        size = x["length"].astype(np.int64) + LENGTH - 1
+        unlike = size[again] != size[first[again]]
+        same = again[~unlike]
+        odd = np.concatenate([again[unlike], same[_differ(text, x["at"][same], x["at"][first[same]], size[same])]])
+        if not len(odd):
+            return
+        for i in odd:
+            own = text[x["at"][i] : x["at"][i] + size[i]].tobytes()
+            records["text"][order[i]] = int.from_bytes(hashlib.blake2b(own, digest_size=8, salt=bytes([len(odd) % 256])).digest())
+
+
 _HEAD = np.dtype([(c, t) for c, (t, _) in _STRETCH.fields.items() if c != "at"])
 
 
@@ -259,7 +260,7 @@ def _pack_stretches(records: np.ndarray, text: np.ndarray, n: int) -> Iterator[p
     """Settled stretches travel without their text."""
     keys = S.mix(records["home"])
     part = ((keys >> U64(20)) % U64(n)).astype(np.int64)
-    order = np.lexsort((records["pos"], records["doc"], part))
+    order = np.lexsort((records["pos"], records["rid"], records["doc"], part))
     records, part = records[order], part[order]
     used, starts = np.unique(part, return_index=True)
     press = zstandard.ZstdCompressor(level=3)
@@ -301,6 +302,7 @@ def _covers(doc, rid, pos, length) -> np.ndarray:
 
 def _decided(records: np.ndarray, text: np.ndarray) -> Iterator[np.ndarray]:
     """Covered runs of the open stretches of one partition."""
+    settle_hashes(records, text)
     order, starts = groups(records["text"])
     records = records[order]
     counts = np.diff(np.append(starts, len(records)))
@@ -346,8 +348,24 @@ def _decided(records: np.ndarray, text: np.ndarray) -> Iterator[np.ndarray]:
         yield _covers(who["doc"], who["rid"], who["pos"] + np.repeat(s - begin[t], copies), np.repeat(e - s, copies))
 
 
+def run_lists(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each document with its covered runs, joined where they touch."""
+    x = records[np.lexsort((records["pos"], records["rid"], records["doc"]))]
+    if not len(x):
+        return
+    new = np.ones(len(x), bool)
+    new[1:] = x["pos"][1:] > x["pos"][:-1] + x["length"][:-1]
+    new[row_starts(x)] = True
+    first = np.flatnonzero(new)
+    stop = np.maximum.reduceat(x["pos"].astype(np.int64) + x["length"], first)
+    x = x[first]
+    cut = row_starts(x)
+    run = pa.StructArray.from_arrays([pa.array(x["pos"].astype(np.int64)), pa.array(stop - x["pos"])], names=["pos", "length"])
+    yield pa.RecordBatch.from_arrays([pa.array(x["doc"][cut]), pa.array(x["rid"][cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(x)).astype(np.int32)), run)], names=["doc", "rid", "runs"])
+
+
 def covered(marked: DataFrame) -> DataFrame:
-    """(doc, runs): for each document the runs (rid, pos, length) of windows that also start in a smaller one."""
+    """(doc, rid, runs): for each document the runs (pos, length) of windows that also start in a smaller one."""
     n = partitions(marked.sparkSession)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,8 +374,10 @@ def covered(marked: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             records = np.concatenate(held)
             if len(records):
+                text = np.concatenate(texts)
+                settle_hashes(records, text)
                 records, _ = combine_local(records, records["text"].copy())
-                yield from _pack_stretches(records, np.concatenate(texts), n)
+                yield from _pack_stretches(records, text, n)
 
         for part, doc, data, offsets in _sliced(unsqueezed(batches)):
             x = _stretches(part, doc, data, offsets)
@@ -383,8 +403,8 @@ def covered(marked: DataFrame) -> DataFrame:
         if not settled.all():
             out += list(_decided(records[~settled], text))
         found = np.concatenate(out)
-        found = found[np.lexsort((found["pos"], found["doc"]))]
-        rows = packed(found, S.mix(found["doc"].view(U64)), n)
+        found = found[np.lexsort((found["pos"], found["rid"], found["doc"]))]
+        rows = packed(found, row_key(found), n)
         if rows is not None:
             yield rows
 
@@ -394,19 +414,17 @@ def covered(marked: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc, text, runs): compressed texts with their covered runs."""
-    arrow_rows(docs.sparkSession)
     rows = keyed(docs)
-    spots = written(screen(rows), "spots", free=True)
-    runs = written(covered(squeezed(rows).join(spots, "doc")), "covered", free=True)
-    return squeezed(rows).join(runs, "doc", "left")
+    spots = written(screen(rows), "spots")
+    runs = written(covered(squeezed(rows, "rid").join(spots, ["doc", "rid"])), "covered")
+    return squeezed(rows, "rid").join(runs, ["doc", "rid"], "left")
 
 
-def digests(marked: DataFrame) -> DataFrame:
-    """Per row: n_bytes, n_removed, n_spans, the kept bytes and their digest."""
+def digests(marked: DataFrame, keep: bool = True) -> DataFrame:
+    """Per row: n_bytes, n_removed, n_spans, the kept bytes (if asked for) and their digest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, doc, data, offsets in _sliced(unsqueezed(batches)):
-            rid = row_ids(data, offsets, S.prefix(data))
             lists = part.column("runs")
             out = []
             for i in range(part.num_rows):
@@ -414,19 +432,18 @@ def digests(marked: DataFrame) -> DataFrame:
                 drop = np.zeros(len(own), bool)
                 if lists[i].is_valid:
                     v = lists[i].values
-                    mine = v.field("rid").to_numpy() == rid[i]
-                    for p, n in zip(v.field("pos").to_numpy()[mine], v.field("length").to_numpy()[mine], strict=True):
+                    for p, n in zip(v.field("pos").to_numpy(), v.field("length").to_numpy(), strict=True):
                         drop[p : p + n + LENGTH - 1] = True
                 kept = own[~drop].tobytes()
-                out.append((len(own), int(drop.sum()), len(S.runs(drop)[0]), kept, hashlib.sha256(kept).hexdigest()))
+                out.append((len(own), int(drop.sum()), len(S.runs(drop)[0]), kept if keep else None, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return marked.mapInArrow(tidy(rows), "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return written(marked.mapInArrow(tidy(rows), "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"), "kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: digest of every document after the removal."""
-    out = digests(remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = digests(remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")), keep=False)
     return out.select(F.expr(f"nullif(doc, {NO_ID})").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -7,7 +7,7 @@ most weights at exactly zero, so the model is a short sparse vector.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows (a documented bound: those of the
 smallest hash of doc_id) and runs in one streaming task, whose memory is two dense
-vectors and the bounded sample. Rows with crc32(doc_id) % 4 = 2 are held out and
+vectors and a slice of texts; each epoch reads the sample once more. Rows with crc32(doc_id) % 4 = 2 are held out and
 never train. Scoring reads each whole text once, without a shuffle.
 
 Defined cases: a null text is empty; an empty text has the score of the bias alone;
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import arrow_rows, tidy
+from .exchange import bounded, tidy
 
 U64 = np.uint64
 BITS = 22
@@ -73,10 +73,8 @@ def by_document(ids: np.ndarray, owners: np.ndarray, n: int) -> list[np.ndarray]
 
 def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(feature, weight) of the nonzero weights, from the bounded columns doc_id, text, toxic of ``training_rows``."""
-    arrow_rows(labelled.sparkSession)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [b for b in batches if b.num_rows]
         z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
         def weight(i: np.ndarray) -> np.ndarray:
@@ -84,23 +82,25 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             l1 = np.where(i == 0, 0.0, L1)
             return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-        for _ in range(EPOCHS):
-            for b in seen:
-                for part in S.slices(b, "text", 1 << 20):
-                    docs = by_document(*features(part.column("text")), part.num_rows)
-                    for i, y in zip(docs, part.column("toxic").to_pylist(), strict=True):
-                        w = weight(i)
-                        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-                        more = np.sqrt(n[i] + g * g) - np.sqrt(n[i])
-                        z[i] += g - more / ALPHA * w
-                        n[i] += g * g
+        for b in batches:
+            for part in S.slices(b, "text", 1 << 20):
+                docs = by_document(*features(part.column("text")), part.num_rows)
+                for i, y in zip(docs, part.column("toxic").to_pylist(), strict=True):
+                    w = weight(i)
+                    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                    more = np.sqrt(n[i] + g * g) - np.sqrt(n[i])
+                    z[i] += g - more / ALPHA * w
+                    n[i] += g * g
         i = np.flatnonzero(n)
         w = weight(i)
         kept = w != 0
         yield pa.RecordBatch.from_arrays([pa.array(i[kept]), pa.array(w[kept])], names=["feature", "weight"])
 
-    sample = labelled.where("text is not null").select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "toxic")
-    model = sample.select("text", "toxic").mapInArrow(tidy(fit), "feature long, weight double").toArrow()
+    # each epoch's rows stream by in order: the task holds the model and a slice of texts
+    sample = labelled.where("text is not null").select("doc_id", "text", "toxic").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))).repartition(1)
+    sample = sample.sortWithinPartitions("epoch", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "toxic")
+    with bounded(labelled.sparkSession):
+        model = sample.select("text", "toxic").mapInArrow(tidy(fit), "feature long, weight double").toArrow()
     return model.column("feature").to_numpy(), model.column("weight").to_numpy()
 
 
@@ -126,7 +126,6 @@ def _scorer(model: tuple[np.ndarray, np.ndarray]):
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, score) of every row."""
-    arrow_rows(docs.sparkSession)
     make = _scorer(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +139,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs with a score under the threshold, all columns as they are."""
-    arrow_rows(docs.sparkSession)
     make = _scorer(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
