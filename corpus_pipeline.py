@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of ``docs``;
 the last returns one row for each packed piece. ``run`` applies them to the documents of a folder.
+
+Defined cases: a null text counts as empty and stays null; rows of one doc_id, or of none, are documents of their own
+where their texts differ, and one document where they agree; extra columns, whatever their names, pass through as they
+are; an empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ranklake.llm import decontaminate, near_dup, packing, pii, toxicity
 from ranklake.llm.exchange import written
-from ranklake.llm.substring import NO_ID
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,27 +29,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest (doc_id, text digest) of each near-duplicate class."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__key"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__digest")]
-    first = near_dup.near_duplicates(docs).where("doc = class_id and digest = class_digest").groupBy("doc", "digest").agg(F.count("*").alias("copies"))
-    first = written(first, "first")
-    kept = docs.select("*", *key).join(first.select(F.col("doc").alias("__key"), F.col("digest").alias("__digest")), ["__key", "__digest"], "left_semi")
-    if not first.where("copies > 1").isEmpty():
-        kept = kept.dropDuplicates(["__key", "__digest"])
-    return kept.select(*docs.columns)
+    return near_dup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule leaves alone."""
-    return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    return decontaminate.keep_clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a type in brackets for each span of personal data, and their new lengths."""
-    kept = [c for c in docs.columns if c != "text"]
-    out = pii.find(docs, *kept).withColumn("text", F.col("redacted"))
-    if "n_chars" in kept:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
