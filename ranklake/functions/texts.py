@@ -8,9 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as a statistic in a text.
-STAT_PATTERNS = (r"\d+(?:\.\d+)?%", r"\$\d[\d,]*(?:\.\d+)?", r"\d{1,3}(?:,\d{3})+", r"\d+(?:\.\d+)?[KMB]\b", r"\b(?:19|20)\d{2}\b", r"\b\d+\.\d+\b")
+STAT_PATTERNS = (
+    r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b",
+    r"\b\d+\.?\d*%",
+    r"\b(?:19|20)\d{2}\b",
+    r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b",
+    r"\$\d+(?:,\d{3})*(?:\.\d{2})?",
+    r"\b\d+(?:\.\d+)?[BMKbmk]\b",
+)
 #: Words that open a question.
-QUESTION_WORDS = ("what", "how", "why", "when", "where", "who", "which", "can", "does", "is", "are", "should", "do", "will")
+QUESTION_WORDS = ("what", "how", "why", "when", "where", "which", "who", "can", "does", "is", "are", "should", "will", "do")
 CODE_MARKS = r"```|</\w+>|\bdef \w+\(|\bfunction\s*\(|\{\s*\"|;\s*$"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,11 +15,76 @@ def first_known(column: str, order: str) -> Column:
     return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(order)))
 
 
+def _run_of(x: Column, edges: Sequence[float]) -> Column:
+    """How many of the sorted edges are under x, by halves."""
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x <= edges[mid], among(lo, mid)).otherwise(among(mid + 1, hi))
+
+    return among(0, len(edges))
+
+
+def exact_percentiles(df: DataFrame, columns: Sequence[str], percentiles: Sequence[float], runs: int = 64) -> dict[str, list[float | None]]:
+    """Interpolated percentiles of each column, exact at any size: approximate edges cut the values into ``runs`` runs, the
+    runs are counted, and values are ordered only within the few runs that hold a wanted rank. Equal values are counted
+    before they move. ``runs`` values a column and the answers reach the driver."""
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [i / runs for i in range(1, runs)]).alias(c) for c in columns]).first()
+    edges = {c: sorted(set(row[c] or [])) for c in columns}
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"), _run_of(F.col(c).cast("double"), edges[c]).alias("run")) for c in columns]
+    long = df.select(F.explode(F.array(*cells)).alias("v")).select("v.*").where("x is not null")
+    counts: dict[str, dict[int, int]] = {c: {} for c in columns}
+    for r in long.groupBy("column", "run").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["column"]][r["run"]] = r["n"]
+    wanted: dict[tuple[str, int], tuple[int, int]] = {}  # (column, rank from 0) -> (run, rank in it)
+    places = {c: [(sum(counts[c].values()) - 1) * p for p in percentiles] for c in columns}
+    for c in columns:
+        for place in places[c] if counts[c] else []:
+            for rank in {math.floor(place), math.ceil(place)}:
+                left = rank
+                for run in sorted(counts[c]):
+                    if left < counts[c][run]:
+                        wanted[c, rank] = run, left
+                        break
+                    left -= counts[c][run]
+    if not wanted:
+        return {c: [None] * len(percentiles) for c in columns}
+    spark = df.sparkSession
+    asked = spark.createDataFrame([(c, run, rank, left) for (c, rank), (run, left) in wanted.items()], "column string, run int, rank long, left long")
+    some = long.join(F.broadcast(asked.select("column", "run").distinct()), ["column", "run"], "left_semi")
+    values = some.groupBy("column", "run", "x").agg(F.count(F.lit(1)).alias("n"))
+    through = F.sum("n").over(Window.partitionBy("column", "run").orderBy("x"))
+    found = values.withColumn("through", through).join(F.broadcast(asked), ["column", "run"]).where("left < through and left >= through - n")
+    at = {(r["column"], r["rank"]): r["x"] for r in found.select("column", "rank", "x").collect()}
+
+    def between(c: str, place: float) -> float:
+        low, high = at[c, math.floor(place)], at[c, math.ceil(place)]
+        return low + (high - low) * (place - math.floor(place))
+
+    return {c: [between(c, place) for place in places[c]] if counts[c] else [None] * len(percentiles) for c in columns}
+
+
 def describe(df: DataFrame, columns: Sequence[str], percentiles: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """One row for each column: count, missing, mean, sample and population deviation, extremes, exact percentiles."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
-    pct = [F.round(F.percentile("x", F.lit(p)), 6).alias(f"p{int(p * 100):02d}") for p in percentiles]
-    return long.groupBy("column").agg(F.count("x").alias("n"), (F.count(F.lit(1)) - F.count("x")).alias("missing"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.round(F.stddev_pop("x"), 6).alias("std_pop"), F.min("x").alias("min"), F.max("x").alias("max"), *pct)
+    measures = {
+        "n": lambda x: F.count(x),
+        "missing": lambda x: F.count(F.lit(1)) - F.count(x),
+        "mean": lambda x: F.round(F.avg(x), 6),
+        "std": lambda x: F.round(F.stddev_samp(x), 6),
+        "std_pop": lambda x: F.round(F.stddev_pop(x), 6),
+        "min": F.min,
+        "max": F.max,
+    }
+    found = exact_percentiles(df, columns, percentiles)
+    names = [f"p{int(p * 100):02d}" for p in percentiles]
+    cells = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        said = [F.round(F.lit(v).cast("double"), 6).alias(n) for n, v in zip(names, found[c], strict=True)]
+        cells.append(F.struct(F.lit(c).alias("column"), *[f(x).alias(m) for m, f in measures.items()], *said))
+    return df.agg(F.array(*cells).alias("__rows")).select(F.explode("__rows").alias("v")).select("v.*")
 
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:

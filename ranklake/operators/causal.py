@@ -99,8 +99,9 @@ def ols(df: DataFrame, outcome: str, treatment: str, controls: Sequence[str], ro
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Adds ``fold`` by a digest of the key."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
+    """Adds ``fold`` by a digest of the key: the first 32 bits of MD5("seed:key"), modulo k."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.withColumn("fold", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
 
 
 def _linear_residuals(df: DataFrame, target: str, controls: Sequence[str], k: int) -> Column:
@@ -211,7 +212,7 @@ def grid(df: DataFrame, key: str, slices: dict[str, Column | None], treatments:
                 row = {"slice": name, "outcome": y, "treatment": t, "method": "plr", "learner": learner}
                 try:
                     out.append(row | plr(part, key, y, t, x, learner=learner, least=least))
-                except Exception as e:  # noqa: BLE001  the row keeps what went wrong
+                except (ArithmeticError, np.linalg.LinAlgError) as e:  # the row keeps what went wrong
                     out.append(row | {"n_obs": 0, "coef": float("nan"), "se": float("nan"), "error": str(e)[:200]})
     return out
 
@@ -332,3 +333,52 @@ def drop_refits(df: DataFrame, key: str, outcome: str, treatment: str, blocks: d
     """The estimate with all controls and without each named block."""
     sets = {"all": list(controls)} | {f"without {n}": [c for c in controls if c not in b] for n, b in blocks.items()}
     return [{"controls": n, **plr(df, key, outcome, treatment, c, k)} for n, c in sets.items()]
+
+
+def nuisance_r2(df: DataFrame, key: str, outcomes: Sequence[str], treatments: Sequence[str], controls: Sequence[str], k: int = 5) -> list[dict]:
+    """How well the controls predict each outcome and each treatment, out of fold."""
+    return [{"side": side, "target": t, "r2": cross_fit_r2(df, key, t, controls, k)} for side, names in (("outcome", outcomes), ("treatment", treatments)) for t in names]
+
+
+def with_dummies(df: DataFrame, columns: dict[str, Sequence[str]]) -> tuple[DataFrame, list[str]]:
+    """Indicator columns of the given values (the first one of each column is the base), and their names."""
+    names = {f"{c}_{v}": (F.col(c) == v).cast("double") for c, values in columns.items() for v in values[1:]}
+    return df.withColumns(names), list(names)
+
+
+def robust_sample(df: DataFrame, keys: Sequence[str], part: str, parts: Sequence[str]) -> DataFrame:
+    """Rows of keys that stand in every one of the parts."""
+    held = df.where(F.col(part).isin(*parts)).groupBy(*keys).agg(F.countDistinct(part).alias("__n")).where(F.col("__n") == len(parts))
+    return df.join(held.select(*keys), list(keys), "left_semi")
+
+
+def hold_out(df: DataFrame, key: str, treatment: str, controls: Sequence[str], share: float = 0.3, seed: int = 42) -> dict:
+    """R2 and AUC on a held-out share (by digest) of a linear fit on the rest; AUC of a binary treatment by ranks."""
+    rows = folds(df.select(key, *[F.col(c).cast("double") for c in (treatment, *controls)]).na.drop(), key, 10, seed)
+    cut = int(round(10 * share))
+    names = [*controls, "__one"]
+    fit = rows.where(F.col("fold") >= cut).withColumn("__one", F.lit(1.0))
+    g, _ = gram(fit.select(*names, treatment), [*names, treatment])
+    beta, _ = _solved(g, len(names))
+    score = sum((F.col(c) * float(b) for c, b in zip(controls, beta, strict=False)), F.lit(float(beta[-1])))
+    own = rows.where(F.col("fold") < cut).select(F.col(treatment).alias("t"), score.alias("s"))
+    r = own.agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(F.pow(F.col("t") - F.col("s"), 2)), F.count(F.lit(1)) * F.var_pop("t"))).alias("r2")).first()
+    return {"treatment": treatment, "n_held_out": r["n"], "r2": r["r2"], "auc": auc(own, "t", "s")}
+
+
+def auc(df: DataFrame, label: str, score: str, runs: int = 64) -> float | None:
+    """The share of (1, 0) pairs in order, ties counting one half, from counts by score (9 digits): no pair is built.
+    Runs of scores between approximate quantiles are ordered by themselves, and the zeros of earlier runs are added."""
+    from .aggregates import _run_of
+
+    per = df.groupBy(F.round(score, 9).alias("s")).agg(F.sum(label).alias("ones"), F.sum(1 - F.col(label)).alias("zeros"))
+    edges = sorted(set(per.agg(F.percentile_approx("s", [i / runs for i in range(1, runs)]).alias("e")).first()["e"] or []))
+    per = per.withColumn("run", _run_of(F.col("s"), edges))
+    within = F.coalesce(F.sum("zeros").over(Window.partitionBy("run").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = per.withColumn("below", within).groupBy("run").agg(F.sum(F.col("ones") * (F.col("below") + F.col("zeros") / 2)).alias("p"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).collect()
+    total = before = ones = 0.0
+    for r in sorted(sums, key=lambda x: x["run"]):  # at most ``runs`` rows
+        total += r["p"] + r["ones"] * before
+        before += r["zeros"]
+        ones += r["ones"]
+    return total / (ones * before) if ones and before else None

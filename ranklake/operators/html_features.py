@@ -5,16 +5,41 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 
+from ..functions.texts import QUESTION_WORDS
+from ..functions.urls import AUTHORITY_DOMAINS, AUTHORITY_SUFFIXES, LINK_FILTER
+
+# Elements without body text; structured-data types that count; where dates stand in a text, and how they
+# are written (in the notation of strptime).
 _SKIPPED = {"script", "style", "nav", "footer", "header", "noscript", "iframe", "svg"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: The structured-data types that count.
-LD_TYPES = ("article", "newsarticle", "blogposting", "faqpage", "howto", "product", "review", "organization", "person", "breadcrumblist", "website", "webpage", "videoobject", "event", "recipe", "localbusiness", "softwareapplication", "dataset")
-AUTHORITY = re.compile(r"(?:^|\.)(?:edu|gov|mil)(?:\.[a-z]{2})?$|(?:^|\.)ac\.[a-z]{2}$")
-_ISO = re.compile(r"\b(?:19|20)\d{2}-\d{2}-\d{2}\b")
+LD_TYPES = (
+    "faqpage", "faq", "product", "howto", "softwareapplication", "article", "blogposting", "review", "aggregaterating",
+    "offer", "itemlist", "breadcrumblist", "videoobject", "dataset", "course", "event", "recipe", "qapage",
+)
+DATE_PATTERNS = (r"(\d{4}-\d{2}-\d{2})", r"(\d{4}/\d{2}/\d{2})", r"(\w+ \d{1,2},?\s*\d{4})", r"(\d{1,2} \w+ \d{4})")
+DATE_FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%B %d, %Y", "%B %d %Y", "%d %B %Y", "%b %d, %Y", "%b %d %Y", "%d %b %Y")
+#: The narrower types of the older extractors.
+LEGACY_LD_TYPES = ("faqpage", "faq", "product", "howto")
+_QUESTION = re.compile(rf"(?i)^\s*(?:{'|'.join(QUESTION_WORDS)})\b")
+
+
+def parse_date(text: str) -> datetime | None:
+    """A moment in UTC, from one of DATE_FORMATS or ISO 8601."""
+    text = text.strip()
+    for form in DATE_FORMATS:
+        try:
+            return datetime.strptime(text, form).replace(tzinfo=UTC)
+        except ValueError:
+            continue
+    try:
+        found = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return found if found.tzinfo else found.replace(tzinfo=UTC)
 
 
 class Page(HTMLParser):
@@ -25,6 +50,7 @@ class Page(HTMLParser):
         self.text: list[str] = []
         self.digest: list[str] = []
         self.headings: list[str] = []
+        self.n_headings = 0
         self.links: list[str] = []
         self.images = self.images_alt = 0
         self.dates: list[str] = []
@@ -44,9 +70,10 @@ class Page(HTMLParser):
             self.images_alt += bool(a.get("alt", "").strip())
         elif tag == "time" and a.get("datetime"):
             self.dates.append(a["datetime"])
-        elif tag == "meta" and a.get("content") and re.search(r"(published|modified|updated)_?time|date", a.get("property", "") + a.get("name", ""), re.I):
-            self.dates.append(a["content"])
-        if tag == "script" and "ld+json" in a.get("type", ""):
+        elif tag == "meta" and any(x in (a.get("name") or a.get("property") or "").lower() for x in ("date", "published", "modified", "time")):
+            self.dates.append(a.get("content", ""))
+        self.n_headings += tag in {"h2", "h3"}
+        if tag == "script" and a.get("type") == "application/ld+json":
             self._ld = []
         if tag in _SKIPPED:
             self._skip += 1
@@ -103,8 +130,16 @@ def parse(source: str | None) -> Page:
     return page.done()
 
 
+def _json(blocks: list[str]) -> Iterator[object]:
+    for b in blocks:
+        try:
+            yield json.loads(b)
+        except ValueError:
+            continue
+
+
 def ld_types(blocks: list[str]) -> set[str]:
-    """Lower-case types found anywhere in JSON-LD, in lists and graphs; broken blocks are skipped."""
+    """Lower-case types of JSON-LD, in lists and graphs; broken blocks are skipped."""
     out: set[str] = set()
 
     def walk(x: object) -> None:
@@ -113,22 +148,44 @@ def ld_types(blocks: list[str]) -> set[str]:
                 walk(y)
         elif isinstance(x, dict):
             kind = x.get("@type")
-            out.update(str(k).lower() for k in (kind if isinstance(kind, list) else [kind]) if k)
-            walk(list(x.values()))
+            out.update(k.lower() for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str))
+            walk(x.get("@graph"))
 
-    for b in blocks:
-        try:
-            walk(json.loads(b))
-        except ValueError:
-            continue
+    for x in _json(blocks):
+        walk(x)
     return out
 
 
+def freshness(page: Page, body: str, now: datetime) -> int:
+    """0 (no or old date) to 4 (within 180 days) of the latest date in meta, JSON-LD and time elements, else of the body."""
+    said = [*page.dates, *(str(x[k]) for x in _json(page.ld) if isinstance(x, dict) for k in ("datePublished", "dateModified", "dateCreated") if x.get(k))]
+    dates = [d for d in map(parse_date, said) if d]
+    if not dates:
+        for p in DATE_PATTERNS:
+            for m in re.finditer(p, body[:5000]):  # the feature reads the body's head alone
+                d = parse_date(m[1])
+                if d and d.year >= 2015 and d <= now:
+                    dates.append(d)
+                    break
+            if dates:
+                break
+    if not dates:
+        return 0
+    age = (now - max(dates)).days
+    return next((4 - i for i, limit in enumerate((180, 365, 730, 1825)) if age <= limit), 0)
+
+
 def host(url: str) -> str:
     m = re.match(r"(?i)https?://([^/?#:]+)", url or "")
     return re.sub(r"^www\.", "", m[1].lower()) if m else ""
 
 
+def is_authority(h: str) -> bool:
+    two = two_labels(h)
+    suffix = two if h.count(".") > 1 and two in AUTHORITY_SUFFIXES else h.rsplit(".", 1)[-1]
+    return suffix in AUTHORITY_SUFFIXES or two in AUTHORITY_DOMAINS
+
+
 def two_labels(h: str) -> str:
     return ".".join(h.split(".")[-2:])
 
@@ -155,6 +212,8 @@ FIELDS = {
     "n_headings": "long",
     "question_heading": "boolean",
     "structured": "boolean",
+    "external_citation": "boolean",
+    "freshness": "long",
     "n_links": "long",
     "internal_links": "long",
     "outbound_links": "long",
@@ -167,31 +226,38 @@ FIELDS = {
 }
 
 
-def features(source: str | None, url: str | None) -> dict:
-    """The feature row of a page; a page that fails gives nulls and the error."""
+def features(source: str | None, url: str | None, now: datetime | None = None, legacy: bool = False) -> dict:
+    """The feature row of a page; a page that fails gives nulls and the error.
+
+    With ``legacy`` the older extractors' narrower rules hold: four structured types, and questions by their first word.
+    """
     out: dict = dict.fromkeys(FIELDS)
     try:
         page = parse(source)
         text = " ".join(" ".join(page.text).split())
         own, links = host(url or ""), page.links
-        external = [x for x in links if (h := host(x)) and two_labels(h) != two_labels(own)]
-        internal = [x for x in links if x[:1] in "/#?" or (host(x) and two_labels(host(x)) == two_labels(own))]
-        question = re.compile(r"(?i)^\s*(?:what|how|why|when|where|who|which|can|does|is|are|should|do|will)\b|\?\s*$")
+        hosts = [host(x) for x in links]
+        outbound = [h for h in hosts if h and two_labels(h) != own]
+        internal = [x for x, h in zip(links, hosts, strict=True) if (h and two_labels(h) == own) or (not h and x[:1] in "/#?" and x[:2] != "//")]
+        cited = [h for h in outbound if h != own and h not in LINK_FILTER]
+        question = [h for h in page.headings if _QUESTION.match(h) or (h.endswith("?") and not legacy)]
         out |= {
             "title": page.title,
             "body_text": text,
             "digest": " ".join(page.digest)[:8000],
             "headings": page.headings,
-            "n_headings": len(page.headings),
-            "question_heading": any(question.search(h) for h in page.headings),
-            "structured": bool(ld_types(page.ld) & set(LD_TYPES)),
+            "n_headings": page.n_headings,
+            "question_heading": bool(question),
+            "structured": bool(ld_types(page.ld) & set(LEGACY_LD_TYPES if legacy else LD_TYPES)),
+            "external_citation": bool(cited),
+            "freshness": freshness(page, text, now or datetime.now(UTC)),
             "n_links": len(links),
             "internal_links": len(internal),
-            "outbound_links": len(external),
-            "authority_links": len({x for x in external if AUTHORITY.search(host(x))}),
+            "outbound_links": len(outbound),
+            "authority_links": sum(is_authority(h) for h in (host(x) for x in dict.fromkeys(links)) if h and h != own),
             "n_images": page.images,
             "images_alt": page.images_alt,
-            "dates": page.dates or _ISO.findall(text[:5000])[:1],
+            "dates": page.dates,
             "grade": grade(text),
         }
     except Exception as e:  # noqa: BLE001  the row keeps what went wrong
@@ -199,8 +265,8 @@ def features(source: str | None, url: str | None) -> dict:
     return out
 
 
-def page_features(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
-    """The key and all of FIELDS for every page."""
+def page_features(pages: DataFrame, key: str, url: str, source: str, now: datetime | None = None, legacy: bool = False) -> DataFrame:
+    """The key and all of FIELDS for every page; ages count back from ``now``."""
     import pyarrow as pa
 
     kind = pages.schema[key].dataType.simpleString()
@@ -208,7 +274,7 @@ def page_features(pages: DataFrame, key: str, url: str, source: str) -> DataFram
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [features(h, u) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            rows = [features(h, u, now, legacy) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[c] for r in rows], types[t]) for c, t in FIELDS.items())], names=[key, *FIELDS])
 
     return pages.select(key, url, source).mapInArrow(extract, f"`{key}` {kind}, " + ", ".join(f"{c} {t}" for c, t in FIELDS.items()))

@@ -69,6 +69,51 @@ def ridge(df: DataFrame, vector: str, targets: Sequence[str], penalty: float = 1
     return np.linalg.solve(xx + p, xy)
 
 
+def leave_one_group_out(df: DataFrame, group: str, vector: str, target: str, penalty: float = 1.0) -> DataFrame:
+    """df with ``p``, predicted by a ridge map fitted on all other groups. One pass sums each group's products, the sums
+    of the others are the total less its own, and each group's weights are solved in its own task and joined back."""
+    import pyarrow as pa
+
+    kind = df.schema[group].dataType.simpleString()
+
+    def sums(batches: Iterator) -> Iterator:
+        held: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            z = np.hstack([np.ones((len(x), 1)), x, b.column(2).to_numpy(zero_copy_only=False)[:, None]])
+            keys = b.column(0).to_pylist()
+            for k in dict.fromkeys(keys):
+                own = z[[v == k for v in keys]]
+                held[k] = held.get(k, 0) + own.T @ own
+        for k, m in held.items():
+            n = m.size
+            yield pa.RecordBatch.from_arrays([pa.array([k] * n, group_type), pa.array(range(n), pa.int32()), pa.array(m.ravel())], names=["g", "i", "v"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    group_type = to_arrow_type(df.schema[group].dataType)
+    rows = df.select(F.col(group).alias("g"), vector, F.col(target).cast("double")).na.drop()
+    per = rows.mapInArrow(sums, f"g {kind}, i int, v double").groupBy("g", "i").agg(F.sum("v").alias("v"))
+    whole = per.groupBy("i").agg(F.sum("v").alias("t"))
+    rest = per.join(whole, "i").select("g", "i", (F.col("t") - F.col("v")).alias("v"))
+
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        d = int(round(t.num_rows**0.5))
+        m = t.column("v").to_numpy().reshape(d, d)
+        p = np.eye(d - 1) * penalty
+        p[0, 0] = 0
+        w = np.linalg.lstsq(m[:-1, :-1] + p, m[:-1, -1], rcond=None)[0]
+        return pa.table({"g": t.column("g")[:1], "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
+
+    weights = rest.groupBy("g").applyInArrow(solve, f"g {kind}, w array<double>").withColumnRenamed("g", group)
+    out = df.join(weights, group)
+    fit = A.dot(F.transform(F.col(vector), lambda x: x.cast("double")), F.slice("w", 2, F.size("w") - 1)) + F.get("w", F.lit(0))
+    return out.withColumn("p", fit).drop("w")
+
+
 def predict(df: DataFrame, vector: str, weights: np.ndarray, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: A.dot(F.col(vector), literal(weights[1:, i])) + float(weights[0, i]) for i, n in enumerate(names)})
 
@@ -128,10 +173,11 @@ def block_slopes(df: DataFrame, block: str, level: str, vector: str) -> DataFram
 
 def comparisons(df: DataFrame, cell: list[str], item: str, level: str, distant: int = 3) -> DataFrame:
     """Neighbouring and distant pairs on a level grid of each cell, in both orders."""
-    a = df.select(*cell, F.col(item).alias("left_id"), F.col(level).alias("__l"))
-    b = df.select(*cell, F.col(item).alias("right_id"), F.col(level).alias("__r"))
-    gap = F.col("__r") - F.col("__l")
-    pairs = a.join(b, cell).where((gap == 1) | (gap == distant)).withColumn("kind", F.when(gap == 1, "neighbour").otherwise("distant")).drop("__l", "__r")
+    # an item meets only the levels it is compared with: the join is on cell and level
+    steps = F.explode(F.array(F.struct(F.lit("neighbour").alias("kind"), (F.col(level) + 1).alias("__l")), F.struct(F.lit("distant").alias("kind"), (F.col(level) + distant).alias("__l"))))
+    a = df.select(*cell, F.col(item).alias("left_id"), steps.alias("__s")).select(*cell, "left_id", "__s.*")
+    b = df.select(*cell, F.col(item).alias("right_id"), F.col(level).alias("__l"))
+    pairs = a.join(b, [*cell, "__l"]).select(*cell, "left_id", "right_id", "kind")
     turned = pairs.select(*cell, F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), "kind", F.lit(True).alias("swapped"))
     return pairs.withColumn("swapped", F.lit(False)).unionByName(turned)
 
@@ -235,7 +281,8 @@ def ordinal_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
 
 def replicates(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Every row once for each replicate with a weight from a Poisson(1) law drawn by digest: a bootstrap without a shuffle."""
-    u = lambda r: (F.pmod(F.xxhash64(F.lit(seed), F.col(key), r), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
+    digest = lambda r: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), r.cast("string")))
+    u = lambda r: (F.conv(F.substring(digest(r), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     weight = lambda x: sum(((x > c).cast("int") for c in cuts), F.lit(0))
     rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -256,7 +303,7 @@ def permutation_control(df: DataFrame, key: str, x: str, y: str, n: int = 100, s
     many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
     w = Window.partitionBy("replicate")
     a = many.select("replicate", "__x", F.row_number().over(w.orderBy(key)).alias("__n"))
-    b = many.select("replicate", "__y", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(key), "replicate"), key)).alias("__n"))
+    b = many.select("replicate", "__y", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("replicate").cast("string"))), key)).alias("__n"))
     null = a.join(b, ["replicate", "__n"]).groupBy("replicate").agg(safe_corr(F.col("__x"), F.col("__y")).alias("r"))
     true = rows.agg(safe_corr(F.col("__x"), F.col("__y")).alias("observed"))
     return null.crossJoin(F.broadcast(true)).agg(F.first("observed").alias("observed"), F.percentile("r", F.lit(0.95)).alias("null_95"), ((F.count_if(F.col("r") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import cosine
 
 
-def bm25(docs: DataFrame, queries: DataFrame, group: str, key: str, text: str, terms: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, most_tokens: int = 5000) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, group: str, key: str, text: str, terms: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, most_tokens: int = 5000, most_groups: int = 100_000) -> DataFrame:
     """Okapi scores of a group's documents for the group's query terms (an array column of ``queries``).
 
     Only counts of query terms are shuffled: a document's terms are counted in its row. Negative idf becomes
@@ -26,8 +26,12 @@ def bm25(docs: DataFrame, queries: DataFrame, group: str, key: str, text: str, t
     wanted = queries.select(group, F.explode(F.array_distinct(terms)).alias("term"))
     weight = idf.join(wanted, [group, "term"]).join(mean, group).select(group, "term", F.when(F.col("__idf") < 0, epsilon * F.col("__mean")).otherwise(F.col("__idf")).alias("__w"))
     weights = weight.groupBy(group).agg(F.collect_list(F.struct("term", "__w")).alias("__ws")).join(size, group)
+    # one row a group: broadcast after a count, so that token lists stay where they are
+    if queries.select(group).distinct().limit(most_groups + 1).count() <= most_groups:
+        weights = F.broadcast(weights)
     scored = rows.join(weights, group, "left")
-    tf = lambda t: F.size(F.filter("__t", lambda x: x == t)).cast("double")
+    scored = scored.withColumn("__hits", F.filter("__t", lambda x: F.exists("__ws", lambda w: w["term"] == x)))
+    tf = lambda t: F.size(F.filter("__hits", lambda x: x == t)).cast("double")
     part = lambda w: w["__w"] * tf(w["term"]) * (k1 + 1) / (tf(w["term"]) + k1 * (1 - b + b * F.size("__t") / F.col("__avg")))
     total = F.aggregate(F.coalesce("__ws", F.array().cast("array<struct<term:string,__w:double>>")), F.lit(0.0), lambda s, w: s + part(w))
     return scored.select(group, key, total.alias("bm25"))

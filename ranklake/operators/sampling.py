@@ -44,10 +44,20 @@ def interleaved(df: DataFrame, strata: list[str], limit: int, seed: int | str, k
 
 
 def assigned_cycle(df: DataFrame, key: str, styles: Sequence[str], seed: int | str) -> DataFrame:
-    """Styles in turn over the keys in digest order. Keys are a list of queries, small enough for one order."""
-    place = F.row_number().over(Window.orderBy(hash_order(seed, key), key)) - 1
+    """Styles in turn over the keys in digest order."""
     names = F.array(*[F.lit(s) for s in styles])
-    return df.withColumn("place", place).withColumn("style", F.get(names, F.col("place") % len(styles)))
+    return placed_by_hash(df, seed, key).withColumn("style", F.get(names, (F.col("place") % len(styles)).cast("int")))
+
+
+def placed_by_hash(df: DataFrame, seed: int | str, key: str) -> DataFrame:
+    """Adds ``place``, from 0, in digest order. The digest's first 12 bits part the rows into 4096 even runs; each is
+    ordered by itself, and the runs before it are counted, so no task sees all rows."""
+    rows = df.withColumn("__d", hash_order(seed, key)).withColumn("__run", F.substring("__d", 1, 3))
+    counts = rows.groupBy("__run").agg(F.count(F.lit(1)).alias("__size"))  # at most 4096 rows
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__run").orderBy("__d", key)) - 1
+    out = rows.withColumn("__own", own).join(F.broadcast(counts.withColumn("__before", before)), "__run")
+    return out.withColumn("place", (F.col("__own") + F.col("__before")).cast("int")).drop("__d", "__run", "__own", "__size", "__before")
 
 
 def split_by_hash(df: DataFrame, strata: list[str], family: str, share: float, seed: int | str) -> DataFrame:

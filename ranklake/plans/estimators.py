@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import measures as M
 from ..operators import admission as Adm
 from ..operators import causal as C
+from . import crossfit as X
 from .registry import query, table
 
 CONTROLS = ["l_tax", "l_linenumber"]
@@ -16,7 +17,7 @@ CONTROLS = ["l_tax", "l_linenumber"]
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """Order lines with a key, a price per unit as outcome and two treatments."""
     lines = table(spark, d, "lineitem")
-    return lines.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", F.col("l_linenumber").cast("double").alias("l_linenumber"), (F.col("l_extendedprice") / 1000).alias("price"))
+    return lines.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", F.col("l_linenumber").cast("double").alias("l_linenumber"), (F.col("l_extendedprice") / 1000).alias("price"))
 
 
 def _rounded(spark: SparkSession, rows: list[dict], text: tuple[str, ...]) -> DataFrame:
@@ -48,16 +49,25 @@ def ols(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spark, [{k: r[k] for k in ("coef", "se", "r2", "n_obs")}], ())
 
 
-@query("d23_d24_robust_ols")
+@query("d23_d24_robust_ols", X.union([X.ols("price", "l_quantity", "l_tax", kind) for kind in ("none", "hc1", "hc3")]))
 def robust(spark: SparkSession, d: str) -> DataFrame:
-    rows = [{"errors": e} | C.ols(panel(spark, d), "price", "l_quantity", CONTROLS, e) for e in ("none", "hc1", "hc3")]
-    return _rounded(spark, rows, ("errors",))
+    rows = [{"errors": e} | C.ols(panel(spark, d), "price", "l_quantity", ["l_tax"], e) for e in ("none", "hc1", "hc3")]
+    return _rounded(spark, [{c: r[c] for c in ("errors", "coef", "se", "n_obs")} for r in rows], ("errors",))
 
 
-@query("d2_d7_plr")
+#: What the estimates' oracles hold.
+FIT = ("n_obs", "coef", "se", "ci_lower", "ci_upper", "r2_outcome", "r2_treatment")
+
+
+def fitted(spark: SparkSession, rows: list[dict], text: tuple[str, ...] = ()) -> DataFrame:
+    """The rows' text columns and FIT, rounded as in the oracles."""
+    out = spark.createDataFrame([tuple([r[c] for c in text] + [float(r[c]) for c in FIT]) for r in rows], ", ".join([f"{c} string" for c in text] + [f"{c} double" for c in FIT]))
+    return out.select(*text, "n_obs", F.round("coef", 5).alias("coef"), F.round("se", 6).alias("se"), *[F.round(c, 5).alias(c) for c in FIT[3:]])
+
+
+@query("d2_d6_d7_plr", X.union([X.plr("price", "l_quantity", CONTROLS)]))
 def plr(spark: SparkSession, d: str) -> DataFrame:
-    r = C.plr(panel(spark, d), "key", "price", "l_quantity", CONTROLS)
-    return _rounded(spark, [{k: v for k, v in r.items() if k != "error"}], ())
+    return fitted(spark, [C.plr(panel(spark, d), "key", "price", "l_quantity", CONTROLS)])
 
 
 @query("d2_plr_trees")
@@ -73,14 +83,22 @@ def irm(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spark, [C.irm(rows, "key", "price", "high", CONTROLS, k=2)], ())
 
 
-@query("d5_d12_d40_grid")
+def _grid_sql() -> str:
+    rows = []
+    for spec, mutual in (("A", False), ("B", True)):
+        for name, where in (("pooled", "true"), ("engine=A", "l_returnflag = 'A'")):
+            for t, other in (("l_quantity", "l_discount"), ("l_discount", "l_quantity")):
+                rows.append(X.plr("price", t, CONTROLS + [other] * mutual, where, extra=f"'{name}' AS slice, 'price' AS outcome, '{t}' AS treatment, '{spec}' AS spec, "))
+    return X.union(rows)
+
+
+@query("d5_d12_d40_grid", _grid_sql())
 def fits(spark: SparkSession, d: str) -> DataFrame:
-    """Pooled and per-engine fits of two treatments, alone and mutually controlled, with corrected p-values."""
+    """Pooled and per-engine fits of two treatments, alone and mutually controlled."""
     rows = panel(spark, d)
     slices = {"pooled": None, "engine=A": F.col("l_returnflag") == "A"}
     found = [r | {"spec": s} for s, m in (("A", False), ("B", True)) for r in C.grid(rows, "key", slices, ["l_quantity", "l_discount"], ["price"], CONTROLS, mutual=m)]
-    out = _rounded(spark, [{k: v for k, v in r.items() if k not in ("error", "method", "learner")} for r in found], ("slice", "outcome", "treatment", "spec"))
-    return C.bonferroni(out, ["outcome", "spec"]).withColumn("stars", M.stars(F.col("p_val")))
+    return fitted(spark, found, ("slice", "outcome", "treatment", "spec"))
 
 
 @query(
@@ -93,14 +111,27 @@ def corrected(spark: SparkSession, d: str) -> DataFrame:
     return C.bonferroni(rows, ["g"]).select("g", "c_custkey", "n_tests", F.round("p_bonferroni", 6).alias("p_bonferroni"), "passes")
 
 
-@query("d14_joint")
+_JOINT = f"""WITH {X.residuals(["price", "l_quantity", "l_discount"], CONTROLS)}, s AS (SELECT sum(r_l_quantity * r_l_quantity) AS s11, sum(r_l_quantity * r_l_discount) AS s12, sum(r_l_discount * r_l_discount) AS s22,
+ sum(r_l_quantity * r_price) AS s1, sum(r_l_discount * r_price) AS s2, s11 * s22 - s12 * s12 AS dt, (s1 * s22 - s2 * s12) / dt AS b1, (s2 * s11 - s1 * s12) / dt AS b2 FROM r),
+ e AS (SELECT r_price - b1 * r_l_quantity - b2 * r_l_discount AS e, (s22 * r_l_quantity - s12 * r_l_discount) / dt AS u1, (s11 * r_l_discount - s12 * r_l_quantity) / dt AS u2, b1, b2 FROM r, s)
+SELECT 'l_quantity' AS treatment, round(any_value(b1), 5) AS coef, round(sqrt(sum(u1 * u1 * e * e)), 5) AS se FROM e UNION ALL SELECT 'l_discount', round(any_value(b2), 5), round(sqrt(sum(u2 * u2 * e * e)), 5) FROM e"""
+
+
+@query("d14_joint", _JOINT)
 def joint(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(spark, C.joint_plr(panel(spark, d), "key", "price", ["l_quantity", "l_discount"], CONTROLS), ("treatment",))
+    """Both treatments at once; the joint intervals, which are drawn, are left to the tests."""
+    rows = C.joint_plr(panel(spark, d), "key", "price", ["l_quantity", "l_discount"], CONTROLS)
+    return spark.createDataFrame([(r["treatment"], round(r["coef"], 5), round(r["se"], 5)) for r in rows], "treatment string, coef double, se double")
+
 
+_LOSSES = f"""WITH v AS (SELECT {X.r2("price", ["l_quantity", "l_discount", "l_tax"])} AS r2, {X.r2("price", ["l_discount", "l_tax"])} AS q, {X.r2("price", ["l_quantity", "l_tax"])} AS d, {X.r2("price", ["l_quantity", "l_discount"])} AS t),
+ u AS (SELECT r2, unnest(['l_quantity', 'l_discount', 'l_tax']) AS control, unnest([q, d, t]) AS w FROM v) SELECT control, round(r2, 5) AS r2, round(w, 5) AS r2_without, round(r2 - w, 5) AS loss FROM u"""
 
-@query("d18_d22_r2_losses")
+
+@query("d18_d22_r2_losses", _LOSSES)
 def losses(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(spark, C.leave_one_out(panel(spark, d), "key", "price", ["l_quantity", "l_discount", "l_tax"]), ("control",))
+    rows = C.leave_one_out(panel(spark, d), "key", "price", ["l_quantity", "l_discount", "l_tax"])
+    return spark.createDataFrame([(r["control"], *(round(r[c], 5) for c in ("r2", "r2_without", "loss"))) for r in rows], "control string, r2 double, r2_without double, loss double")
 
 
 @query("d21_importance")
@@ -108,12 +139,20 @@ def importance(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spark, C.importance(panel(spark, d), "price", ["l_quantity", "l_discount", "l_tax"], 3), ("control",))
 
 
-@query("d26_sensitivity")
+_SENSITIVITY = f"""WITH f AS (WITH {X.residuals(["price", "l_quantity"], CONTROLS)}, t AS (SELECT sum(r_l_quantity * r_price) / sum(r_l_quantity * r_l_quantity) AS theta FROM r)
+ SELECT any_value(theta) AS coef, sqrt(sum(pow(r_l_quantity * (r_price - theta * r_l_quantity), 2))) / sum(r_l_quantity * r_l_quantity) AS se, sum(r_price * r_price) / count(*) AS sigma, count(*) / sum(r_l_quantity * r_l_quantity) AS nu, count(*)::DOUBLE AS n_obs FROM r, t),
+ b AS (SELECT *, sqrt(sigma * nu) AS scale, sqrt(0.03 * 0.03 / 0.97) * scale AS bias, pow(abs(coef) / scale, 2) AS q, pow((abs(coef) - 1.645 * se) / scale, 2) AS qa FROM f)
+SELECT n_obs, round(coef - bias, 5) AS lower, round(coef + bias, 5) AS upper, round(bias, 5) AS bias, round(0.5 * (sqrt(q * q + 4 * q) - q), 5) AS rv, CASE WHEN abs(coef) <= 1.645 * se THEN 0.0 ELSE round(0.5 * (sqrt(qa * qa + 4 * qa) - qa), 5) END AS rva FROM b"""
+
+
+@query("d26_sensitivity", _SENSITIVITY)
 def sensitivity(spark: SparkSession, d: str) -> DataFrame:
     rows = panel(spark, d)
     r = C.plr(rows, "key", "price", "l_quantity", CONTROLS)
     v = rows.agg(F.var_pop("price"), F.var_pop("l_quantity")).first()
-    return _rounded(spark, [C.sensitivity(r["coef"], r["se"], r["n_obs"], r["r2_outcome"], r["r2_treatment"], v[0], v[1])], ())
+    s = C.sensitivity(r["coef"], r["se"], r["n_obs"], r["r2_outcome"], r["r2_treatment"], v[0], v[1])
+    names = ("lower", "upper", "bias", "rv", "rva")
+    return spark.createDataFrame([(float(s["n_obs"]), *(round(float(s[c]), 5) for c in names))], "n_obs double, " + ", ".join(f"{c} double" for c in names))
 
 
 @query("d28_reproduction_gate", "SELECT count(*) AS n, 0.0::DOUBLE AS worst, true AS signs_hold FROM (SELECT DISTINCT l_returnflag FROM lineitem)")

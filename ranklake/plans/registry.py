@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("movement", "relations", "summaries", "samples", "scalars", "corpus", "retrieval", "estimators", "vectors", "judging", "upkeep")
+MODULES = ("movement", "formats", "relations", "summaries", "samples", "scalars", "corpus", "retrieval", "estimators", "effects", "vectors", "judging", "upkeep")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

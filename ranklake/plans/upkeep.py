@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import incremental as I
-from ..sources import files
 from ..streaming import events as E
 from .registry import query, table
 
@@ -53,17 +52,6 @@ def nested(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("p")).select("event_id", "p.k")
 
 
-@query("s27_components", "SELECT * FROM (VALUES ('main/a.parquet', 'main'), ('serp/ddg/20/x.parquet', 'serp'), ('raw/x.json', NULL)) t(path, component)")
-def components(spark: SparkSession, d: str) -> DataFrame:
-    paths = spark.createDataFrame([("main/a.parquet",), ("serp/ddg/20/x.parquet",), ("raw/x.json",)], "path string")
-    return paths.withColumn("component", files.component_of(F.col("path")))
-
-
-@query("s30_dictionary", "SELECT 'keyword' AS \"column\", 'string' AS type, 'id' AS category, 'searched words' AS description UNION ALL SELECT 'rank_delta', 'int', 'outcome', 'places gained'")
-def dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return files.dictionary(spark, [("keyword", "string", "id", "searched words"), ("rank_delta", "int", "outcome", "places gained")])
-
-
 @query("x1_windowed_counts", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed(spark: SparkSession, d: str) -> DataFrame:
     return E.windowed_counts(table(spark, d, "events"), "ts", ["event_type"], "value")

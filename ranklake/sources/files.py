@@ -108,11 +108,13 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def html_from_files(spark: SparkSession, root: str, urls: DataFrame, url: str = "url") -> DataFrame:
-    """Page sources from files named by their address's digest; pages without a file have null."""
+def html_from_files(spark: SparkSession, root: str, urls: DataFrame, url: str = "url", name: str = r"([^/]+)$") -> DataFrame:
+    """Page sources from files named by their address's digest; pages without a file have null. ``name`` finds the digest
+    in a file's path."""
     from ..functions.urls import page_key
 
-    files = spark.read.format("binaryFile").load(root).select(F.element_at(F.split("path", "/"), -1).alias("__k"), F.decode("content", "UTF-8").alias("html"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = files.select(F.regexp_extract("path", name, 1).alias("__k"), F.decode("content", "UTF-8").alias("html"))
     return urls.withColumn("__k", page_key(F.col(url))).join(files, "__k", "left").drop("__k")
 
 
@@ -141,3 +143,82 @@ def read_questions(spark: SparkSession, path: str, probe: str) -> DataFrame:
     unescape = F.pandas_udf(lambda s: s.map(html.unescape, na_action="ignore"), "string")
     kept = rows.where("question_id is not null and coalesce(title, '') != '' and coalesce(link, '') != ''")
     return kept.withColumn("title", unescape("title")).withColumn("probe_ids", F.array(F.lit(probe)))
+
+
+def read_strict_objects(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Line-wise JSON in which every line must be an object: any other value raises."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    checked = F.when(F.json_object_keys("value").isNull(), F.raise_error(F.concat(F.lit("not an object: "), F.substring("value", 1, 80))).cast("string")).otherwise(F.col("value"))
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return lines.select(F.from_json(checked, fields, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def read_run_folders(spark: SparkSession, root: str, schema: str | StructType) -> DataFrame:
+    """CSV files of runs below folders named by their run, with the run and its parts as columns."""
+    from ..functions.urls import run_parts
+
+    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(root)
+    run = F.regexp_extract(F.input_file_name(), r"([^/=]+)/[^/]+$", 1)
+    return rows.withColumn("run_id", run).withColumns({k: v for k, v in run_parts(F.col("run_id")).items() if k in ("engine", "pool", "top_n")})
+
+
+def read_snapshots(spark: SparkSession, json_root: str, tsv_root: str, schema: str) -> DataFrame:
+    """Rows of JSON lines and of tab-separated files as one table."""
+    a = spark.read.schema(schema).json(json_root)
+    b = spark.read.schema(schema).option("sep", "\t").option("header", True).csv(tsv_root)
+    return a.unionByName(b)
+
+
+def pack_shards(df: DataFrame, key: str, vector: str, shards: int) -> DataFrame:
+    """(shard, npz): compressed NumPy archives of keys and matrix rows, one for each shard of a digest of the key."""
+    import pyarrow as pa
+
+    def pack(t: pa.Table) -> pa.Table:
+        import io
+
+        import numpy as np
+
+        t = t.sort_by("k")
+        out = io.BytesIO()
+        np.savez_compressed(out, keys=np.array(t.column("k").to_pylist()), rows=np.array(t.column("v").to_pylist(), np.float64))
+        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "npz": pa.array([out.getvalue()], pa.binary())})
+
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.groupBy("shard").applyInArrow(pack, "shard int, npz binary")
+
+
+def unpack_shards(df: DataFrame, npz: str = "npz") -> DataFrame:
+    """(key, vector) of NumPy archives in a binary column; ``binaryFile`` reads such files into ``content``."""
+    import pyarrow as pa
+
+    def unpack(batches):
+        import io
+
+        import numpy as np
+
+        for b in batches:
+            for x in b.column(0):
+                z = np.load(io.BytesIO(x.as_py()))
+                rows = z["rows"]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(z["keys"], pa.int64()), lists], names=["key", "vector"])
+
+    return df.select(npz).mapInArrow(unpack, "key long, vector array<double>")
+
+
+def complete_shards(df: DataFrame, shards: int) -> DataFrame:
+    """The shards, if all of them are there; otherwise it raises with their number."""
+    n = F.countDistinct("shard")
+    whole = df.agg(F.when(n != shards, F.raise_error(F.concat(n.cast("string"), F.lit(f" of {shards} shards"))).cast("boolean")).otherwise(F.lit(True)).alias("__whole"))
+    return df.crossJoin(F.broadcast(whole)).where("__whole").drop("__whole")
+
+
+def aligned_matrix(keys: DataFrame, npy: bytes, place: str) -> DataFrame:
+    """Rows of a NumPy matrix beside the keys at their places. The matrix is a small fitted object, not a table."""
+    import io
+
+    import numpy as np
+
+    m = np.load(io.BytesIO(npy))
+    rows = keys.sparkSession.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], f"{place} long, vector array<double>")
+    return keys.join(F.broadcast(rows), place)
