@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The categories, scales and keys of a judgment.
 CATEGORIES = ("information", "criteria", "comparison", "selection", "action", "mixed", "not_applicable")
 SCALES = ("information_seeking_1_7", "evaluation_1_7", "selection_commitment_1_7", "action_implementation_1_7")
 JUDGMENT = "answer_type string, overall_readiness_0_100 int, " + ", ".join(f"{s} int" for s in SCALES) + ", category string, ambiguity_1_7 int, confidence_0_1 double, brief_reason string"
@@ -84,7 +85,8 @@ def candidate_binding(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 def sharded(df: DataFrame, order: str, shards: int) -> DataFrame:
     """Round robin over workers without a global order: the shard of a digest."""
-    return df.withColumn("shard", F.pmod(F.xxhash64(order), F.lit(shards)))
+    digest = F.conv(F.substring(F.md5(F.col(order).cast("string")), 1, 8), 16, 10).cast("long")
+    return df.withColumn("shard", digest % shards)
 
 
 def panel(queries: DataFrame, styles: Sequence[str], levels: Sequence[float], seed: int) -> DataFrame:

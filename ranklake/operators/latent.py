@@ -245,11 +245,13 @@ def calibrated(df: DataFrame, slices: list[str], strength: str) -> DataFrame:
     return df.withColumn("position", F.coalesce(F.try_divide(F.col(strength) - low, high - low), F.lit(0.5)))
 
 
-def ordinal_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Proportional odds: weights and ascending cuts by gradient descent with backtracking on a bounded sample."""
+def ordinal_fit(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, penalty: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Proportional odds: weights and ascending cuts by gradient descent with backtracking on a bounded sample, or on
+    different rows with how many times each stands."""
+    n = np.ones(len(y)) if times is None else times
     levels = np.unique(y)
     k = np.searchsorted(levels, y)
-    share = np.clip(np.cumsum(np.bincount(k))[:-1] / len(y), 1e-3, 1 - 1e-3)
+    share = np.clip(np.cumsum(np.bincount(k, n))[:-1] / n.sum(), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     params = np.concatenate([np.zeros(x.shape[1]), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     d = x.shape[1]
@@ -261,7 +263,7 @@ def ordinal_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
         w, c = unpack(p)
         s = 1 / (1 + np.exp(-np.clip(np.concatenate([[-35.0], c, [35.0]])[None, :] - (x @ w)[:, None], -35, 35)))
         prob = np.maximum(s[np.arange(len(k)), k + 1] - s[np.arange(len(k)), k], 1e-12)
-        return -np.log(prob).sum() + penalty / 2 * w @ w
+        return -(n * np.log(prob)).sum() + penalty / 2 * w @ w
 
     step, value = 1.0, loss(params)
     for _ in range(rounds):
@@ -341,3 +343,158 @@ def support_cells(df: DataFrame, x: str, y: str, bounds: tuple[float, float, flo
     counts = inside.groupBy(cell(x, x0, x1).alias("column"), cell(y, y0, y1).alias("row")).agg(F.count(F.lit(1)).alias("n"))
     total = inside.agg(F.count(F.lit(1)).alias("total"))
     return counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).drop("total")
+
+
+def calibrated_levels(strengths: DataFrame, style: str, level: str, strength: str) -> DataFrame:
+    """Strengths on the scale on which a style's mean at level 0 is 0 and at level 1 is 1; styles whose ends are reversed
+    have null positions."""
+    ends = strengths.groupBy(style).agg(F.avg(F.when(F.col(level) == 0, F.col(strength))).alias("__low"), F.avg(F.when(F.col(level) == 1, F.col(strength))).alias("__high"))
+    gap = F.col("__high") - F.col("__low")
+    out = strengths.join(ends, style).withColumn("realized", F.when(gap > 1e-9, (F.col(strength) - F.col("__low")) / gap))
+    return out.drop("__low", "__high")
+
+
+def measured_paths(df: DataFrame, style: str, level: str, realized: str, vector: str) -> DataFrame:
+    """For each style's path in order of level: steps, reversals, whether it strictly rises, mean error, rank correlation,
+    mean and relative deviation of the steps between unit vectors, and their sum over the direct way."""
+    w = Window.partitionBy(style).orderBy(level)
+    unit = A.unit(F.transform(F.col(vector), lambda x: x.cast("double")))
+    rows = df.select(style, F.col(level).cast("double").alias("__a"), F.col(realized).cast("double").alias("__r"), unit.alias("__v"), level)
+    rows = rows.withColumns({"__next": F.lead("__r").over(w), "__ahead": F.lead("__v").over(w), "__ra": average_rank("__a", style), "__rr": average_rank("__r", style)})
+    step = F.when(F.col("__ahead").isNotNull(), A.norm(A.minus(F.col("__ahead"), F.col("__v"))))
+    rows = rows.withColumns({"__step": step, "__back": F.when(F.col("__next").isNotNull(), (F.col("__next") <= F.col("__r")).cast("int"))})
+    out = rows.groupBy(style).agg(
+        F.count("__step").alias("n_steps"),
+        F.sum("__back").alias("n_reversals"),
+        F.avg(F.abs(F.col("__r") - F.col("__a"))).alias("mean_error"),
+        safe_corr(F.col("__ra"), F.col("__rr")).alias("spearman"),
+        F.avg("__step").alias("mean_step"),
+        (F.stddev_pop("__step") / F.greatest(F.avg("__step"), F.lit(1e-12))).alias("step_cv"),
+        F.sum("__step").alias("__way"),
+        A.norm(A.minus(F.max_by("__v", "__a"), F.min_by("__v", "__a"))).alias("__direct"),
+    )
+    return out.withColumn("rises", F.col("n_reversals") == 0).withColumn("tortuosity", F.col("__way") / F.greatest("__direct", F.lit(1e-12))).drop("__way", "__direct")
+
+
+def policy_axis(df: DataFrame, style: str, end: str, vector: str) -> dict:
+    """The unit mean of high minus low over the styles' matched ends, its anchors, each style's cosine with it, how often a
+    style left out still points its way, and the styles' midpoints. Two sums of vectors and one row a style reach the driver."""
+    wide = lambda c: F.transform(c, lambda x: x.cast("double"))
+    low = df.where(F.col(end) == 0).select(style, wide(F.col(vector)).alias("__a"))
+    high = df.where(F.col(end) == 1).select(style, wide(F.col(vector)).alias("__b"))
+    pairs = low.join(high, style).orderBy(style).toArrow()  # one row a style, a short list
+    a, b = (np.array(pairs.column(c).to_pylist(), float) for c in ("__a", "__b"))
+    if len(a) < 2:
+        raise ValueError("at least two matched styles are needed")
+    diff = b - a
+    mean = diff.mean(axis=0)
+    direction = mean / np.linalg.norm(mean)
+    rest = (diff.sum(axis=0) - diff) / (len(diff) - 1)
+    return {
+        "direction": direction,
+        "low": float(a.mean(axis=0) @ direction),
+        "high": float(b.mean(axis=0) @ direction),
+        "cosines": dict(zip(pairs.column(style).to_pylist(), (diff @ direction / np.linalg.norm(diff, axis=1)).tolist(), strict=True)),
+        "left_out_positive": float((np.einsum("ij,ij->i", diff, rest) > 0).mean()),
+        "midpoints": dict(zip(pairs.column(style).to_pylist(), ((a + b) / 2).tolist(), strict=True)),
+    }
+
+
+def located(df: DataFrame, axis: dict, style: str, level: str, vector: str) -> DataFrame:
+    """Adds coordinate (0 and 1 at the anchors), error against the level, and the distance off the axis from the style's
+    midpoint, on the axis's scale."""
+    spark = df.sparkSession
+    kind = df.schema[style].dataType.simpleString()
+    mids = spark.createDataFrame([(k, v) for k, v in axis["midpoints"].items()], f"{style} {kind}, __mid array<double>")  # one row a style
+    scale = axis["high"] - axis["low"]
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    along = literal(axis["direction"])
+    rows = df.join(F.broadcast(mids), style).withColumn("coordinate", (A.dot(v, along) - axis["low"]) / scale)
+    offset = A.minus(v, F.col("__mid"))
+    off = F.sqrt(F.greatest(A.dot(offset, offset) - F.pow(A.dot(offset, along), 2), F.lit(0.0))) / scale
+    return rows.withColumns({"error": F.abs(F.col("coordinate") - F.col(level)), "off_axis": off}).drop("__mid")
+
+
+def validated(locations: DataFrame, style: str, level: str, most_error: float, most_off: float, tolerance: float = 0.0) -> DataFrame:
+    """For each style its points, those outside the thresholds, and whether its coordinates never fall by more than the
+    tolerance from level to level."""
+    w = Window.partitionBy(style).orderBy(level)
+    rows = locations.withColumn("__next", F.lead("coordinate").over(w))
+    outside = (F.col("error") > most_error) | (F.col("off_axis") > most_off)
+    falls = F.coalesce(F.col("__next") + tolerance < F.col("coordinate"), F.lit(False))
+    out = rows.groupBy(style).agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("n_rejected"), (F.count_if(falls) == 0).alias("monotone"))
+    return out.withColumn("passed", (F.col("n_rejected") == 0) & F.col("monotone"))
+
+
+def support_targets(points: DataFrame, key: str, x: str, y: str, keywords: DataFrame, keyword: str, per_keyword: int, n: int = 20, least: int = 3, seed: int | str = 42) -> DataFrame:
+    """Targets of each keyword on an n x n grid over [0, 1]^2: cells with at least ``least`` points take turns, so that none
+    is used twice before all are used once; a target lies between two points of its cell, chosen by digest, as is its place
+    between them. (keyword, target, column, row, x, y)."""
+    from .sampling import hash_order, placed_by_hash
+
+    cell = lambda c: F.least(F.lit(n - 1), F.floor(F.col(c) * n)).cast("int")
+    inside = points.where(F.col(x).between(0, 1) & F.col(y).between(0, 1)).select(key, F.col(x).alias("__x"), F.col(y).alias("__y"), cell(x).alias("column"), cell(y).alias("row"))
+    order = Window.partitionBy("column", "row").orderBy(hash_order(seed, key), key)
+    inside = inside.withColumns({"__i": F.row_number().over(order) - 1, "__size": F.count(F.lit(1)).over(Window.partitionBy("column", "row"))}).where(F.col("__size") >= least)
+    cells = inside.select("column", "row", "__size").distinct()  # at most n * n rows
+    cells = cells.withColumn("__c", F.row_number().over(Window.orderBy(hash_order(seed, "column", "row"))) - 1)
+    total = cells.agg(F.count(F.lit(1)).alias("__cells"))
+    turn = placed_by_hash(keywords.select(keyword), seed, keyword)
+    wanted = turn.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(per_keyword - 1)))).crossJoin(F.broadcast(total))
+    wanted = wanted.withColumn("__c", F.pmod(F.col("place") * per_keyword + F.col("target"), F.col("__cells"))).join(F.broadcast(cells), "__c")
+    draw = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(what), F.col(keyword).cast("string"), F.col("target").cast("string"))), 1, 8), 16, 10).cast("long")
+    wanted = wanted.withColumns({"__l": draw("left") % F.col("__size"), "__r": draw("right") % F.col("__size"), "__t": draw("between").cast("double") / float(1 << 32)})
+    side = lambda s: inside.select("column", "row", F.col("__i").alias(f"__{s}"), F.col("__x").alias(f"__x{s}"), F.col("__y").alias(f"__y{s}"))
+    out = wanted.join(side("l"), ["column", "row", "__l"]).join(side("r"), ["column", "row", "__r"])
+    mix = lambda a: F.col("__t") * F.col(f"__{a}l") + (1 - F.col("__t")) * F.col(f"__{a}r")
+    return out.select(keyword, "target", "column", "row", mix("x").alias("x"), mix("y").alias("y"))
+
+
+def coordinate_bridge(df: DataFrame, states: Sequence[str], x: str, y: str, penalty: float = 1e-3, least: int = 10) -> dict:
+    """How each state column changes with two coordinates, by ridge on centred sums (one row reaches the driver)."""
+    from .causal import gram
+
+    cols = [x, y, *states, "__one"]
+    g, n = gram(df.select(*[F.col(c).cast("double") for c in (x, y, *states)], F.lit(1.0).alias("__one")).na.drop(), cols)
+    if n < least:
+        raise ValueError(f"at least {least} rows are needed")
+    mean = g[-1, :-1] / n
+    s = g[:-1, :-1] - n * np.outer(mean, mean)
+    if np.linalg.matrix_rank(s[:2, :2], tol=1e-10) < 2:
+        raise ValueError("the coordinates do not span two directions")
+    directions = np.linalg.solve(s[:2, :2] + penalty * np.eye(2), s[:2, 2:])
+    left = np.trace(s[2:, 2:]) - 2 * np.sum(directions * s[:2, 2:]) + np.sum(directions * (s[:2, :2] @ directions))
+    return {"coordinate_mean": mean[:2], "state_mean": mean[2:], "directions": directions, "n": n, "rmse": float(np.sqrt(max(left, 0.0) / (n * len(states))))}
+
+
+def feedback(start: Sequence[float], target: Sequence[float], bridge: dict, render, score, valid, rounds: int = 5, gain: float = 0.5, close: float = 0.05) -> list[dict]:
+    """Bounded steering: a state is moved along the bridge's directions by the part ``gain`` of what its coordinates lack;
+    ``render`` turns a state into a text, ``score`` a text into two coordinates, and ``valid`` may refuse a text, which halves
+    the step. Every attempt is a row; the loop ends near the target or after ``rounds``."""
+    state = np.array(bridge["state_mean"], float) + (np.asarray(start, float) - bridge["coordinate_mean"]) @ bridge["directions"]
+    want = np.asarray(target, float)
+    text = render(state)
+    at = np.asarray(score(text), float)
+    out = [{"round": 0, "text": text, "x": at[0], "y": at[1], "accepted": True, "distance": float(np.linalg.norm(want - at))}]
+    for n in range(1, rounds + 1):
+        if np.linalg.norm(want - at) <= close:
+            break
+        new = state + gain * (want - at) @ bridge["directions"]
+        text = render(new)
+        accepted = bool(valid(text))
+        if accepted:
+            state, at = new, np.asarray(score(text), float)
+        else:
+            gain /= 2
+        out.append({"round": n, "text": text, "x": at[0], "y": at[1], "accepted": accepted, "distance": float(np.linalg.norm(want - at))})
+    return out
+
+
+def path_cycles(df: DataFrame, path: str, assigned: str, measured: Sequence[str]) -> DataFrame:
+    """For each path and each measured coordinate: whether it strictly rises with the assigned one, and their rank correlation."""
+    rows = df.select(path, F.col(assigned).cast("double").alias("__a"), *[F.col(m).cast("double") for m in measured])
+    rows = rows.withColumns({f"__n_{m}": F.lead(m).over(Window.partitionBy(path).orderBy("__a")) for m in measured} | {f"__r_{m}": average_rank(m, path) for m in measured} | {"__ra": average_rank("__a", path)})
+    aggs = []
+    for m in measured:
+        aggs += [(F.count_if(F.col(f"__n_{m}") <= F.col(m)) == 0).alias(f"{m}_rises"), safe_corr(F.col("__ra"), F.col(f"__r_{m}")).alias(f"{m}_spearman")]
+    return rows.groupBy(path).agg(F.count(F.lit(1)).alias("n"), *aggs)

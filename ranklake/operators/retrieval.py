@@ -197,3 +197,19 @@ def embed_hashed(text: Column, dimensions: int = 16) -> Column:
     """A stand-in embedding for tests: counts of words by hash, without a model."""
     words = F.filter(F.split(F.lower(text), r"[^a-z]+"), lambda w: w != "")
     return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(words, lambda w: F.pmod(F.hash(w), F.lit(dimensions)) == i)).cast("float"))
+
+
+def embedded(df: DataFrame, key: str, text: str, embed, batch: int = 64) -> DataFrame:
+    """(key, embedding): a function from a list of texts to vectors, called on up to ``batch`` texts at a time; null is ""."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                vectors = embed([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")

@@ -159,3 +159,57 @@ def diverse_selection(scores: Sequence[float], vectors: Sequence[Sequence[float]
         picked.append(i)
         near = np.maximum(near, x @ x[i])
     return picked
+
+
+def grid_selection(grid: Sequence[Sequence[Sequence[dict]]], tolerance: float = 0.0, most_distance: float | None = None) -> list[dict] | None:
+    """One candidate for each cell of a grid (rows of cells of candidates) at the least total cost, exactly, or None.
+
+    A candidate has ``cost``, ``x``, ``y`` and maybe ``vector``. x may not fall along a row, y not from row to row, by more
+    than the tolerance, and the vectors of neighbours lie within ``most_distance``. A dynamic program goes cell by cell and
+    keeps the best cost of each choice of the last row's worth of cells; its memory is their number of candidates,
+    multiplied, so rows are to be the short side.
+    """
+    import numpy as np
+
+    def allowed(a: Sequence[dict], b: Sequence[dict], axis: str) -> np.ndarray:
+        x = lambda cell: np.array([c[axis] for c in cell], float)
+        bad = x(b)[None, :] + tolerance < x(a)[:, None]
+        if most_distance is not None:
+            v = lambda cell: np.array([c["vector"] for c in cell], float)
+            bad |= np.linalg.norm(v(a)[:, None, :] - v(b)[None, :, :], axis=2) > most_distance
+        return np.where(bad, np.inf, 0.0)
+
+    width = len(grid[0])
+    cells = [cell for row in grid for cell in row]
+    best, back = np.zeros(()), []
+    for k, cell in enumerate(cells):
+        own = np.array([c["cost"] for c in cell], float)
+        total = best[..., None] + own
+        if k % width:
+            total = total + allowed(cells[k - 1], cell, "x")
+        if k >= width:  # the oldest cell of the last row's worth leaves
+            above = allowed(cells[k - width], cell, "y")
+            total = total + above.reshape(above.shape[0], *[1] * (total.ndim - 2), above.shape[1])
+            back.append(total.argmin(axis=0))
+            total = total.min(axis=0)
+        best = total
+    if not len(cells) or not np.isfinite(best).any():
+        return None
+    tail = list(np.unravel_index(int(best.argmin()), best.shape))
+    chosen = tail[:]
+    for came in reversed(back):
+        first = int(came[tuple(tail)])
+        tail = [first, *tail[:-1]]
+        chosen = [first, *chosen]
+    return [cell[i] for cell, i in zip(cells, chosen, strict=True)]
+
+
+def population_paths(styles: dict, tolerance: float = 0.0, most_distance: float | None = None) -> dict:
+    """``grid_selection`` for each style in order; a text (``hash``) that an earlier style took is out for later ones."""
+    used: set = set()
+    out = {}
+    for style in sorted(styles):
+        grid = [[[c for c in cell if c["hash"] not in used] for cell in row] for row in styles[style]]
+        out[style] = grid_selection(grid, tolerance, most_distance)
+        used |= {c["hash"] for c in out[style] or ()}
+    return out

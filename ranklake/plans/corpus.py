@@ -56,13 +56,14 @@ def stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "h13_h14_h20_page_flags",
-    """SELECT page_id, starts_with(lower(url), 'https://') AS is_https, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, contains(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), split_part(split_part(url, '://', 2), '.', 1)) AS title_has_host FROM pages WHERE length(split_part(split_part(url, '://', 2), '.', 1)) >= 3""",
+    """WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, split_part(split_part(url, '://', 2), '.', 1) AS host FROM pages)
+SELECT page_id, starts_with(lower(url), 'https://') AS is_https, title, length(host) >= 3 AND contains(lower(title), host) AS title_has_host FROM p""",
 )
 def page_flags(spark: SparkSession, d: str) -> DataFrame:
     url = F.col("url")
     host = F.split_part(F.split_part(url, F.lit("://"), F.lit(2)), F.lit("."), F.lit(1))
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, d, "pages").where(F.char_length(host) >= 3).select("page_id", F.lower(url).startswith("https://").alias("is_https"), title.alias("title"), T.title_has_keyword(title, host).alias("title_has_host"))
+    return table(spark, d, "pages").select("page_id", F.lower(url).startswith("https://").alias("is_https"), title.alias("title"), T.title_has_keyword(title, host).alias("title_has_host"))
 
 
 @query(

@@ -83,11 +83,6 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     return L.panel(table(spark, d, "nation").select("n_nationkey"), ["plain", "formal"], [0, 1], 7)
 
 
-@query("p16_shards")
-def shards(spark: SparkSession, d: str) -> DataFrame:
-    return L.sharded(table(spark, d, "documents").select("doc_id"), "doc_id", 4)
-
-
 @query(
     "j19_a35_judge_pairs",
     """WITH j AS (SELECT l_partkey AS item, l_linenumber AS judge, max(l_quantity) AS score, min(l_returnflag) AS cat FROM lineitem GROUP BY ALL), p AS (SELECT a.judge AS judge_a, b.judge AS judge_b, a.score AS x, b.score AS y, a.cat = b.cat AS same FROM j a JOIN j b ON a.item = b.item AND a.judge < b.judge),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("movement", "formats", "relations", "summaries", "samples", "scalars", "corpus", "retrieval", "estimators", "effects", "vectors", "judging", "upkeep")
+MODULES = ("movement", "formats", "relations", "summaries", "samples", "scalars", "corpus", "pages", "retrieval", "estimators", "effects", "vectors", "judging", "panels", "drivers", "upkeep")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for use in another's."""
+    return _SQL[name]
+
+
 def _load() -> None:
     for m in MODULES:
         importlib.import_module(f"{__package__}.{m}")

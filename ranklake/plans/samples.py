@@ -88,12 +88,13 @@ def first_turn(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"), F.min("turn").alias("turn"))
 
 
-@query("t11_jitter_levels")
-def jitter(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(S.jittered_levels(11, 42))), "i int, level double")
-
-
-@query("t12_increasing_selection")
+@query(
+    "t12_increasing_selection",
+    """WITH q AS (SELECT o_custkey, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY o_custkey),
+ t AS (SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b, c.o_orderkey AS c, abs(a.o_totalprice - q1) + abs(b.o_totalprice - q2) + abs(c.o_totalprice - q3) AS cost FROM orders a JOIN q USING (o_custkey)
+ JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_totalprice < b.o_totalprice JOIN orders c ON a.o_custkey = c.o_custkey AND b.o_totalprice < c.o_totalprice),
+ m AS (SELECT o_custkey, arg_min([a, b, c], cost) AS l FROM t GROUP BY o_custkey) SELECT o_custkey, i - 1 AS step, l[i] AS o_orderkey FROM m, (SELECT unnest([1, 2, 3]) AS i)""",
+)
 def increasing(spark: SparkSession, d: str) -> DataFrame:
     """For each customer with five orders or more, three of them at increasing prices near the customer's quartiles.
 
@@ -132,8 +133,8 @@ def diverse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t14_matched_selection")
 def matched(spark: SparkSession, d: str) -> DataFrame:
-    """Each supplier's first lines matched one to one to evenly spaced quantity targets at the least total distance."""
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity")
+    """Each supplier's lines matched one to one to evenly spaced quantity targets at the least total distance."""
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity")
 
     def pick(key, rows):
         import pandas as pd

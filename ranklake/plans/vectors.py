@@ -15,9 +15,10 @@ _LONG = f"{_E}, x AS (SELECT vec_id, label, generate_subscripts(e, 1) AS i, unne
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors with two measured targets: their first entry and their length."""
+    """Vectors with two measured targets: their first entry, and a bend of the first two beside the third (all have length 1)."""
     rows = table(spark, d, "embeddings")
-    return rows.withColumn("first", F.get("embedding", F.lit(0)).cast("double")).withColumn("length", A.norm(F.col("embedding")))
+    x = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return rows.withColumn("first", x(0)).withColumn("bend", 10 * x(0) * x(1) + x(2))
 
 
 @query("e24_centroids", f"WITH {_LONG} SELECT label, i - 1 AS dimension, round(avg(x), 6) AS mean FROM x GROUP BY ALL")
@@ -155,22 +156,10 @@ def comparison_pairs(spark: SparkSession, d: str) -> DataFrame:
     return L.comparisons(rows, ["label"], "vec_id", "level")
 
 
-@query("e10_r12_bootstrap")
-def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    out = L.bootstrap_mean(vectors(spark, d), "vec_id", "first", ["label"], 100)
-    return out.select("label", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
-
-
-@query("e11_permutation")
-def permutation(spark: SparkSession, d: str) -> DataFrame:
-    out = L.permutation_control(vectors(spark, d), "vec_id", "first", "length", 50)
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
-
-
 @query("e9_leave_one_label_out")
 def leave_one(spark: SparkSession, d: str) -> DataFrame:
     """A ridge map for each label left out."""
-    out = L.metrics(L.leave_one_group_out(vectors(spark, d), "label", "embedding", "length", 1.0), "length", "p", ["label"])
+    out = L.metrics(L.leave_one_group_out(vectors(spark, d), "label", "embedding", "bend", 1.0), "bend", "p", ["label"])
     return out.select("label", "n", F.round("mae", 6).alias("mae"))
 
 
@@ -183,7 +172,7 @@ def probe(spark: SparkSession, d: str) -> DataFrame:
 
     from ..operators.sampling import median_split
 
-    rows = median_split(vectors(spark, d).drop("label"), "length").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    rows = median_split(vectors(spark, d).drop("label"), "bend").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     model = LogisticRegression(regParam=0.1, maxIter=50).fit(rows.where("vec_id % 5 != 0"))
     scored = model.transform(rows.where("vec_id % 5 = 0"))
     auc = BinaryClassificationEvaluator().evaluate(scored)
