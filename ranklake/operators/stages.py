@@ -19,7 +19,17 @@ def feature_stage(serp: DataFrame, pages: DataFrame, brands: DataFrame | None =
     """
     page = html_features.page_features(pages.where("html is not null").dropDuplicates(["url"]), "url", "url", "html").withColumnsRenamed({"title": "page_title"})
     rows = serp.where("position is not null and coalesce(url, '') != ''").join(page, "url", "left").withColumn("html_present", F.col("body_text").isNotNull())
-    rows = rows.withColumns({"domain": U.domain_of(F.col("url")), "conf_title_kw": T.title_has_keyword(F.col("title"), F.col("keyword")).cast("int"), "treat_stats_present": T.has_stats(F.col("body_text")).cast("int"), "treat_stats_density": T.stats_density(F.col("body_text")), "conf_word_count": T.word_count(F.col("body_text")), "conf_https": F.lower("url").startswith("https://").cast("int")})
+    body = F.col("body_text")
+    rows = rows.withColumns(
+        {
+            "domain": U.domain_of(F.col("url")),
+            "conf_title_kw": T.title_has_keyword(F.col("title"), F.col("keyword")).cast("int"),
+            "treat_stats_present": T.has_stats(body).cast("int"),
+            "treat_stats_density": T.stats_density(body),
+            "conf_word_count": T.word_count(body),
+            "conf_https": F.lower("url").startswith("https://").cast("int"),
+        }
+    )
     queries = rows.select("keyword").distinct().withColumn("terms", F.split(F.lower("keyword"), " "))
     scores = retrieval.bm25(rows.dropDuplicates(["keyword", "url"]), queries, "keyword", "url", "body_text", "terms")
     rows = rows.join(scores, ["keyword", "url"], "left").drop("body_text", "digest", "headings", "dates")

@@ -120,3 +120,59 @@ def ordinal(spark: SparkSession, d: str) -> DataFrame:
     counts = lines.groupBy("a", "b", "y").count().orderBy("a", "b", "y").toPandas()
     w, cuts = La.ordinal_fit(counts[["a", "b"]].to_numpy(), counts["y"].to_numpy(), counts["count"].to_numpy(float))
     return spark.createDataFrame([*[(f"weight {n}", round(float(v), 4)) for n, v in zip("ab", np.atleast_1d(w), strict=True)], *[(f"cut {i}", round(float(v), 4)) for i, v in enumerate(cuts)]], "name string, value double")
+
+
+def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Result lists of orders whose results are their suppliers' pages, and the pages; every third supplier has none."""
+    from .pages import built_pages
+
+    url = lambda k: F.concat(F.lit("https://s"), k, F.lit(".example/home"))
+    lines = table(spark, d, "lineitem")
+    serp = lines.select(F.concat(F.lit("shop "), "l_suppkey").alias("keyword"), F.col("l_linenumber").alias("position"), F.concat(F.lit("Shop "), "l_suppkey").alias("title"), url(F.col("l_suppkey")).alias("url")).distinct()
+    pages = built_pages(spark, d).withColumn("url", url(F.col("s_suppkey"))).withColumn("html", F.when(F.col("s_suppkey") % 3 != 0, F.col("html")))
+    return serp, pages.select("url", "html")
+
+
+@query(
+    "z1_feature_stage",
+    """WITH s AS (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) SELECT l_suppkey % 3 <> 0 AS html_present, count(*) AS n, count(CASE WHEN l_suppkey % 3 <> 0 THEN 1 END) AS n_words, sum(CASE WHEN l_suppkey % 3 <> 0 THEN 1 END)::BIGINT AS with_stats,
+ count_if(l_suppkey % 3 <> 0 AND l_suppkey % 4 IN (0, 1)) AS structured, count(*) AS titled FROM s GROUP BY ALL""",
+)
+def feature_stage(spark: SparkSession, d: str) -> DataFrame:
+    rows = St.feature_stage(*_pool(spark, d))
+    return rows.groupBy("html_present").agg(F.count("*").alias("n"), F.count("conf_word_count").alias("n_words"), F.sum("treat_stats_present").alias("with_stats"), F.count_if("structured").alias("structured"), F.sum("conf_title_kw").alias("titled"))
+
+
+@query(
+    "z2_merge_stage",
+    """SELECT o_orderkey::VARCHAR AS keyword, 'd' || o_custkey AS domain, CASE WHEN o_custkey % 2 = 0 THEN 'u' || o_custkey ELSE '' END AS url, 3 AS pre_rank, 1 AS post_rank, o_totalprice AS score FROM orders WHERE o_orderstatus <> 'P'""",
+)
+def merge_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Rerank records joined to the features of their page, or where the page is not known, of their domain."""
+    orders = table(spark, d, "orders")
+    domain, url = F.concat(F.lit("d"), "o_custkey"), F.concat(F.lit("u"), "o_custkey")
+    change = F.struct(domain.alias("domain"), F.lit(3).alias("pre_rank"), F.lit(1).alias("post_rank"), F.lit(2).alias("rank_delta"))
+    result = F.struct(domain.alias("domain"), F.when(F.col("o_custkey") % 2 == 0, url).otherwise("").alias("url"))
+    records = orders.select(F.lit("r").alias("run_id"), F.col("o_orderkey").cast("string").alias("keyword"), F.lit(False).alias("used_fallback"), F.when(F.col("o_orderstatus") == "P", "broken").alias("error"), F.array(change).alias("rank_changes"), F.array(result).alias("ranked_results"))
+    features = orders.select(F.col("o_orderkey").cast("string").alias("keyword"), url.alias("url"), domain.alias("domain"), F.lit(1).alias("position"), F.col("o_totalprice").alias("score"))
+    return St.merge_stage(records, features, ["score"]).select("keyword", "domain", "url", "pre_rank", "post_rank", "score")
+
+
+@query(
+    "z3_index_stage",
+    """WITH t AS (SELECT s_suppkey, ['Prices', 'How to buy', 'Ready?', 'Island tours', 'what else'][s_suppkey % 5 + 1] || ' Terms Made on 2021-06-01, sold 1,234 times.' AS text FROM supplier WHERE s_suppkey % 3 <> 0)
+SELECT 'https://s' || s_suppkey || '.example/home' AS url, 0 AS chunk_idx, text, [length(text)::DOUBLE, (length(text) - length(replace(text, 'e', '')))::DOUBLE] AS embedding FROM t""",
+)
+def index_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of pages with vectors; the embedder here gives lengths."""
+    embed = lambda t: F.array(F.char_length(t).cast("double"), F.char_length(F.regexp_replace(t, "[^e]", "")).cast("double"))
+    return St.index_stage(_pool(spark, d)[1], embed, least=20)
+
+
+@query(
+    "z11_report_tables",
+    """WITH f AS (SELECT l_returnflag AS outcome, l_linestatus AS treatment, l_linenumber::VARCHAR AS slice, avg(l_discount) AS coef, avg(l_tax) AS p_val FROM lineitem GROUP BY ALL) SELECT outcome, round(avg((p_val < 0.04)::INT), 6) AS share_clear, count(*) AS n FROM f GROUP BY outcome""",
+)
+def report_tables(spark: SparkSession, d: str) -> DataFrame:
+    fits = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("outcome"), F.col("l_linestatus").alias("treatment"), F.col("l_linenumber").cast("string").alias("slice")).agg(F.avg("l_discount").alias("coef"), F.avg("l_tax").alias("p_val"), F.avg("l_quantity").alias("t_stat"))
+    return St.report_tables(fits, 0.04)["share"].withColumn("share_clear", F.round("share_clear", 6))

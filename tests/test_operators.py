@@ -214,3 +214,48 @@ def test_nearest_equals_brute_force(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for q in range(0, 200, 20):
         assert [got[q, k] for k in (1, 2, 3)] == np.argsort(-(u @ u[q]))[:3].tolist()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chunks_hold_the_whole_text_in_order(seed):
+    """Each chunk goes on where the last one ended, but for the carried overlap; nothing but a short tail is lost."""
+    import random
+
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 900))]
+    text = "".join(w + r.choice([" ", " ", ". ", "! ", "\n\n"]) for w in words)
+    chunks = Ret.chunk_text(text, 120, 30, 20)
+    plain = lambda t: " ".join(t.split())
+    held = chunks[0]
+    for c in chunks[1:]:
+        carry = held[-30:]
+        assert c.startswith(carry) and len(c) <= 120 + 31
+        held += c[len(carry) :]
+    whole = plain(text)
+    assert whole.startswith(plain(held)) and len(whole) - len(plain(held)) <= 30 + 20
+
+
+def test_recovered_json():
+    from ranklake.functions.answers import load_json
+
+    assert load_json(' {"a": [1]} ') == {"a": [1]} and load_json("x {no} {\"b\": 2} y") == {"b": 2}
+    assert load_json('{"prompt_templates": ["a]", {"b \\"q\\""}], ') == {"prompt_templates": ["a]", 'b "q"']}
+    for bad in (None, "", "none", '{"prompt_templates": [', '{"prompt_templates": []'):
+        with pytest.raises(ValueError):
+            load_json(bad)
+
+
+def test_fixed_values_of_page_features():
+    from datetime import UTC, datetime
+
+    now = datetime(2024, 1, 1, tzinfo=UTC)
+    f = lambda page, **k: H.features(page, "https://www.shop.example/x", now, **k)
+    assert [f(f"<time datetime='{d}'></time>")["freshness"] for d in ("2023-12-01", "2023-03-01", "2022-03-01", "2020-01-01T10:00:00Z", "2015-01-01", "2025-01-01", "soon")] == [4, 3, 2, 1, 0, 4, 0]
+    assert [f(f"<body><p>{t}</p>")["freshness"] for t in ("on 2023-12-01", "2014-05-05 then 2022/03/01", "March 5, 2022 x", "5 March 2022", "nothing")] == [4, 2, 2, 2, 0]
+    ld = lambda x: f'<script type="application/ld+json">{x}</script>'
+    assert [f(ld(x))["structured"] for x in ('{"@type": "QAPage"}', '[{"@graph": {"@type": ["X", "Recipe"]}}]', '{"a": {"@type": "Recipe"}}', '{"@type": "Person"}', "{")] == [True, True, False, False, False]
+    assert f(ld('{"@type": "Recipe"}'), legacy=True)["structured"] is False and f("<h2>Ready?</h2>", legacy=True)["question_heading"] is False
+    links = "<a href='https://mit.edu/'>1</a><a href='https://mit.edu/'>2</a><a href='https://a.gov.uk'>3</a><a href='https://x.arxiv.org'>4</a><a href='https://shop.example/y'>5</a><a href='https://x.com/z'>6</a>"
+    got = f(links)
+    assert (got["authority_links"], got["external_citation"], got["outbound_links"], got["internal_links"]) == (3, True, 5, 1)
+    assert f("<a href='https://x.com/z'>6</a>")["external_citation"] is False
