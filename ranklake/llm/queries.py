@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.SQL}
+    return {"op4_decontamination": decontaminate.SQL, "op6_suffix_array": suffix_array.SQL, "op10_substring_dedup": substring.SQL}

@@ -23,8 +23,8 @@ Plan:
    document that leads to one. A span goes only if the 128-bit digest of its words
    equals its source's; spans refuted so (collisions of hashes) stay.
 
-Rows are known by doc_id and a 64-bit hash of the text, so that rows of one doc_id, or
-of none, are rows of their own; a hot id is spread by its texts.
+Rows are known by doc_id and, where a doc_id (or none) has different texts, by a 64-bit
+hash of the text, so that they are rows of their own; a hot id is spread by its texts.
 
 Defined cases: a null text has no words; a null doc_id sorts before all others;
 rows with one doc_id never cover each other; texts under k words stay whole; an
@@ -42,11 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import PACKED, decode, encode, exchange, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
+from .exchange import PACKED, decode, encode, exchange, gather, groups, packed, partitions, small, squeezed, tidy, unsqueezed, written
 
 U64 = np.uint64
 SLICE = 2 << 20
-FLUSH = 16 << 20
+FLUSH = 12 << 20
 NO_ID = -(1 << 63)
 
 _FINGER = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("known", "<i4")])
@@ -54,8 +54,8 @@ _SPOT = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4")])
 _FROM = [("sdoc", "<i8"), ("srid", "<i8"), ("spos", "<i4")]
 #: kind 1: an occurrence in the source's own document, which stays.
 _COVER = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("length", "<i4"), *_FROM, ("kind", "<i4")])
-_EDGE = np.dtype([("left", "<u8"), ("right", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("known", "<i4"), ("home", "<u8"), *_FROM])
-_RUN = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("length", "<i4"), ("known", "<i4"), *_FROM])
+_EDGE = np.dtype([("left", "<u8"), ("right", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("known", "<i4")])
+_RUN = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("length", "<i4"), ("known", "<i4")])
 #: What a row is asked as a source (path is -1), or a run of a path that lies in it.
 _ASKED = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("length", "<i4"), ("path", "<i8")])
 _PROOF = np.dtype([*_FROM, ("length", "<i4"), ("own", "<i4"), ("high", "<u8"), ("low", "<u8")])
@@ -64,7 +64,19 @@ _PROOF = np.dtype([*_FROM, ("length", "<i4"), ("own", "<i4"), ("high", "<u8"), (
 def keyed(docs: DataFrame) -> DataFrame:
     """The operator's own view of a document table."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("rid"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows (doc, text) with rid: a hash of the text where a doc has several different texts, else 0, which costs nothing to
+    move. Docs with several are counted before they are broadcast; if they are too many, every row has its hash."""
+    hashed = F.xxhash64("text")
+    several = rows.groupBy("doc").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).where("low != high").select("doc", F.lit(True).alias("several"))
+    several = written(several, "several")
+    if not small(several, 64):
+        return rows.select("doc", hashed.alias("rid"), "text")
+    marked = rows.join(F.broadcast(several), "doc", "left")
+    return marked.select("doc", F.when(F.col("several"), hashed).otherwise(F.lit(0).cast("long")).alias("rid"), "text")
 
 
 def column(part: pa.RecordBatch, name: str) -> np.ndarray:
@@ -96,22 +108,16 @@ def flushed(parts: Iterator[np.ndarray], combine) -> Iterator[tuple[np.ndarray,
         yield combine(np.concatenate(held))
 
 
-def combine_local(records: np.ndarray, keys: np.ndarray, grouped: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def combine_local(records: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal keys only the records of the smallest document go to the key's partition. The others are settled
-    (known = 1: repeated in a smaller document) and pass through any partition; known = 2 says that such exist.
-    Records with fields for a source get the group's first record of the smallest document."""
-    order, starts = grouped or groups(keys)
+    (known = 1: repeated in a smaller document) and pass through any partition; known = 2 says that such exist."""
+    order, starts = groups(keys)
     records, keys = records[order], keys[order]
     counts = np.diff(np.append(starts, len(records)))
     low = np.repeat(np.minimum.reduceat(records["doc"], starts), counts)
     later = records["doc"] > low
     shared = np.repeat(np.logical_or.reduceat(later, starts), counts)
     records["known"] = np.where(later, 1, np.where(shared, 2, 0))
-    if "sdoc" in records.dtype.names:
-        least = np.flatnonzero(~later)
-        lead = np.repeat(least[np.searchsorted(least, starts)], counts)[later]
-        for c in ("doc", "rid", "pos"):
-            records[f"s{c}"][later] = records[c][lead]
     spread = S.mix(np.arange(len(records), dtype=U64) + keys[:1])
     return records, np.where(later, spread, keys)
 
@@ -209,24 +215,42 @@ def own_minimum(spots: pa.ListArray, first: np.ndarray, hashes: np.ndarray, low:
     return (near == low) & (low != U64(2**64 - 1))
 
 
-def pair_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``groups``, of pairs."""
-    order = np.lexsort((b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    return order, np.flatnonzero(new)
+EDGES = "left long, right long, doc long, rid long, pos long, part int, payload binary"
+
+
+def edge_groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges in order of their nodes and then of (doc, rid, pos), and the start of each group of equal edges."""
+    x = x[np.lexsort((x["pos"], x["rid"], x["doc"], x["right"], x["left"]))]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["left"][1:] != x["left"][:-1]) | (x["right"][1:] != x["right"][:-1])
+    return x, np.flatnonzero(new)
 
 
-def follows(x: np.ndarray, *same: str) -> np.ndarray:
-    """Whether a record goes on the one before it: next place, next place of the source."""
-    on = np.zeros(len(x), bool)
-    on[1:] = x["pos"][1:] == x["pos"][:-1] + 1
-    for c in ("doc", "rid", "sdoc", "srid", *same):
-        on[1:] &= x[c][1:] == x[c][:-1]
-    return on
+def sourced(x: np.ndarray, source: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Single windows as covers with their sources."""
+    out = np.empty(len(x), _COVER)
+    for c in ("doc", "rid", "pos"):
+        out[c], out[f"s{c}"] = x[c], source[c]
+    out["length"], out["kind"] = 1, kind
+    return out
 
 
-EDGES = "left long, right long, doc long, rid long, pos long, part int, payload binary"
+def combined_edges(x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal edges of a flush those of the smallest document, with the keys of their partitions; and covers of the
+    others, which are settled and whose source is the group's first edge."""
+    order = np.lexsort((x["pos"], x["rid"], x["doc"], x["right"], x["left"]))
+    x, home = x[order], home[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["left"][1:] != x["left"][:-1]) | (x["right"][1:] != x["right"][:-1])
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(x)))
+    first = np.repeat(starts, counts)
+    later = x["doc"] > x["doc"][first]
+    covers = cover_runs(sourced(x[later], x[first[later]]))
+    x["known"] = 2 * np.repeat(np.logical_or.reduceat(later, starts), counts)
+    x, home = x[~later], home[~later]
+    order = np.lexsort((x["pos"], x["rid"], x["doc"]))
+    return x[order], S.mix(home[order]), covers
 
 
 def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
@@ -238,98 +262,114 @@ def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
     reach = window - gram + 1
     n = partitions(marked.sparkSession)
 
-    def mapper(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        def parts() -> Iterator[np.ndarray]:
-            for part, doc, data, offsets in pieces(unsqueezed(batches)):
-                starts, ends, first = S.words(data, offsets)
-                if len(starts) < window:
-                    continue
-                h = S.word_hashes(data, starts, ends)
-                short = S.grams(h, gram)
-                home = S.sliding_min(short, reach)
-                mask = own_minimum(part.column("spots"), first, short, home, reach)
-                words_of = np.repeat(np.arange(len(doc)), np.diff(first))
-                mask &= words_of[: len(mask)] == words_of[window - 1 : window - 1 + len(mask)]
-                at = np.flatnonzero(mask)
-                if not len(at):
-                    continue
-                nodes = S.grams(h, window - 1)
-                owner = np.searchsorted(first, at, "right") - 1
-                out = np.zeros(len(at), _EDGE)
-                out["left"], out["right"], out["home"] = nodes[at], nodes[at + 1], home[at]
-                out["doc"], out["pos"], out["rid"] = doc[owner], at - first[owner], column(part, "rid")[owner]
-                yield out
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part, doc, data, offsets in pieces(unsqueezed(batches)):
+            starts, ends, first = S.words(data, offsets)
+            if len(starts) < window:
+                continue
+            h = S.word_hashes(data, starts, ends)
+            short = S.grams(h, gram)
+            home = S.sliding_min(short, reach)
+            mask = own_minimum(part.column("spots"), first, short, home, reach)
+            words_of = np.repeat(np.arange(len(doc)), np.diff(first))
+            mask &= words_of[: len(mask)] == words_of[window - 1 : window - 1 + len(mask)]
+            at = np.flatnonzero(mask)
+            if not len(at):
+                continue
+            nodes = S.grams(h, window - 1)
+            owner = np.searchsorted(first, at, "right") - 1
+            out = np.zeros(len(at), _EDGE)
+            out["left"], out["right"] = nodes[at], nodes[at + 1]
+            out["doc"], out["pos"], out["rid"] = doc[owner], at - first[owner], column(part, "rid")[owner]
+            yield out, home[at]
 
-        yield from flushed(parts(), combine)
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-    def combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        records, _ = combine_local(records, records["left"], pair_groups(records["left"], records["right"]))
-        records = records[np.lexsort((records["pos"], records["rid"], records["doc"]))]
-        # settled ones need no partition of their edge: they are dealt out by their rows, whole runs together
-        return records, np.where(records["known"] == 1, row_key(records), S.mix(records["home"]))
+        def flush() -> Iterator[pa.RecordBatch]:
+            x, home = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            x, keys, covers = combined_edges(x, home)
+            # settled ones need no partition of their edge: they are dealt out by their rows, whole runs together
+            for out in (packed(x, keys, n, lambda r: b"e" + encode_edges(r)), packed(covers, row_key(covers), n, lambda r: b"c" + encode(r))):
+                if out is not None:
+                    yield out
+
+        for x in parts(batches):
+            held.append(x)
+            size += x[0].nbytes
+            if size >= FLUSH:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
 
-    def reducer(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-        settled = records["known"] == 1
-        covered, alike = [records[settled]], []
-        if not settled.all():
-            open_ = records[~settled]
-            open_ = open_[np.lexsort((open_["pos"], open_["rid"], open_["doc"]))]
-            order, starts = pair_groups(open_["left"], open_["right"])
-            open_ = open_[order]
-            counts = np.diff(np.append(starts, len(open_)))
-            lead = open_[starts]  # the smallest, as both sorts are stable
-            for c in ("doc", "rid", "pos"):
-                open_[f"s{c}"] = np.repeat(lead[c], counts)
-            later = open_["doc"] > open_["sdoc"]
-            covered.append(open_[later])
-            lone = np.ones(len(open_), bool)
-            lone[starts] = False
-            alike.append(open_[lone & ~later & (open_["known"] == 2)])
-            lead = lead[np.logical_or.reduceat(later | (open_["known"] == 2), starts)]
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, covers = [], []
+        for b in batches:
+            for x in b.column(1):
+                data = np.frombuffer(x.as_buffer(), np.uint8)
+                if data[0] == ord("e"):
+                    open_.append(decode_edges(data[1:], _EDGE))
+                else:
+                    covers.append(decode(data[1:], _COVER))
+        if open_:
+            x = np.concatenate(open_)
+            open_.clear()
+            x, starts = edge_groups(x)
+            counts = np.diff(np.append(starts, len(x)))
+            first = np.repeat(starts, counts)
+            later = x["doc"] > x["doc"][first]
+            covers.append(cover_runs(sourced(x[later], x[first[later]])))
+            # occurrences beside the source in its own document, on which settled ones may call
+            alike = ~later & (x["known"] == 2)
+            alike[starts] = False
+            covers.append(sourced(x[alike], x[first[alike]], 1))
+            lead = x[starts][np.logical_or.reduceat(later | (x["known"] == 2), starts)]
+            del x, first, later, alike
             cols = [lead["left"].copy().view(np.int64), lead["right"].copy().view(np.int64), lead["doc"], lead["rid"], lead["pos"].astype(np.int64)]
             none = [pa.nulls(len(lead), pa.int32()), pa.nulls(len(lead), pa.binary())]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *none], names=["left", "right", "doc", "rid", "pos", "part", "payload"])
-        x = np.concatenate([*covered, *alike])
-        kind = np.arange(len(x)) >= sum(map(len, covered))
-        runs = cover_runs(x, np.ones(len(x), np.int32), kind)
-        moved = packed(runs, row_key(runs), n)
-        if moved is not None:
-            empty = [pa.nulls(moved.num_rows, pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([*empty, *moved.columns], names=["left", "right", "doc", "rid", "pos", "part", "payload"])
+        if covers:
+            runs = cover_runs(np.concatenate(covers))
+            moved = packed(runs, row_key(runs), n)
+            if moved is not None:
+                empty = [pa.nulls(moved.num_rows, pa.int64())] * 5
+                yield pa.RecordBatch.from_arrays([*empty, *moved.columns], names=["left", "right", "doc", "rid", "pos", "part", "payload"])
 
-    return exchange(marked, mapper, _EDGE, reducer, EDGES, encode_edges, decode_edges)
+    return marked.mapInArrow(tidy(mapped), PACKED).repartitionById(n, "part").mapInArrow(tidy(reduced), EDGES)
 
 
-def cover_runs(x: np.ndarray, length: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Runs of covered windows, joined where both they and their sources go on."""
-    order = np.lexsort((x["pos"], x["rid"], x["doc"]))
-    x, length, kind = x[order], length[order].astype(np.int64), kind[order]
+def cover_runs(x: np.ndarray) -> np.ndarray:
+    """Covers of one kind joined where both they and their sources go on."""
+    x = x[np.lexsort((x["pos"], x["rid"], x["doc"]))]
     new = np.ones(len(x), bool)
-    same = kind[1:] == kind[:-1]
-    for c in ("doc", "rid", "sdoc", "srid"):
-        same &= x[c][1:] == x[c][:-1]
-    new[1:] = ~(same & (x["pos"][1:] == x["pos"][:-1] + length[:-1]) & (x["spos"][1:] == x["spos"][:-1] + length[:-1]))
+    on = np.ones(max(len(x) - 1, 0), bool)
+    for c in ("doc", "rid", "sdoc", "srid", "kind"):
+        on &= x[c][1:] == x[c][:-1]
+    new[1:] = ~(on & (x["pos"][1:] == x["pos"][:-1] + x["length"][:-1]) & (x["spos"][1:] == x["spos"][:-1] + x["length"][:-1]))
     begin = np.flatnonzero(new)
-    runs = np.zeros(len(begin), _COVER)
-    for c in ("doc", "rid", "pos", "sdoc", "srid", "spos"):
-        runs[c] = x[c][begin]
-    runs["kind"] = kind[begin]
-    runs["length"] = np.add.reduceat(length, begin) if len(begin) else 0
+    runs = x[begin]
+    if len(begin):
+        runs["length"] = np.add.reduceat(x["length"], begin)
     return runs
 
 
 def encode_edges(x: np.ndarray) -> bytes:
-    """Runs of edges (sorted by doc, rid, pos) as a header each and their nodes; settled edges need no nodes."""
-    begin = np.flatnonzero(~(follows(x, "known") & ((x["spos"] - np.roll(x["spos"], 1) == 1) | (x["known"] != 1))))
+    """Runs of edges (sorted by doc, rid, pos) as a header each and their nodes."""
+    new = np.ones(len(x), bool)
+    new[1:] = x["pos"][1:] != x["pos"][:-1] + 1
+    for c in ("doc", "rid", "known"):
+        new[1:] |= x[c][1:] != x[c][:-1]
+    begin = np.flatnonzero(new)
     run = np.empty(len(begin), _RUN)
     for c in _RUN.names:
         if c != "length":
             run[c] = x[c][begin]
     run["length"] = np.diff(np.append(begin, len(x)))
-    open_ = x["known"] != 1
-    last = np.append(begin[1:], len(x)) - 1
     head = encode(run)
-    return np.array([len(run), len(head)], np.int64).tobytes() + head + x["left"][open_].tobytes() + x["right"][last[run["known"] != 1]].tobytes()
+    return np.array([len(run), len(head)], np.int64).tobytes() + head + x["left"].tobytes() + x["right"][np.append(begin[1:], len(x)) - 1].tobytes()
 
 
 def decode_edges(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
@@ -338,18 +378,13 @@ def decode_edges(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
     length = run["length"].astype(np.int64)
     begin = np.cumsum(length) - length
     out = np.zeros(length.sum(), dtype)
-    step = np.arange(len(out)) - np.repeat(begin, length)
-    for c in ("doc", "rid", "known", "sdoc", "srid"):
+    for c in ("doc", "rid", "known"):
         out[c] = np.repeat(run[c], length)
-    for c in ("pos", "spos"):
-        out[c] = np.repeat(run[c], length) + step
+    out["pos"] = np.repeat(run["pos"] - begin, length) + np.arange(len(out))
     nodes = np.frombuffer(data[16 + size :].tobytes(), np.uint64)
-    open_ = out["known"] != 1
-    m = int(open_.sum())
-    out["left"][open_] = nodes[:m]
-    last = (begin + length - 1)[run["known"] != 1]
+    out["left"] = nodes[: len(out)]
     out["right"][:-1] = out["left"][1:]
-    out["right"][last] = nodes[m:]
+    out["right"][begin + length - 1] = nodes[len(out) :]
     return out
 
 
@@ -364,7 +399,7 @@ def _lists(x: np.ndarray, names: list[str], column: str) -> pa.RecordBatch:
 def run_lists(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each document with its covered runs and their sources."""
     if len(records):
-        yield _lists(cover_runs(records, records["length"], records["kind"]), ["pos", "length", "sdoc", "srid", "spos", "kind"], "runs")
+        yield _lists(cover_runs(records), ["pos", "length", "sdoc", "srid", "spos", "kind"], "runs")
 
 
 RUNS = "doc long, rid long, runs array<struct<pos:long,length:long,sdoc:long,srid:long,spos:long,kind:long>>"
@@ -528,7 +563,7 @@ def checked(marked: DataFrame, window: int, keep_text: bool) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             empty = [pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), *empty], names=[*names, "part", "payload"])
-            if len(proofs) >= 100_000:
+            if len(proofs) >= 20_000:
                 yield from flush()
         if proofs:
             yield from flush()
@@ -559,7 +594,7 @@ def refuted(records: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc, n_words, n_removed, n_paths, kept_text, kept_sha256) of every row, and the repeated paths by their runs."""
-    rows = keyed(docs)
+    rows = told_apart(keyed(docs))
     spots = written(screen(rows, window, gram), "spots")
     found = written(edges(squeezed(rows, "rid").join(spots, ["doc", "rid"]), window, gram), "edges")
     compacted = paths(found.where("left is not null"))
@@ -580,6 +615,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, keep_text:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op10: digest of every document after the removal, with the number of repeated paths whose source it holds."""
+    """op10: digest of every document after the removal."""
     out, _ = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)
-    return out.select(F.expr(f"nullif(doc, {NO_ID})").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "n_paths")
+    return out.select(F.expr(f"nullif(doc, {NO_ID})").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+#: The same rows by brute force over all windows.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+m AS (SELECT win, min(doc_id) AS lo FROM g GROUP BY win HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN m USING (win) WHERE doc_id > lo),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT doc_id, count(h.p) AS n_removed, string_agg(CASE WHEN h.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN h USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""

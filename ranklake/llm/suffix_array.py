@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import spans as S
 from .exchange import PACKED, decode, encode, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
-from .substring import _FINGER, NO_ID, column, combine_local, keyed, own_minimum, pieces, row_key, row_starts, spots_of
+from .substring import _FINGER, NO_ID, column, combine_local, keyed, own_minimum, pieces, row_key, row_starts, spots_of, told_apart
 
 U64 = np.uint64
 LENGTH, GRAM = 50, 24
@@ -414,7 +414,7 @@ def covered(marked: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc, text, runs): compressed texts with their covered runs."""
-    rows = keyed(docs)
+    rows = told_apart(keyed(docs))
     spots = written(screen(rows), "spots")
     runs = written(covered(squeezed(rows, "rid").join(spots, ["doc", "rid"])), "covered")
     return squeezed(rows, "rid").join(runs, ["doc", "rid"], "left")
@@ -447,3 +447,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op6: digest of every document after the removal."""
     out = digests(remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")), keep=False)
     return out.select(F.expr(f"nullif(doc, {NO_ID})").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same rows by brute force over all windows.
+SQL = r"""
+WITH n AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, (octet_length(encode(coalesce(text, ''))))::BIGINT AS n FROM documents),
+g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM n WHERE n >= 50)),
+m AS (SELECT win, min(doc_id) AS lo FROM g GROUP BY win HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT g.doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY g.doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g JOIN m USING (win) WHERE g.doc_id > lo),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s) GROUP BY doc_id, k),
+p AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(h, 2 * last + 1)) AS kept
+ FROM p JOIN n USING (doc_id) JOIN (SELECT doc_id, max(e) AS last FROM r GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM n LEFT JOIN k USING (doc_id)
+"""
