@@ -22,7 +22,6 @@ the same for the same files; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,15 +35,21 @@ from .exchange import tidy, written
 
 SEQUENCE, END, GROUP, ROUNDS, REMEMBERED = 4096, 1, 4000, 8, 400_000
 SLICE = 2 << 20
-_LETTERS = "a-zµß-öø-ÿ"
-_PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-±´-¸»À-ÿ]")
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}ªº]+|[0-9]|[^\\s0-9{_LETTERS}ªº]+")
-# The public tokenizer's rules that _PLAIN and _WORD stand for.
+# The public tokenizer's rules that ``Words.cut`` stands for.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ADDED = {"<|startoftext|>", "<|endoftext|>"}
 
 
+# Latin-1 characters that those rules leave as they are but for case, and their classes: 0 space, 1 letter, 2 digit, 3 other.
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0xB2), *range(0xB4, 0xB9), 0xBB, *range(0xC0, 0x100)])
+_LOWER = bytes(c + 32 if 65 <= c <= 90 or (192 <= c <= 222 and c != 215) else c for c in range(256))
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 13, 32]] = 0
+_CLASS[[*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1
+_CLASS[range(48, 58)] = 2
+
+
 class Words(dict):
     """Packed ids of a word, from the tokenizer at first sight."""
 
@@ -64,18 +69,11 @@ class Words(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str], present: list[list[str] | None] = ()) -> None:
-        """Adds the ids of new words. Each is one unit to the tokenizer, so a line of them is encoded at once.
-
-        When too many are held, those of the present batch stay."""
-        if len(self) > REMEMBERED:
-            kept = {w: self[w] for x in present if x for w in x if w in self}
-            self.clear()
-            self.update(kept)
-        new = list(words)
+    def learn(self, new: list[bytes]) -> None:
+        """Adds the ids of new words. Each is one unit to the tokenizer, so a line of them is encoded at once."""
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
-            line = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            line = self.tokenizer.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False)
             ids, owner = np.array(line.ids, "<u4").tobytes(), np.array(line.word_ids)
             ends = (4 * np.searchsorted(owner, np.arange(len(part)), "right")).tolist()
             a = 0
@@ -83,11 +81,79 @@ class Words(dict):
                 self[w] = ids[a:b]
                 a = b
 
+    def found(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words. When too many are held, only these stay."""
+        out = list(map(self.get, words))
+        if None in out:
+            if len(self) > REMEMBERED:
+                self.clear()
+                self.update((w, x) for w, x in zip(words, out, strict=True) if x is not None)
+            new = [i for i, x in enumerate(out) if x is None]
+            self.learn([words[i] for i in new])
+            for i in new:
+                out[i] = self[words[i]]
+        return out
+
+    @staticmethod
+    def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words in lower-case Latin-1: a clipped ending ('s, 't, 're, 've, 'm, 'll, 'd) where no other
+        sign stands before it, a run of letters, a digit, or a run of other signs."""
+        kind = _CLASS[data]
+        start = kind != 0
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        marks = np.flatnonzero(start & (data == 39))
+        if len(marks):
+            after = np.concatenate([data, np.zeros(2, np.uint8)])
+            one, two = after[marks + 1], after[marks + 2]
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+            stop = marks + np.where(long, 3, 2)
+            clipped = short | long
+            marks, stop = marks[clipped], stop[clipped]
+            start[marks + 1] = False
+            on = stop[stop < len(data)]
+            start[on[kind[on] == 1]] = True
+        space = kind == 0
+        space[1:] &= kind[:-1] != 0
+        at = np.flatnonzero(start | space)
+        own = start[at]
+        return at[own], np.append(at[1:], len(data))[own]
+
+    def plain(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of plain texts in Latin-1: equal words (by a 64-bit hash within the list) are looked up once."""
+        joined = b"\n".join(raw).translate(_LOWER)
+        data = np.frombuffer(joined, np.uint8)
+        starts, ends = self.cut(data)
+        if not len(starts):
+            return [b""] * len(raw)
+        _, first, which = np.unique(S.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        found = self.found(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        done = np.cumsum(counts)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[which] - (done - counts), counts) + np.arange(done[-1])].tobytes()
+        stops = np.cumsum([len(x) + 1 for x in raw])
+        cut = np.concatenate([[0], done])[np.searchsorted(starts, stops)] * 4
+        return [ids[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [None if not self.splits or _PLAIN.search(t) or "<|" in t else _WORD.findall(t.lower()) for t in texts]
-        self.learn({w for x in split if x for w in x if w not in self}, split)
-        return [self.whole(t) if x is None else b"".join(map(self.__getitem__, x)) for t, x in zip(texts, split, strict=True)]
+        out: list[bytes | None] = [None] * len(texts)
+        raw: dict[int, bytes] = {}
+        for i, t in enumerate(texts):
+            try:
+                x = t.encode("latin-1") if self.splits and "<|" not in t else b"\0"
+            except UnicodeEncodeError:
+                x = b"\0"
+            if x.translate(None, _PLAIN):
+                out[i] = self.whole(t)
+            else:
+                raw[i] = x
+        for i, ids in zip(raw, self.plain(list(raw.values())), strict=True):
+            out[i] = ids
+        return out
 
 
 _workers: dict[str, Words] = {}
