@@ -1,7 +1,8 @@
 """A training corpus in five stages: toxicity, near duplicates, benchmark contamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of ``docs``;
-the last returns one row for each packed piece. ``run`` applies them to the documents of a folder.
+the last returns one row for each packed piece. ``run`` applies them to the documents of a folder. Stages whose last step
+is Python write their table, so that their Arrow batches stay small whatever the session says.
 
 Defined cases: a null text counts as empty and stays null; rows of one doc_id, or of none, are documents of their own
 where their texts differ, and one document where they agree; extra columns, whatever their names, pass through as they
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklake.llm import decontaminate, near_dup, packing, pii, toxicity
-from ranklake.llm.exchange import written
+from ranklake.llm.exchange import dropped, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold; the model trains on the labelled ones among them."""
     model = toxicity.train(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
-    return toxicity.keep_clean(docs, model)
+    return written(toxicity.keep_clean(docs, model), "clean")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
-    return out
+    return written(out, "redacted")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +69,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if name in ("near_duplicates", "decontamination"):  # the others return tables
+            docs = written(docs, name)
+        if name != "toxicity":
+            dropped(spark, [before])
     return STAGES[-1][1](spark, docs, sf_dir)
