@@ -200,7 +200,7 @@ def dropped(spark: SparkSession, tables: list[DataFrame]) -> None:
 
 
 #: Bytes up to which a counted table is broadcast.
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame, row_bytes: Column | int = 64, most: int = BROADCAST_BYTES) -> bool:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import spans as S
 from .exchange import tidy
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _RAW = r"<!--(?s:.*?)(?:-->|\Z)|<(script|style|textarea)\b[^>]*+>(?s:.*?)(?:</\1\s*>|\Z)"
 _SKIPPED = frozenset("noscript template svg select button iframe object canvas".split())

@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from . import html_text
 from . import spans as S
-from .exchange import tidy, written
+from .exchange import sized, tidy, written
 
 U64 = np.uint64
 BITS, TRAIN_ROWS, TEMPER, STRENGTH = 16, 4_000, 0.2, 5.0
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,10 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     says = sums("declared").withColumn("m", F.aggregate("n", F.lit(0.0), lambda a, x: a + x))
     totals = says.agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(n)]).alias("t"), F.sum("m").alias("all"))
     says = says.crossJoin(F.broadcast(totals)).select("declared", F.transform("n", lambda x, i: (x + STRENGTH * F.col("m") / F.col("all")) / (F.get("t", i) + STRENGTH)).alias("p_declared"))
-    fused = scored.join(says, "declared").join(host, ["host", "suffix"])
+    # a handful of declarations, but nothing bounds them: both small tables are measured
+    says = written(says, "declared")
+    row = F.lit(64 + 8 * n)
+    fused = scored.join(sized(says, F.octet_length("declared") + row), "declared").join(sized(host, F.octet_length("host") + F.octet_length("suffix") + row), ["host", "suffix"])
     logs = F.transform("logs", lambda x, i: x + F.log(F.get("p_declared", i)) + F.log(F.get("p_host", i)))
     fused = fused.withColumn("p", _softmax(logs)).withColumn("best", F.array_max("p"))
     names = F.array(*[F.lit(x) for x in languages])

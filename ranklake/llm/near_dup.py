@@ -41,7 +41,7 @@ from .substring import NO_ID, keyed, pieces
 
 U64 = np.uint64
 SHINGLE, SIMILARITY, SKETCHES, DEPTH, ROUNDS = 5, 0.8, 16, 3, 3
-CELL, CELL_ITEMS = 1000, 2 << 20
+CELL, CELL_ITEMS = 200, 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TOP = U64(2**64 - 1)

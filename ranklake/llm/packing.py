@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from . import spans as S
 from .exchange import tidy, written
 
-SEQUENCE, END, GROUP, ROUNDS, REMEMBERED = 4096, 1, 4000, 8, 400_000
-SLICE = 2 << 20
+SEQUENCE, END, GROUP, ROUNDS, REMEMBERED = 4096, 1, 4000, 8, 300_000
+SLICE = 1 << 20
 # The public tokenizer's rules that ``Words.cut`` stands for.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

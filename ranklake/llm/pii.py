@@ -3,7 +3,8 @@
 Exact patterns (``base_spans``) give the fixed part of the result. The field adds
 spans that patterns miss: numbers that run into their neighbours or lack a country
 code, credentials, and addresses written out. A segment has a type and at most
-``MAX_TOKENS`` tokens, the bound of the dynamic program and the only one. Its score is
+``MAX_TOKENS`` tokens and ``MAX_PARTS`` groups of digits, the bounds of the dynamic
+program and the only ones. Its score is
 a weighted sum of features of the whole span: separators, digit groups, check digit,
 ranges, letter mix, entropy, what stands at its edges and the words before it. The
 program finds the best segmentation of the whole text, boundaries and types together,
@@ -49,7 +50,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: What the field can add, beside the four base kinds.
 TYPES = (*KINDS, "secret")
-MAX_TOKENS = 24
+#: The bounds of a segment: its tokens, and the groups of digits of a number.
+MAX_TOKENS, MAX_PARTS = 24, 8
 _DIGITS = re.compile(r"[^0-9]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 
@@ -195,14 +197,15 @@ def _ends(text: str, a: int) -> Iterator[tuple[int, str]]:
     if c in "+(0123456789" and (a == 0 or not text[a - 1].isdigit()):
         m = _NUMBER.match(text, a, a + 4 * MAX_TOKENS)  # 19 digits and their separators fit
         if m:
-            digits = dots = others = 0
+            digits = dots = others = parts = 0
             for at in range(a, m.end()):
                 x = text[at]
                 if x.isdigit():
                     digits += 1
                     if at + 1 < m.end() and text[at + 1].isdigit():
                         continue
-                    if digits > 19:
+                    parts += 1
+                    if digits > 19 or parts > MAX_PARTS:
                         return
                     if dots == 3 and not others and digits < 13 and c != "(" and c != "+":
                         yield at + 1, "ip"
@@ -390,7 +393,7 @@ def training_sentences(count: int, seed: int = 11) -> list[tuple[str, list[tuple
 
 
 @lru_cache(maxsize=4)
-def trained(count: int = 700, rounds: int = 40, l2: float = 0.01) -> tuple[float, ...]:
+def trained(count: int = 700, rounds: int = 100, l2: float = 0.01) -> tuple[float, ...]:
     """Weights by gradient ascent on the field's log-likelihood."""
     data = []
     for text, spans in training_sentences(count):
@@ -461,7 +464,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 RESULTS = ("base", "spans", "redacted")
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def find(docs: DataFrame, *keep: str) -> DataFrame:

@@ -68,44 +68,66 @@ def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return out, int(rank[-1]) if len(rank) else 0
 
 
-def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """The order of all suffixes of ``text`` by at least their first ``depth`` bytes."""
+def suffix_order(text: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The order of the wanted suffixes of ``text`` (all, without a mask) by at least their first ``depth`` bytes.
+
+    Names are given only where they are used: at the wanted places and the two after each, and, a level down, at the
+    places that make up their triples.
+    """
     n = len(text)
     t = np.zeros(n + 3 * max(depth, 24) + 16, U64)
     t[:n] = text.astype(U64) + U64(1)
+    if wanted is None:
+        wanted = np.ones(n, bool)
+    sampled = np.arange(len(t)) % 3 != 0
+    used = np.zeros(len(t), bool)
+    for k in range(3):
+        used[k : n + k] |= wanted
+    levels = [used & sampled]
+    covers = [6]
+    while covers[-1] < depth:
+        covers.append(covers[-1] * 3)
+    for step in covers[-2::-1]:
+        below = levels[0].copy()
+        below[step:] |= levels[0][:-step]
+        below[2 * step :] |= levels[0][: -2 * step]
+        levels.insert(0, below)
     # six characters of nine bits: the first names of the sample
     two = (t[:-1] << U64(9)) | t[1:]
     six = (two[:-4] << U64(36)) | (two[2:-2] << U64(18)) | two[4:]
-    place = np.arange(n)
-    sample = place[place % 3 != 0]
-    rank = np.zeros(len(t), np.int64)
+    rank = np.zeros(len(t) + 2 * covers[-1], np.int64)
+    sample = np.flatnonzero(levels[0][: len(six)])
     names, many = _names(six[sample])
     rank[sample] = names
-    covered = 6
-    while covered < depth and many < len(sample):
+    for covered, level in zip(covers, levels[1:], strict=False):
+        if many == len(sample):
+            break
+        sample = np.flatnonzero(level[: len(six)])
         a, b, c = rank[sample], rank[sample + covered], rank[sample + 2 * covered]
         if many < (1 << 21) - 1:
             names, many = _names(((a << 42) | (b << 21) | c).astype(U64))
         else:
             pair, _ = _names((a.astype(U64) << U64(32)) | b.astype(U64))
             names, many = _names((pair.astype(U64) << U64(32)) | c.astype(U64))
+        rank = np.zeros(len(rank), np.int64)
         rank[sample] = names
-        covered *= 3
+    place = np.flatnonzero(wanted)
     rest = place[place % 3 == 0]
     key = lambda i: (t[i] << U64(32)) | rank[i + 1].astype(U64)
     key2 = lambda i: (t[i] << U64(41)) | (t[i + 1] << U64(32)) | rank[i + 2].astype(U64)
     rest_keys = key(rest)
     rest_order = np.argsort(rest_keys, kind="stable")
     rest = rest[rest_order]
-    by_rank = sample[np.argsort(rank[sample], kind="stable")]
+    chosen = place[place % 3 != 0]
+    by_rank = chosen[np.argsort(rank[chosen], kind="stable")]
     ones, twos = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
     # ties below the sorted depth may stand in any order, but keys must ascend for the search
     before = np.searchsorted(np.maximum.accumulate(key(ones)) if len(ones) else rest_keys[:0], rest_keys[rest_order])
     before += np.searchsorted(np.maximum.accumulate(key2(twos)) if len(twos) else rest_keys[:0], key2(rest))
     before = np.maximum.accumulate(before)
-    out = np.empty(n, np.int64)
+    out = np.empty(len(place), np.int64)
     at = before + np.arange(len(rest))
-    taken = np.zeros(n, bool)
+    taken = np.zeros(len(place), bool)
     taken[at] = True
     out[at] = rest
     out[~taken] = by_rank
@@ -114,10 +136,9 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
 
 def window_classes(text: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """``windows`` (starts) in suffix order, and the places in it where a class of equal ``length`` bytes begins."""
-    order = suffix_order(text, length)
     wanted = np.zeros(len(text), bool)
     wanted[windows] = True
-    order = order[wanted[order]]
+    order = suffix_order(text, length, wanted)
     padded = np.zeros(len(text) + 8, U64)
     padded[: len(text)] = text
     w = (padded[:-1] << U64(8)) | padded[1:]

@@ -34,7 +34,7 @@ BITS = 22
 TRAIN_ROWS = 16_000
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 2
-SLICE = 2 << 20
+SLICE = 512 << 10
 _BREAKS = np.zeros(256, bool)
 _BREAKS[:128] = True
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -83,7 +83,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
         for b in batches:
-            for part in S.slices(b, "text", 1 << 20):
+            for part in S.slices(b, "text", SLICE):
                 docs = by_document(*features(part.column("text")), part.num_rows)
                 for i, y in zip(docs, part.column("toxic").to_pylist(), strict=True):
                     w = weight(i)
@@ -109,7 +109,7 @@ def _scorer(model: tuple[np.ndarray, np.ndarray]):
     at, weights = model
 
     def make():
-        dense = np.zeros(1 << BITS)
+        dense = np.zeros(1 << BITS, np.float32)
         dense[at] = weights
 
         def rate(texts: pa.Array) -> np.ndarray:

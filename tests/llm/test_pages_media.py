@@ -64,6 +64,23 @@ def test_page_with_open_head(model):
     assert time.time() - start < 20
 
 
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<button " * 100_000, "<p>x</p>" + "<" * 200_000, "<!--" * 100_000])
+def test_unclosed_pages_take_linear_time(model, page):
+    import time
+
+    began = time.time()
+    html_text.main_text(page, *model)
+    assert time.time() - began < 20
+
+
+def test_tail_without_a_tag(model):
+    texts = lambda page: [x for x in html_text.parse(page).text if x is not None]
+    assert texts("<p>One.</p>two <b") == ["One.", "two <b"]
+    assert texts("<p>One.</p><script>a > b") == ["One."]
+    assert texts("<p>One.</p><!-- a > b") == ["One."]
+    assert texts("<p>One.</p>two<!-- c") == ["One.", "two"]
+
+
 def test_messages_equal_enumeration(model):
     from itertools import product
 
@@ -88,12 +105,36 @@ def test_extract_table(spark):
 
 
 def test_language_of_pages(spark, sf):
-    got = langid.query(spark, sf)
-    rows = got.collect()
+    rows = langid.query(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert np.mean([r.lang == r.declared for r in rows]) > 0.95
 
 
+def test_language_without_the_declaration(spark, sf):
+    """Held-out accuracy where the truth is no input: the declaration is taken out of the pages."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    truth = {r.page_id: r.declared for r in langid._address(pages).collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", r"(?i)<html\b[^>]*>", "<html>")).withColumn("url", F.lit(None).cast("string"))
+    got = {r.page_id: r for r in langid.identify(bare, langid.train(spark.read.parquet(f"{sf}/documents.parquet"))).collect()}
+    assert {r.declared for r in got.values()} == {""}
+    known = [i for i, x in truth.items() if x]
+    assert np.mean([got[i].lang == truth[i] for i in known]) > 0.9
+
+
+@pytest.mark.parametrize(("page", "declared"), [("<!-- <html lang=xx> --><html lang=de>", "de"), ("<html xml:lang=fr data-lang=es lang='it'>", "it"), ("<html xml:lang=fr>", ""), ("<html LANG = \"pt-BR\">", "pt")])
+def test_declaration(spark, page, declared):
+    df = spark.createDataFrame([(1, "http://a.de/x", page)], "page_id long, url string, html string")
+    assert langid._address(df).first().declared == declared
+
+
+def test_three_hundred_languages_all_stay(spark):
+    rows = [(i, f"wort{i} " * 20, f"l{i:03d}") for i in range(300)]
+    languages, logs = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(languages) == 300 and logs.shape[0] == 300
+
+
 def test_language_evidence(spark, sf):
     fitted = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
     df = spark.createDataFrame([(1, None, None), (2, "http://a.de/x", ""), (3, "nonsense", "<html lang='xx'><p>the and of</p>")], "page_id long, url string, html string")
@@ -121,6 +162,36 @@ def test_wave_round_trip():
         media.from_wave(b"no")
 
 
+def test_features_equal_plain_sums():
+    """Log-mel frames and segments against loops over samples, filters and frames."""
+    r = np.random.default_rng(3)
+    data = bytes(r.integers(0, 256, 3 * 576).astype(np.uint8))
+    x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    y = media.resample(x - x.mean())
+    mel = media.log_mel(y)
+    frames = max(1, -(-max(len(y) - media.FRAME, 0) // media.HOP) + 1)
+    assert mel.shape == (frames, media.MELS)
+    t = np.arange(media.FRAME)
+    for f in (0, frames // 2, frames - 1):
+        part = np.zeros(media.FRAME)
+        own = y[f * media.HOP : f * media.HOP + media.FRAME]
+        part[: len(own)] = own
+        part = part * (0.5 - 0.5 * np.cos(2 * np.pi * t / media.FRAME))
+        power = [abs(np.sum(part * np.exp(-2j * np.pi * k * t / media.FRAME))) ** 2 for k in range(media.FRAME // 2 + 1)]
+        want = np.log10(np.maximum(np.array(power) @ media._mel(), 10.0**media.FLOOR))
+        assert mel[f] == pytest.approx(want, abs=1e-6)
+    for _ in range(50):
+        e = r.normal(0, 0.2, 40)
+        middle, state, want = np.median(e), False, []
+        for i, v in enumerate(e):
+            state = v >= middle + media.OPEN_DB / 10 or (state and v >= middle + media.CLOSE_DB / 10)
+            want.append(state)
+        got = np.zeros(40, bool)
+        for a, b in media.segments(e):
+            got[a:b] = True
+        assert got.tolist() == want
+
+
 def test_resampling_keeps_a_tone():
     x = np.sin(2 * np.pi * 440 * np.arange(4800) / 8000)
     y = media.resample(x)
@@ -134,14 +205,16 @@ def test_hysteresis():
 
 
 def test_media_table(spark, docs, empty, corpus):
-    rows = media.describe(docs, media=True, tensors=True)
+    rows = media.describe(docs)
+    streams = {r.doc_id: bytes(r.media) for r in media.stored(docs).collect()}
     by_id = {r.doc_id: r for r in rows.collect()}
     for i, t in enumerate(corpus):
         raw = (t or "").encode()
         data = media.payload(raw)
         r = by_id[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
-        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
+        assert r.media_bytes == len(streams[i]) and r.media_sha256 == hashlib.sha256(streams[i]).hexdigest()
+        assert media.from_wave(streams[i]) == (media.RATE, data)
     assert by_id[3].feature == by_id[63].feature
     flat = media.fixed_shape(rows.toArrow())
     assert flat.schema.field("mel").type.shape == [media.MELS, media.PATCH]

@@ -66,6 +66,10 @@ def test_suffix_order():
         order = suffix_array.suffix_order(x, 50)
         keys = [x[i : i + 50].tobytes() for i in order]
         assert keys == sorted(keys) and sorted(order) == list(range(len(x)))
+        wanted = r.random(len(x)) < 0.3
+        order = suffix_array.suffix_order(x, 50, wanted)
+        keys = [x[i : i + 50].tobytes() for i in order]
+        assert keys == sorted(keys) and sorted(order) == np.flatnonzero(wanted).tolist()
 
 
 def test_winnowing_keeps_equal_places_for_equal_windows():
