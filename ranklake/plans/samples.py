@@ -90,13 +90,13 @@ def first_turn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "t12_increasing_selection",
-    """WITH q AS (SELECT o_custkey, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY o_custkey),
+    """WITH q AS (SELECT o_custkey, quantile_cont(o_totalprice, 0.271) AS q1, quantile_cont(o_totalprice, 0.533) AS q2, quantile_cont(o_totalprice, 0.787) AS q3 FROM orders GROUP BY o_custkey),
  t AS (SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b, c.o_orderkey AS c, abs(a.o_totalprice - q1) + abs(b.o_totalprice - q2) + abs(c.o_totalprice - q3) AS cost FROM orders a JOIN q USING (o_custkey)
  JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_totalprice < b.o_totalprice JOIN orders c ON a.o_custkey = c.o_custkey AND b.o_totalprice < c.o_totalprice),
  m AS (SELECT o_custkey, arg_min([a, b, c], cost) AS l FROM t GROUP BY o_custkey) SELECT o_custkey, i - 1 AS step, l[i] AS o_orderkey FROM m, (SELECT unnest([1, 2, 3]) AS i)""",
 )
 def increasing(spark: SparkSession, d: str) -> DataFrame:
-    """For each customer with five orders or more, three of them at increasing prices near the customer's quartiles.
+    """For each customer with five orders or more, three of them at increasing prices near three quantiles of the customer (which no two orders are equally near).
 
     The dynamic programme runs on one customer's orders at a time."""
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
@@ -108,7 +108,7 @@ def increasing(spark: SparkSession, d: str) -> DataFrame:
         prices = rows["o_totalprice"].tolist()
         if len(set(prices)) < 3:
             return pd.DataFrame({"o_custkey": [], "step": [], "o_orderkey": []}).astype("int64")
-        chosen = S.increasing_selection(prices, rows["o_totalprice"].quantile([0.25, 0.5, 0.75]).tolist())
+        chosen = S.increasing_selection(prices, rows["o_totalprice"].quantile([0.271, 0.533, 0.787]).tolist())
         return pd.DataFrame({"o_custkey": [key[0]] * 3, "step": range(3), "o_orderkey": rows["o_orderkey"].iloc[chosen].to_numpy()})
 
     return orders.groupBy("o_custkey").applyInPandas(pick, "o_custkey long, step long, o_orderkey long")
