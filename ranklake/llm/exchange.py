@@ -178,12 +178,15 @@ def shared_folder(spark: SparkSession) -> str:
 _own_folders: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
     """Writes df as Parquet below the shared checkpoint folder and reads it back, which cuts lineage.
 
-    The shuffles behind df have done their work then, and their files go at once.
+    The shuffles behind df have done their work then, and their files go at once. A ``thin`` table, of numbers alone, is
+    written by an eighth of the shuffle's partitions, so that it is not cut into many small files.
     """
     spark = df.sparkSession
+    if thin:
+        df = df.coalesce(max(16, partitions(spark) // 8))
     path = f"{shared_folder(spark)}/ranklake/{name}-{uuid.uuid4().hex}"
     with bounded(spark):
         df.write.option("compression", "zstd").parquet(path)

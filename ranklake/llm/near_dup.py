@@ -170,7 +170,7 @@ def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
 def _across(mixed: DataFrame, seqs: DataFrame) -> DataFrame:
     """(a, b): links that join the components (label) met in one bucket (key), for members (rep)."""
     enough = F.greatest(F.count("*") / CELL, F.sum("n") / CELL_ITEMS)
-    blocks = written(mixed.groupBy("key").agg(F.ceil(enough).cast("int").alias("blocks")), "blocks")
+    blocks = written(mixed.groupBy("key").agg(F.ceil(enough).cast("int").alias("blocks")), "blocks", thin=True)
     rows = mixed.join(sized(blocks, 48), "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label")
@@ -213,15 +213,15 @@ def _across(mixed: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component, by alternating large and small stars."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links", thin=True)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = written(large.where("u != v").distinct(), "links")
+        large = written(large.where("u != v").distinct(), "links", thin=True)
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
-        after = written(small.where("u != v").distinct(), "links")
+        after = written(small.where("u != v").distinct(), "links", thin=True)
         # stars only: no smaller end is a larger end of another link, and nothing moved
         steady = after.select(F.col("v").alias("u")).distinct().join(after.select("u"), "u", "left_semi").isEmpty()
         edges = after
@@ -243,9 +243,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = signs.groupBy("digest").agg(F.min("doc").alias("doc"), F.min_by(F.struct("keys", "n"), "doc").alias("s"))
     reps = written(reps.select("digest", "doc", F.monotonically_increasing_id().alias("rep"), "s.*"), "reps")
     spread = reps.where("n > 0").select("rep", "n", F.explode("keys").alias("key"))
-    met = written(spread.groupBy("key").count().where("count > 1").select("key"), "keys")
-    bucketed = written(spread.join(sized(met, 48), "key").dropDuplicates(["key", "rep"]), "buckets")
-    involved = written(reps.select("digest", "doc", "rep").join(bucketed.select("rep").distinct(), "rep", "left_semi"), "involved")
+    met = written(spread.groupBy("key").count().where("count > 1").select("key"), "keys", thin=True)
+    bucketed = written(spread.join(sized(met, 48), "key").dropDuplicates(["key", "rep"]), "buckets", thin=True)
+    involved = written(reps.select("digest", "doc", "rep").join(bucketed.select("rep").distinct(), "rep", "left_semi"), "involved", thin=True)
     own = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     if small(involved, 96):  # only involved texts move
         moved = own.join(F.broadcast(involved), ["digest", "doc"]).select(F.col("rep").alias("doc"), "text")
@@ -258,18 +258,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         order = F.struct(F.col("rep"), F.col("n"))
         leaders = rest.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead.rep", "lead.n").toDF("key", "a", "na")
-        pairs = rest.join(sized(written(leaders, "leaders"), 64), "key").where("rep != a").withColumnRenamed("rep", "b")
+        pairs = rest.join(sized(written(leaders, "leaders", thin=True), 64), "key").where("rep != a").withColumnRenamed("rep", "b")
         close = F.least("n", "na") >= SIMILARITY * F.greatest("n", "na")
         tested = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(verified(tested, seqs), "verified")
-        links = found if links is None else written(links.union(found).distinct(), "verified")
+        links = found if links is None else written(links.union(found).distinct(), "verified", thin=True)
         ok = sized(found.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("ok")), 64)
         done = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(ok, ["x", "y"], "left")
-        rest = written(done.where("ok is null").select("key", F.col("b").alias("rep"), "n"), "buckets")
+        rest = written(done.where("ok is null").select("key", F.col("b").alias("rep"), "n"), "buckets", thin=True)
         used.append(rest)
     labels = components(links)
-    marked = written(_labelled(bucketed, "rep", labels), "buckets")
-    split = written(marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"), "keys")
+    marked = written(_labelled(bucketed, "rep", labels), "buckets", thin=True)
+    split = written(marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"), "keys", thin=True)
     more = written(_across(marked.join(sized(split, 48), "key").select("key", "rep", "n", "label"), seqs), "verified")
     if not more.isEmpty():
         labels = components(links.union(more).union(labels.toDF("a", "b")))
@@ -293,8 +293,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     the one of the smallest digest of all its columns stays."""
     classes = near_duplicates(docs)
     leads = F.col("doc").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
-    others = written(classes.where(~leads).select("doc", "digest").distinct(), "others")
-    repeated = written(classes.where(leads).groupBy("doc", "digest").count().where("count > 1").select("doc", "digest"), "repeated")
+    others = written(classes.where(~leads).select("doc", "digest").distinct(), "others", thin=True)
+    repeated = written(classes.where(leads).groupBy("doc", "digest").count().where("count > 1").select("doc", "digest"), "repeated", thin=True)
     kept = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("digest"))
     out = own.join(sized(others, 64), ["doc", "digest"], "left_anti")
