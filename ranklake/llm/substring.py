@@ -42,12 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .exchange import PACKED, decode, encode, exchange, gather, groups, packed, partitions, small, squeezed, tidy, unsqueezed, written
+from .exchange import PACKED, decode, dropped, encode, exchange, gather, groups, packed, partitions, small, squeezed, tidy, unsqueezed, written
 
 U64 = np.uint64
 SLICE = 2 << 20
 FLUSH = 12 << 20
 NO_ID = -(1 << 63)
+#: Occurrences from which a fingerprint may outweigh its partition.
+HOT = 1 << 18
 
 _FINGER = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4"), ("known", "<i4")])
 _SPOT = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("pos", "<i4")])
@@ -110,7 +112,8 @@ def flushed(parts: Iterator[np.ndarray], combine) -> Iterator[tuple[np.ndarray,
 
 def combine_local(records: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal keys only the records of the smallest document go to the key's partition. The others are settled
-    (known = 1: repeated in a smaller document) and pass through any partition; known = 2 says that such exist."""
+    (known = 1: repeated in a smaller document) and pass through any partition; known = 2 or more says that such exist,
+    and in the group's first record, how many more than 2 it is says how many."""
     order, starts = groups(keys)
     records, keys = records[order], keys[order]
     counts = np.diff(np.append(starts, len(records)))
@@ -118,12 +121,15 @@ def combine_local(records: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np
     later = records["doc"] > low
     shared = np.repeat(np.logical_or.reduceat(later, starts), counts)
     records["known"] = np.where(later, 1, np.where(shared, 2, 0))
+    least = np.flatnonzero(~later)
+    records["known"][least[np.searchsorted(least, starts)]] += np.add.reduceat(later, starts, dtype=np.int32)
     spread = S.mix(np.arange(len(records), dtype=U64) + keys[:1])
     return records, np.where(later, spread, keys)
 
 
-def shared_spots(records: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """Packed places of the fingerprints that start in two or more documents."""
+def shared_spots(records: np.ndarray, n: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Packed places of the fingerprints that start in two or more documents; and with the part -1 those that occur at least
+    ``hot`` times and make up an eighth of their partition or more."""
     settled = records["known"] == 1
     keep = [records[settled]]
     if not settled.all():
@@ -132,7 +138,12 @@ def shared_spots(records: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
         open_ = open_[order]
         counts = np.diff(np.append(starts, len(open_)))
         shared = np.minimum.reduceat(open_["doc"], starts) < np.maximum.reduceat(open_["doc"], starts)
-        keep.append(open_[np.repeat(shared, counts) | (open_["known"] == 2)])
+        keep.append(open_[np.repeat(shared, counts) | (open_["known"] >= 2)])
+        often = counts + np.add.reduceat(np.maximum(open_["known"].astype(np.int64) - 2, 0), starts)
+        top = np.flatnonzero((often >= hot) & (8 * often >= often.sum()))
+        if len(top):
+            marks = [open_["hash"][starts[i]].tobytes() for i in top]
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(top), pa.int32()), pa.array(marks, pa.binary())], names=["part", "payload"])
     found = np.concatenate(keep)
     out = np.empty(len(found), _SPOT)
     for c in _SPOT.names:
@@ -143,8 +154,9 @@ def shared_spots(records: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
         yield blobs
 
 
-def spots_of(docs: DataFrame, mapper) -> DataFrame:
-    """(doc, rid, spots) of the shared fingerprints that mapper yields."""
+def spots_of(docs: DataFrame, mapper, hot: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc, rid, spots) of the shared fingerprints that mapper yields, and the hot ones, at most eight a partition, by
+    their upper six bytes."""
     n = partitions(docs.sparkSession)
 
     def combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +164,19 @@ def spots_of(docs: DataFrame, mapper) -> DataFrame:
         order = np.lexsort((records["pos"], records["rid"], records["doc"]))
         return records[order], keys[order]
 
-    found = exchange(docs, lambda batches, n: flushed(mapper(batches), combine), _FINGER, lambda x: shared_spots(x, n), PACKED)
-    return gather(found, _SPOT, spot_lists, "doc long, rid long, spots array<int>")
+    found = written(exchange(docs, lambda batches, n: flushed(mapper(batches), combine), _FINGER, lambda x: shared_spots(x, n, hot), PACKED), "fingers")
+    marks = np.array([int.from_bytes(r["payload"], "little") for r in found.where("part < 0").collect()], U64) >> U64(16)
+    spots = written(gather(found.where("part >= 0"), _SPOT, spot_lists, "doc long, rid long, spots array<int>"), "spots")
+    dropped(docs.sparkSession, [found])
+    return spots, marks
 
 
-def screen(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc, rid, spots): word places whose fingerprint starts in two or more documents."""
+def is_hot(fingers: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return np.isin(fingers >> U64(16), hot) if len(hot) else np.zeros(len(fingers), bool)
+
+
+def screen(docs: DataFrame, window: int, gram: int, hot: int = HOT) -> tuple[DataFrame, np.ndarray]:
+    """(doc, rid, spots): word places whose fingerprint starts in two or more documents; and the hot fingerprints."""
     reach = window - gram + 1
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -173,7 +192,7 @@ def screen(docs: DataFrame, window: int, gram: int) -> DataFrame:
             out["hash"], out["doc"], out["rid"], out["pos"] = h[at], doc[owner[at]], column(part, "rid")[owner[at]], at - first[owner[at]]
             yield out
 
-    return spots_of(docs, mapper)
+    return spots_of(docs, mapper, hot)
 
 
 def distinct(records: np.ndarray) -> np.ndarray:
@@ -253,8 +272,8 @@ def combined_edges(x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x[order], S.mix(home[order]), covers
 
 
-def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
-    """Repeated edges and covered places.
+def edges(marked: DataFrame, window: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """Repeated edges and covered places. Edges meet by their smallest short gram, or if that is hot, by their nodes.
 
     Rows with a left node are repeated edges with their source; rows with a part hold packed runs of
     covered windows, for ``gather`` to bring to their documents.
@@ -281,7 +300,7 @@ def edges(marked: DataFrame, window: int, gram: int) -> DataFrame:
             out = np.zeros(len(at), _EDGE)
             out["left"], out["right"] = nodes[at], nodes[at + 1]
             out["doc"], out["pos"], out["rid"] = doc[owner], at - first[owner], column(part, "rid")[owner]
-            yield out, home[at]
+            yield out, np.where(is_hot(home[at], hot), S.mix(nodes[at] * U64(3) + nodes[at + 1]), home[at])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -592,11 +611,11 @@ def refuted(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*cols, pa.array(proof, pa.binary())], names=["sdoc", "srid", "spos", "length", "proof"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, keep_text: bool = True, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc, n_words, n_removed, n_paths, kept_text, kept_sha256) of every row, and the repeated paths by their runs."""
     rows = told_apart(keyed(docs))
-    spots = written(screen(rows, window, gram), "spots")
-    found = written(edges(squeezed(rows, "rid").join(spots, ["doc", "rid"]), window, gram), "edges")
+    spots, marks = screen(rows, window, gram, hot)
+    found = written(edges(squeezed(rows, "rid").join(spots, ["doc", "rid"]), window, gram, marks), "edges")
     compacted = paths(found.where("left is not null"))
     covered = written(gather(found.where("part is not null").select("part", "payload"), _COVER, run_lists, RUNS), "covered")
     wants = written(asked(covered, compacted), "wants")

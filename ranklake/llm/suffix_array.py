@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import spans as S
 from .exchange import PACKED, decode, encode, gather, groups, packed, partitions, squeezed, tidy, unsqueezed, written
-from .substring import _FINGER, NO_ID, column, combine_local, keyed, own_minimum, pieces, row_key, row_starts, spots_of, told_apart
+from .substring import _FINGER, HOT, NO_ID, column, combine_local, is_hot, keyed, own_minimum, pieces, row_key, row_starts, spots_of, told_apart
 
 U64 = np.uint64
 LENGTH, GRAM = 50, 24
@@ -177,8 +177,8 @@ def _gram_hashes(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return h
 
 
-def screen(docs: DataFrame) -> DataFrame:
-    """(doc, rid, spots): byte places whose fingerprint starts in two or more documents."""
+def screen(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, np.ndarray]:
+    """(doc, rid, spots): byte places whose fingerprint starts in two or more documents; and the hot fingerprints."""
     top = U64(2**64 - 1)
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -195,7 +195,7 @@ def screen(docs: DataFrame) -> DataFrame:
             out["hash"], out["doc"], out["rid"], out["pos"] = S.mix(h[at]), doc[owner], column(part, "rid")[owner], at - offsets[owner]
             yield out
 
-    return spots_of(docs, mapper)
+    return spots_of(docs, mapper, hot)
 
 
 def _inside(offsets: np.ndarray, n: int) -> np.ndarray:
@@ -208,8 +208,9 @@ def _inside(offsets: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _stretches(part: pa.RecordBatch, doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Runs of windows that may repeat and share their smallest gram; ``at`` is their place in ``data``."""
+def _stretches(part: pa.RecordBatch, doc: np.ndarray, data: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Runs of windows that may repeat and share their smallest gram; ``at`` is their place in ``data``. Around a hot gram
+    each window stands alone, and its home follows from all its bytes."""
     if len(data) < LENGTH:
         return np.zeros(0, _STRETCH)
     sums = S.prefix(data)
@@ -223,8 +224,11 @@ def _stretches(part: pa.RecordBatch, doc: np.ndarray, data: np.ndarray, offsets:
         return np.zeros(0, _STRETCH)
     owner = np.searchsorted(offsets, at, "right") - 1
     home = low[at]
+    alone = is_hot(S.mix(home), hot)
+    if alone.any():
+        home = np.where(alone, S.mix(S.range_hash(sums, at, at + LENGTH)), home)
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (home[1:] != home[:-1]) | (owner[1:] != owner[:-1])
+    new[1:] = (at[1:] != at[:-1] + 1) | (home[1:] != home[:-1]) | (owner[1:] != owner[:-1]) | alone[1:]
     first = np.flatnonzero(new)
     out = np.zeros(len(first), _STRETCH)
     out["length"] = np.diff(np.append(first, len(at)))
@@ -385,7 +389,7 @@ def run_lists(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x["doc"][cut]), pa.array(x["rid"][cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(x)).astype(np.int32)), run)], names=["doc", "rid", "runs"])
 
 
-def covered(marked: DataFrame) -> DataFrame:
+def covered(marked: DataFrame, hot: np.ndarray) -> DataFrame:
     """(doc, rid, runs): for each document the runs (pos, length) of windows that also start in a smaller one."""
     n = partitions(marked.sparkSession)
 
@@ -401,7 +405,7 @@ def covered(marked: DataFrame) -> DataFrame:
                 yield from _pack_stretches(records, text, n)
 
         for part, doc, data, offsets in _sliced(unsqueezed(batches)):
-            x = _stretches(part, doc, data, offsets)
+            x = _stretches(part, doc, data, offsets, hot)
             x["at"] += size
             held.append(x)
             texts.append(data)
@@ -433,11 +437,11 @@ def covered(marked: DataFrame) -> DataFrame:
     return gather(moved, COVER, run_lists, RUNS)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, text, runs): compressed texts with their covered runs."""
     rows = told_apart(keyed(docs))
-    spots = written(screen(rows), "spots")
-    runs = written(covered(squeezed(rows, "rid").join(spots, ["doc", "rid"])), "covered")
+    spots, marks = screen(rows, hot)
+    runs = written(covered(squeezed(rows, "rid").join(spots, ["doc", "rid"]), marks), "covered")
     return squeezed(rows, "rid").join(runs, ["doc", "rid"], "left")
 
 

@@ -157,3 +157,22 @@ def test_rows_without_an_id_are_rows_of_their_own(spark):
     size = len(text[0])
     got = sorted((r.doc, r.n_removed) for r in suffix_array.digests(suffix_array.remove_repeats(df)).collect())
     assert [x for x in got if x[0] != 5] == [(suffix_array.NO_ID, 0)] * 8 + [(6, size)] * 2 and all(n >= 300 for d, n in got if d == 5)
+
+
+@pytest.mark.parametrize("hot", [1, 30])
+def test_hot_grams_are_split(spark, corpus, hot):
+    """A gram in very many different surroundings: its windows meet by all their bytes or words, and nothing is lost."""
+    r = np.random.default_rng(4)
+    word = lambda: "w" + str(r.integers(0, 10**7))
+    phrase = "all rights of this kind are reserved by us"
+    texts = [f"{' '.join(word() for _ in range(9))} {phrase} {' '.join(word() for _ in range(9))}" for _ in range(300)]
+    texts += [texts[7] + " tail", "head " + texts[9], texts[11]] + [t for t in corpus if len(t or "") < 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert len(substring.screen(substring.told_apart(substring.keyed(df)), 13, 5, hot)[1]) >= 1
+    assert len(suffix_array.screen(substring.told_apart(substring.keyed(df)), hot)[1]) >= (hot == 1)
+    got = {x.doc: (x.n_words, x.n_removed) for x in substring.remove_repeats(df, hot=hot)[0].collect()}
+    items = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)]
+    assert got == {i: v[:2] for i, v in brute(items, 13, tuple).items()}
+    got = {x.doc: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_array.digests(suffix_array.remove_repeats(df, hot)).collect()}
+    items = [(i, (t or "").encode()) for i, t in enumerate(texts)]
+    assert got == {i: v[:3] for i, v in brute(items, 50, bytes).items()}
