@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -322,8 +323,6 @@ def support_cells(spark: SparkSession, d: str) -> DataFrame:
 @query("e32_plane", f"WITH {_E} SELECT vec_id, round(e[1], 6) AS x, round(e[2], 6) AS y FROM e")
 def plane(spark: SparkSession, d: str) -> DataFrame:
     """Coordinates in the plane of two directions that are not orthogonal: the second keeps what the first lacks."""
-    import numpy as np
-
     a, b = np.zeros(64), np.zeros(64)
     a[0], b[0], b[1] = 2, 1, 3
     basis = La.plane(a, b)
@@ -371,8 +370,10 @@ def coordinate_bridge(spark: SparkSession, d: str) -> DataFrame:
 @query("e31_feedback", "SELECT n_nationkey, 0.25 * (1 - pow(0.5, 5)) + 0.5 AS x FROM nation")
 def feedback(spark: SparkSession, d: str) -> DataFrame:
     """Five rounds of steering by halves towards a target, with a scorer that reads the state back: each leaves half the way."""
-    bridge = {"coordinate_mean": [0.5, 0.5], "state_mean": [0.5, 0.5], "directions": [[1.0, 0.0], [0.0, 1.0]]}
-    steps = La.feedback([0.5, 0.5], [0.75, 0.5], {k: __import__("numpy").array(v) for k, v in bridge.items()}, lambda s: ",".join(f"{v:.12f}" for v in s), lambda t: [float(v) for v in t.split(",")], lambda t: True, close=0.0)
+    bridge = {"coordinate_mean": np.full(2, 0.5), "state_mean": np.full(2, 0.5), "directions": np.eye(2)}
+    render = lambda state: ",".join(f"{v:.12f}" for v in state)
+    score = lambda text: [float(v) for v in text.split(",")]
+    steps = La.feedback([0.5, 0.5], [0.75, 0.5], bridge, render, score, lambda text: True, close=0.0)
     return table(spark, d, "nation").select("n_nationkey", F.lit(steps[-1]["x"]).alias("x"))
 
 
