@@ -165,35 +165,92 @@ def grid_selection(grid: Sequence[Sequence[Sequence[dict]]], tolerance: float =
     """One candidate for each cell of a grid (rows of cells of candidates) at the least total cost, exactly, or None.
 
     A candidate has ``cost``, ``x``, ``y`` and maybe ``vector``. x may not fall along a row, y not from row to row, by more
-    than the tolerance, and the vectors of neighbours lie within ``most_distance``. A dynamic program goes cell by cell and
-    keeps the best cost of each choice of the last row's worth of cells; its memory is their number of candidates,
-    multiplied, so rows are to be the short side.
+    than the tolerance, and the vectors of neighbours lie within ``most_distance``. Candidates without a finite cost are
+    never taken. The cheapest candidates of the cells are tried first: a path that costs d more than the sum of the cells'
+    least costs proves that no candidate which costs over d more than its cell's least is in a better one, so only those
+    within d are looked at again. Where the rules leave no cheap path, this comes to all candidates.
     """
     import numpy as np
 
-    def allowed(a: Sequence[dict], b: Sequence[dict], axis: str) -> np.ndarray:
-        x = lambda cell: np.array([c[axis] for c in cell], float)
-        bad = x(b)[None, :] + tolerance < x(a)[:, None]
-        if most_distance is not None:
-            v = lambda cell: np.array([c["vector"] for c in cell], float)
-            bad |= np.linalg.norm(v(a)[:, None, :] - v(b)[None, :, :], axis=2) > most_distance
-        return np.where(bad, np.inf, 0.0)
-
-    width = len(grid[0])
     cells = [cell for row in grid for cell in row]
+    costs = [np.array([c["cost"] for c in cell], float) for cell in cells]
+    sizes = [int(np.isfinite(c).sum()) for c in costs]
+    if not sizes or not min(sizes):
+        return None
+    least = [float(c[np.isfinite(c)].min()) for c in costs]
+    more = [np.where(np.isfinite(c), c - m, np.inf) for c, m in zip(costs, least, strict=True)]
+    n, limit = 32, -1.0
+    while True:
+        if limit < 0:
+            large = [float(np.partition(m, n - 1)[n - 1]) for m, size in zip(more, sizes, strict=True) if size > n]
+            limit = min(large, default=np.inf)
+        at = [np.flatnonzero(np.isfinite(m) & (m <= limit)) for m in more]
+        took = _grid_path([[cell[i] for i in ix] for cell, ix in zip(cells, at, strict=True)], len(grid[0]), tolerance, most_distance)
+        whole = all(len(ix) == size for ix, size in zip(at, sizes, strict=True))
+        if took is None:
+            if whole:
+                return None
+            n, limit = n * 4, -1.0
+            continue
+        path = [int(ix[i]) for ix, i in zip(at, took, strict=True)]
+        over = path_excess([float(c[i]) for c, i in zip(costs, path, strict=True)], least)
+        if whole or over <= limit:
+            return [cell[i] for cell, i in zip(cells, path, strict=True)]
+        limit = over
+
+
+def path_excess(costs: Sequence[float], least: Sequence[float]) -> float:
+    """By how much a path costs more than the cells' least costs together, and a little for the rounding of sums."""
+    return sum(costs) - sum(least) + 1e-9 * (sum(map(abs, costs)) + sum(map(abs, least)))
+
+
+def _grid_path(cells: Sequence[Sequence[dict]], width: int, tolerance: float, most_distance: float | None) -> list[int] | None:
+    """The places of the cheapest path's candidates in their cells, which lie row by row.
+
+    A dynamic program goes cell by cell and keeps the best cost of each choice of the last row's worth of cells; its memory
+    is their number of candidates, multiplied, so rows are to be the short side.
+    """
+    import numpy as np
+
+    axis = lambda cell, name: np.array([c[name] for c in cell], float)
+    vectors = [None if most_distance is None else axis(cell, "vector") for cell in cells]
+
+    def far(k: int, m: int, j: int) -> np.ndarray | bool:
+        """The candidates of cell k whose vectors are too far from the j-th one's of cell m."""
+        return most_distance is not None and np.linalg.norm(vectors[k] - vectors[m][j], axis=1) > most_distance
+
+    def after(best: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each choice of the cells after k and of m below it the least cost over k's candidates, and which one has it."""
+        upper, lower = axis(cells[k], "y"), axis(cells[m], "y") + tolerance
+        upper[np.isnan(upper)], lower[np.isnan(lower)] = -np.inf, np.inf
+        total, who = np.empty((*best.shape[1:], len(lower))), np.empty((*best.shape[1:], len(lower)), np.int32)
+        low, first = np.full(best.shape[1:], np.inf), np.zeros(best.shape[1:], np.int32)
+        order, at = np.argsort(upper, kind="stable"), 0
+        for j in np.argsort(lower, kind="stable"):
+            if most_distance is not None:
+                ix = np.flatnonzero((upper <= lower[j]) & ~far(k, m, j))
+                low, first = (best[ix].min(axis=0), ix[best[ix].argmin(axis=0)]) if len(ix) else (np.inf, 0)
+            while most_distance is None and at < len(order) and upper[order[at]] <= lower[j]:
+                i = order[at]
+                better = (best[i] < low) | ((best[i] == low) & (i < first))
+                low, first, at = np.where(better, best[i], low), np.where(better, i, first), at + 1
+            total[..., j], who[..., j] = low, first
+        return total, who
+
     best, back = np.zeros(()), []
     for k, cell in enumerate(cells):
-        own = np.array([c["cost"] for c in cell], float)
-        total = best[..., None] + own
+        if k < width:
+            total = best[..., None] + axis(cell, "cost")
+        else:  # the oldest cell of the last row's worth leaves
+            total, who = after(best, k - width, k)
+            total += axis(cell, "cost")
+            back.append(who)
         if k % width:
-            total = total + allowed(cells[k - 1], cell, "x")
-        if k >= width:  # the oldest cell of the last row's worth leaves
-            above = allowed(cells[k - width], cell, "y")
-            total = total + above.reshape(above.shape[0], *[1] * (total.ndim - 2), above.shape[1])
-            back.append(total.argmin(axis=0))
-            total = total.min(axis=0)
+            left, right = axis(cells[k - 1], "x"), axis(cell, "x") + tolerance
+            for j in range(len(cell)):
+                total[..., (right[j] < left) | far(k - 1, k, j), j] = np.inf
         best = total
-    if not len(cells) or not np.isfinite(best).any():
+    if not np.isfinite(best).any():
         return None
     tail = list(np.unravel_index(int(best.argmin()), best.shape))
     chosen = tail[:]
@@ -201,7 +258,7 @@ def grid_selection(grid: Sequence[Sequence[Sequence[dict]]], tolerance: float =
         first = int(came[tuple(tail)])
         tail = [first, *tail[:-1]]
         chosen = [first, *chosen]
-    return [cell[i] for cell, i in zip(cells, chosen, strict=True)]
+    return [int(i) for i in chosen]
 
 
 def population_paths(styles: dict, tolerance: float = 0.0, most_distance: float | None = None) -> dict:

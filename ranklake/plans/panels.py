@@ -386,20 +386,33 @@ def jitter(spark: SparkSession, d: str) -> DataFrame:
 def population_paths(spark: SparkSession, d: str) -> DataFrame:
     """For each label a grid of two by three cells, each filled by one of its vectors at the least total cost, first entries
     rising along rows and second ones from row to row. Styles are independent here, as no vector has two labels."""
-    rows = vectors(spark, d).select("label", "vec_id", "first", F.get("embedding", F.lit(1)).cast("double").alias("second"))
+    import pandas as pd
 
-    def pick(key, group):
-        import pandas as pd
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.asc_nulls_last("vec_id"), "first", "second")) - 1
+    rows = vectors(spark, d).select("label", "vec_id", "first", F.get("embedding", F.lit(1)).cast("double").alias("second")).withColumn("turn", turn).withColumn("cell", F.col("turn") % 6)
+    i, j = F.floor(F.col("cell") / 2), F.col("cell") % 2
+    rows = rows.withColumn("cost", F.abs(F.col("first") - (j - 0.5)) + F.abs(F.col("second") - (i - 1) / 2)).where(F.col("cost") < float("inf"))
 
-        group = group.sort_values("vec_id").reset_index(drop=True)
+    def best(group):
         grid = [[[], []] for _ in range(3)]
-        for k, r in enumerate(group.itertuples()):
-            i, j = k % 6 // 2, k % 2
-            grid[i][j].append({"id": r.vec_id, "hash": r.vec_id, "x": r.first, "y": r.second, "cost": abs(r.first - (j - 0.5)) + abs(r.second - (i - 1) / 2)})
-        chosen = S.population_paths({key[0]: grid})[key[0]] or []
+        for r in group.sort_values("turn").itertuples():
+            grid[r.cell // 2][r.cell % 2].append({"id": r.vec_id, "hash": r.turn, "x": r.first, "y": r.second, "cost": r.cost})
+        return S.population_paths({0: grid})[0] or []
+
+    def bounds(key, group):
+        least, chosen = group.groupby("cell")["cost"].min(), best(group)
+        over = S.path_excess([c["cost"] for c in chosen], least.tolist()) if chosen else np.inf
+        return pd.DataFrame({"of": [key[0]] * len(least), "at": least.index, "least": least.to_numpy(), "over": over})
+
+    def pick(key, group):
+        chosen = best(group)
         return pd.DataFrame({"label": [key[0]] * len(chosen), "place": list(range(len(chosen))), "vec_id": [c["id"] for c in chosen], "cost": [round(c["cost"], 6) for c in chosen]})
 
-    return rows.groupBy("label").applyInPandas(pick, "label int, place int, vec_id long, cost double")
+    # a path of each cell's 32 cheapest bounds what a vector of the best path may cost, so no label's vectors are gathered
+    cheap = rows.withColumn("n", F.row_number().over(Window.partitionBy("label", "cell").orderBy("cost", "turn"))).where("n <= 32").drop("n")
+    bound = cheap.groupBy("label").applyInPandas(bounds, "of int, at int, least double, over double")
+    near = rows.join(bound, F.col("label").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at"))).where("cost - least <= over")
+    return near.select(*rows.columns).groupBy("label").applyInPandas(pick, "label int, place int, vec_id long, cost double")
 
 
 # ---- resumable writes and the user's own functions --------------------------------

@@ -260,6 +260,52 @@ def test_grid_selection_equals_all_choices():
             assert sum(c["cost"] for c in got) == best
 
 
+def test_grid_selection_of_large_cells_holds_no_cube():
+    """1,700 candidates a cell: one array over three cells has 39 GB."""
+    r = np.random.default_rng(12)
+    draw = lambda: [{"x": float(x), "y": float(y), "cost": float(c), "hash": 0} for x, y, c in zip(r.normal(size=1700), r.normal(size=1700), r.uniform(size=1700), strict=True)]
+    grid = [[draw(), draw()] for _ in range(3)]
+    got = S.grid_selection(grid)
+    assert all(got[2 * i]["x"] <= got[2 * i + 1]["x"] for i in range(3)) and all(got[k]["y"] <= got[k + 2]["y"] for k in range(4))
+    few = [[sorted(cell, key=lambda c: c["cost"])[:20] for cell in row] for row in grid]
+    assert sum(c["cost"] for c in got) <= sum(c["cost"] for c in S.grid_selection(few))
+
+
+def test_grid_selection_looks_at_dear_candidates_where_it_must():
+    cheap = [{"x": 1.0, "y": 1.0, "cost": float(k), "hash": k} for k in range(200)]
+    low = [{"x": 0.0, "y": 0.0, "cost": float(k), "hash": k} for k in range(200)]
+    dear = {"x": 2.0, "y": 2.0, "cost": 500.0, "hash": -1}
+    got = S.grid_selection([[cheap, [*low, dear]], [cheap, [*low, dear]]])
+    assert [c["cost"] for c in got] == [0.0, 500.0, 0.0, 500.0]
+    assert S.grid_selection([[cheap, low]]) is None and S.grid_selection([[[{**dear, "cost": float("nan")}]]]) is None
+
+
+def test_population_paths_of_more_vectors(spark, sf, tmp_path):
+    """Nine copies with other ids and slightly other entries, and rows without a vector: a label has 76 vectors a cell and
+    more, and each path is the best of all choices that a loop over pairs finds."""
+    r = np.random.default_rng(13)
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    many = [(v.vec_id + 1000 * k, v.label, [float(e) for e in np.float32(np.array(v.embedding[:3]) + 0.1 * r.normal(size=3))] if v.vec_id % 97 else None) for k in range(9) for v in rows]
+    spark.createDataFrame(many, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got: dict = {}
+    for x in Q["t15_population_paths"](spark, str(tmp_path)).collect():
+        got.setdefault(x.label, {})[x.place] = x
+    for label, p in got.items():
+        cells: list = [[] for _ in range(6)]
+        for k, (i, _, e) in enumerate(sorted(v for v in many if v[1] == label)):
+            if e:
+                cells[k % 6].append((abs(e[0] - (k % 2 - 0.5)) + abs(e[1] - (k % 6 // 2 - 1) / 2), e[0], e[1], i))
+        pairs = [[(a, b, a[0] + b[0]) for a in cells[2 * i] for b in cells[2 * i + 1] if a[1] <= b[1]] for i in range(3)]
+        costs, ys, zs = zip(*[np.array([(c, a[2], b[2]) for a, b, c in row]).T for row in pairs], strict=True)
+        total = costs[0]
+        for i in (1, 2):
+            total = costs[i] + np.array([np.min(total, where=(ys[i - 1] <= y) & (zs[i - 1] <= z), initial=np.inf) for y, z in zip(ys[i], zs[i], strict=True)])
+        ids = {c[3] for c in sum(cells, [])}
+        assert sorted(p) == list(range(6)) and {x.vec_id for x in p.values()} <= ids
+        assert sum(x.cost for x in p.values()) == pytest.approx(total.min(), abs=1e-5)
+    assert len(got) == len({v.label for v in rows})
+
+
 def test_later_styles_take_other_texts():
     cell = [{"x": 0.0, "y": 0.0, "cost": float(i), "hash": i} for i in range(3)]
     got = S.population_paths({2: [[cell]], 1: [[cell]]})
