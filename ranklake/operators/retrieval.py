@@ -7,8 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..functions.arrays import cosine
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def bm25(docs: DataFrame, queries: DataFrame, group: str, key: str, text: str, terms: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, most_tokens: int = 5000, most_groups: int = 100_000) -> DataFrame:
@@ -37,18 +36,125 @@ def bm25(docs: DataFrame, queries: DataFrame, group: str, key: str, text: str, t
     return scored.select(group, key, total.alias("bm25"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, keys: list[str], vector: str, chunk_vector: str, text: str, order: str, k: int = 3, separator: str = " --- ") -> DataFrame:
-    """For each query the joined texts of its k most similar chunks under the same keys; empty where there are none."""
-    names = queries.columns
+def retrieve(queries: DataFrame, chunks: DataFrame, keys: list[str], vector: str, chunk_vector: str, text: str, order: str, k: int = 3, separator: str = " --- ", block: int = 8192, most_groups: int = 100_000) -> DataFrame:
+    """For each query the joined texts of its k most similar chunks under the same keys; empty where there are none.
+
+    The queries and the chunks of a key are dealt into blocks of about ``block`` rows. Each pair of blocks is compared by
+    one matrix product, of which only the k best chunks of each query leave the task; scores, and places of equal ones by
+    ``order``, are those of ``cosine`` row by row.
+    """
+    ids = [c for c in queries.columns if c != vector]
     other = chunks.select(*keys, F.col(chunk_vector).alias("__v"), F.col(text).alias("__text"), F.col(order).alias("__order"))
-    scored = queries.join(other, keys).withColumn("__s", cosine(F.col(vector), F.col("__v")))
-    ids = [c for c in names if c != vector]
+    blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    sizes = blocks(queries, "__nq").join(blocks(other, "__nc"), keys)
+    # one row a key: broadcast after a count, so that vectors are shuffled once
+    if sizes.limit(most_groups + 1).count() <= most_groups:
+        sizes = F.broadcast(sizes)
+    dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = queries.join(sizes, keys).withColumn("__a", dealt(queries, "__nq")).withColumn("__b", every("__nc")).select(*queries.columns, "__a", "__b")
+    held = other.join(sizes, keys).withColumn("__b", dealt(other, "__nc")).withColumn("__a", every("__nq"))
+    held = held.select(*[F.col(c).alias(f"__of_{c}") for c in keys], "__v", "__text", "__order", "__a", "__b")  # names of its own, as both sides may come of one table
+    fields = [*(queries.schema[c] for c in ids), StructField("__s", DoubleType()), other.schema["__text"], other.schema["__order"]]
+    of = held.groupBy(*[f"__of_{c}" for c in keys], "__a", "__b")
+    scored = asked.groupBy(*keys, "__a", "__b").cogroup(of).applyInArrow(_block_best(ids, vector, k), StructType(fields))
     w = Window.partitionBy(*ids).orderBy(F.desc("__s"), "__order")
     top = scored.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k)
     joined = top.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("__n", "__text"))).alias("__l")).select(*ids, F.array_join(F.transform("__l", lambda x: x["__text"]), separator).alias("passage"))
     return queries.select(*ids).join(joined, ids, "left").withColumn("passage", F.coalesce("passage", F.lit("")))
 
 
+def _block_best(ids: list[str], vector: str, k: int):
+    """A map function from a block of queries and one of chunks to each query's k best chunks."""
+
+    def best(left, right):
+        import pyarrow.compute as pc
+
+        if left.num_rows and right.num_rows:
+            right = right.take(pc.sort_indices(right, sort_keys=[("__order", "ascending")], null_placement="at_start"))
+            which, item, score = _closest(left.column(vector), right.column("__v"), k)
+        else:
+            which, item, score = [[], [], []]
+        return _rows(left.select(ids), right.select(["__text", "__order"]), which, item, score)
+
+    return best
+
+
+def _rows(left, right, which, item, score):
+    import pyarrow as pa
+
+    a, b = left.take(pa.array(which, pa.int64())), right.take(pa.array(item, pa.int64()))
+    return pa.table([*a.columns, pa.array(score, pa.float64()), *b.columns], names=[*a.column_names, "__s", *b.column_names])
+
+
+def _by_length(lists) -> dict:
+    """Rows and matrix of an Arrow column's vectors of each length; empty ones and those with a null have no score but 0."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    a = pa.concat_arrays(lists.chunks)
+    sizes = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(a)
+    if flat.null_count:
+        sizes[pc.list_parent_indices(a).to_numpy(zero_copy_only=False)[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = 0
+    out = {}
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == n)
+        out[n] = rows, pc.cast(pc.list_flatten(a.take(pa.array(rows))), pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
+
+
+def _closest(queries, items, k: int, cells: int = 1 << 22):
+    """Places of queries, places of their k nearest items and cosines, ties by the items' places, as ``cosine`` counts them.
+
+    A matrix product, whose sums have another order, only screens: what it puts within 1e-9 of the k-th best, and all
+    vectors of extreme length, is summed again entry by entry. Of equal vectors the first k are enough.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def norm(m):
+        total = np.zeros(len(m))
+        for i in range(m.shape[1]):
+            total += m[:, i] * m[:, i]
+        return np.sqrt(total)
+
+    asked, held = _by_length(queries), _by_length(items)
+    rest = np.setdiff1d(np.arange(len(queries)), np.concatenate([np.empty(0, np.int64), *(rows for rows, _ in asked.values())]))
+    found = [(np.repeat(rest, min(k, len(items))), np.tile(np.arange(min(k, len(items))), len(rest)), np.zeros(len(rest) * min(k, len(items))))]
+    for n, (rows, q) in asked.items():
+        at, x = held.get(n, (np.empty(0, np.int64), np.empty((0, n))))
+        other = np.setdiff1d(np.arange(len(items)), at)[:k]  # their cosine is 0
+        copy = pd.Series([v.tobytes() for v in x], dtype=object)
+        first = copy.groupby(copy).cumcount().to_numpy() < k
+        at, x = at[first], x[first]
+        nq, nx = norm(q), norm(x)
+        plain = lambda m: (m > 1e-100) & (m < 1e100)
+        known = np.flatnonzero(plain(nx))
+        step = max(1, cells // max(1, len(x)))
+        for lo in range(0, len(q), step):
+            part = slice(lo, lo + step)
+            near = np.ones((len(q[part]), len(x)), bool)
+            if len(known) > k:
+                s = (q[part] @ x[known].T) / (nq[part, None] * nx[known])
+                near[:, known] = s >= np.partition(s, len(known) - k, axis=1)[:, len(known) - k, None] - 1e-9
+                near[~plain(nq[part])] = True
+            i, j = np.nonzero(near)
+            dot = np.zeros(len(i))
+            for d in range(n):
+                dot += q[part][i, d] * x[j, d]
+            size = nq[part][i] * nx[j]
+            score = np.where(size == 0, 0.0, dot / np.where(size == 0, 1.0, size))
+            m = len(q[part])
+            i, j, score = np.concatenate([i, np.repeat(np.arange(m), len(other))]), np.concatenate([at[j], np.tile(other, m)]), np.concatenate([score, np.zeros(m * len(other))])
+            by = np.lexsort((j, np.where(np.isnan(score), -np.inf, -score), i))
+            i, j, score = i[by], j[by], score[by]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append((rows[part][i[top]], j[top], score[top]))
+    return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+
 def nearest(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """The k most similar items of each query, exact, with the queries in blocks.
 

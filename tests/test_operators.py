@@ -7,6 +7,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ranklake.functions import arrays as A
@@ -219,6 +220,40 @@ def test_nearest_equals_brute_force(spark):
         assert [got[q, k] for k in (1, 2, 3)] == np.argsort(-(u @ u[q]))[:3].tolist()
 
 
+@pytest.mark.parametrize("block", [5, 8192])
+def test_retrieve_by_blocks_equals_all_pairs(spark, block):
+    """Copies, equal scores, vectors without a score, of other lengths, not a number or next to zero, keys without chunks or
+    null: the same passages as a score for each pair, but no pair is a row of the plan."""
+    r = np.random.default_rng(14)
+    base = r.normal(size=(12, 4)).tolist()
+    odd = [None, [], [0.0] * 4, [1.0, None, 2.0, 3.0], [1.0, 2.0], [2.0, 1.0], [float("nan"), 1.0, 1.0, 1.0], [1e-162, 2e-162, -1e-162, 1e-162], [1e160] * 4, [float("inf"), 1.0, 0.0, 0.0], [1e-200] * 4]
+    draw = lambda: odd[int(r.integers(len(odd)))] if r.random() < 0.25 else [v * float(r.choice([1, 1, 1, 2, -1])) for v in base[int(r.integers(12))]]
+    chunks = [(key, f"t{i}", i if i % 9 else None, draw()) for i, key in enumerate(r.choice(["a", "b", "c"], 240).tolist())]
+    chunks = [*((k, t, o, v) for k, t, o, v in chunks if o is not None), ("a", "first", None, base[0]), (None, "lost", 1000, base[0])]
+    asked = [(i, key, draw()) for i, key in enumerate(r.choice(["a", "b", "none"], 60).tolist())] + [(100, None, base[0])] + [(200 + i, "c", v) for i, v in enumerate(odd)]
+    chunks = spark.createDataFrame(chunks, "key string, text string, place long, v array<double>")
+    asked = spark.createDataFrame(asked, "id long, key string, q array<double>")
+    got = Ret.retrieve(asked, chunks, ["key"], "q", "v", "text", "place", block=block)
+    pairs = asked.join(chunks, "key").withColumn("s", A.cosine(F.col("q"), F.col("v")))
+    best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "place"))).where("n <= 3")
+    want: dict = {x.id: [] for x in asked.collect()}
+    for x in best.orderBy("id", "n").collect():
+        want[x.id].append(x.text)
+    assert {x.id: x.passage for x in got.collect()} == {i: " --- ".join(t) for i, t in want.items()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
+def test_many_equal_vectors_are_scored_once_and_in_order():
+    import pyarrow as pa
+
+    x = np.random.default_rng(15).normal(size=(30, 16))
+    items = pa.chunked_array([pa.array(np.repeat(x, 2000, axis=0).tolist())])
+    which, item, score = Ret._closest(pa.chunked_array([pa.array(x.tolist())]), items, 3)
+    assert which.tolist() == np.repeat(np.arange(30), 3).tolist()
+    assert item.tolist() == (2000 * np.repeat(np.arange(30), 3) + np.tile(np.arange(3), 30)).tolist() and score == pytest.approx(np.ones(90))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_chunks_hold_the_whole_text_in_order(seed):
     """Each chunk goes on where the last one ended, but for the carried overlap; nothing but a short tail is lost."""
