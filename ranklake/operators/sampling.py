@@ -166,13 +166,19 @@ def grid_selection(grid: Sequence[Sequence[Sequence[dict]]], tolerance: float =
 
     A candidate has ``cost``, ``x``, ``y`` and maybe ``vector``. x may not fall along a row, y not from row to row, by more
     than the tolerance, and the vectors of neighbours lie within ``most_distance``. Candidates without a finite cost are
-    never taken. The cheapest candidates of the cells are tried first: a path that costs d more than the sum of the cells'
+    never taken, and of equal ones only the first. The cheapest candidates of the cells are tried first: a path that costs d more than the sum of the cells'
     least costs proves that no candidate which costs over d more than its cell's least is in a better one, so only those
     within d are looked at again. Where the rules leave no cheap path, this comes to all candidates.
     """
     import numpy as np
 
-    cells = [cell for row in grid for cell in row]
+    same = lambda c: (c["cost"], c["x"], c["y"], None if most_distance is None else tuple(c["vector"]))
+    cells = []
+    for cell in (cell for row in grid for cell in row):
+        firsts: dict = {}
+        for c in cell:
+            firsts.setdefault(same(c), c)
+        cells.append(list(firsts.values()))
     costs = [np.array([c["cost"] for c in cell], float) for cell in cells]
     sizes = [int(np.isfinite(c).sum()) for c in costs]
     if not sizes or not min(sizes):

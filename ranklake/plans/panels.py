@@ -392,6 +392,7 @@ def population_paths(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d).select("label", "vec_id", "first", F.get("embedding", F.lit(1)).cast("double").alias("second")).withColumn("turn", turn).withColumn("cell", F.col("turn") % 6)
     i, j = F.floor(F.col("cell") / 2), F.col("cell") % 2
     rows = rows.withColumn("cost", F.abs(F.col("first") - (j - 0.5)) + F.abs(F.col("second") - (i - 1) / 2)).where(F.col("cost") < float("inf"))
+    rows = rows.groupBy("label", "cell", "first", "second", "cost").agg(F.min(F.struct("turn", "vec_id")).alias("t")).select("label", "cell", "first", "second", "cost", "t.turn", "t.vec_id")  # of copies the first is enough
 
     def best(group):
         grid = [[[], []] for _ in range(3)]

@@ -271,6 +271,12 @@ def test_grid_selection_of_large_cells_holds_no_cube():
     assert sum(c["cost"] for c in got) <= sum(c["cost"] for c in S.grid_selection(few))
 
 
+def test_grid_selection_takes_the_first_of_many_copies():
+    copies = lambda x, y: [{"x": x, "y": y, "cost": 0.5, "hash": k} for k in range(20_000)]
+    got = S.grid_selection([[copies(0.0, float(i)), copies(1.0, float(i))] for i in range(3)])
+    assert [c["hash"] for c in got] == [0] * 6
+
+
 def test_grid_selection_looks_at_dear_candidates_where_it_must():
     cheap = [{"x": 1.0, "y": 1.0, "cost": float(k), "hash": k} for k in range(200)]
     low = [{"x": 0.0, "y": 0.0, "cost": float(k), "hash": k} for k in range(200)]
